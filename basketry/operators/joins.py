@@ -1,0 +1,57 @@
+"""Size-checked broadcast of dimension tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DataType,
+    DateType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StructType,
+    TimestampType,
+)
+
+# Budget for one broadcast side (per executor copy).  Beyond it the join stays a
+# shuffle join and AQE (skew-join splitting, coalescing) takes over.
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+_STRING_GUESS = 32
+_ROW_OVERHEAD = 16
+
+
+def _field_bytes(t: DataType) -> int:
+    if isinstance(t, (BooleanType, ByteType)):
+        return 1
+    if isinstance(t, ShortType):
+        return 2
+    if isinstance(t, (IntegerType, FloatType, DateType)):
+        return 4
+    if isinstance(t, (LongType, DoubleType, TimestampType)):
+        return 8
+    if isinstance(t, StructType):
+        return sum(_field_bytes(f.dataType) for f in t.fields)
+    return _STRING_GUESS
+
+
+def estimated_row_bytes(schema: StructType) -> int:
+    return _ROW_OVERHEAD + sum(_field_bytes(f.dataType) for f in schema.fields)
+
+
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when ``df`` provably fits ``max_bytes``.
+
+    The proof is a bounded count: at most ``max_rows + 1`` rows are counted, so
+    the check stops early on a large side.  Otherwise ``(df, False)`` is
+    returned and the caller's join is planned as a shuffle join.
+    """
+    max_rows = max(1, max_bytes // estimated_row_bytes(df.schema))
+    n = df.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(df), True
+    return df, False
