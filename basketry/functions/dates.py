@@ -17,7 +17,7 @@ def _c(c: Column | str) -> Column:
 
 def parse_iso_date(text: Column | str) -> Column:
     """Text -> DATE with ``yyyy-MM-dd``; invalid text gives null (never an error)."""
-    return F.try_to_date(_c(text), F.lit(DATE_PATTERN))
+    return F.try_to_date(_c(text), DATE_PATTERN)
 
 
 def iso_date(date: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,38 @@ def dedupe_product_category(product_category: DataFrame) -> DataFrame:
     return product_category.groupBy("producto_id").agg(F.min("categoria_id").alias("categoria_id"))
 
 
+@dataclass(frozen=True)
+class Dimensions:
+    """The deduplicated bridge and the category names, ready to join.
+
+    Each is already wrapped in ``broadcast`` when (and only when) its size was
+    proven below the budget.
+    """
+
+    bridge: DataFrame
+    names: DataFrame
+    bridge_broadcast: bool = False
+    names_broadcast: bool = False
+
+
+def prepare_dimensions(
+    product_category: DataFrame,
+    categories: DataFrame,
+    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+) -> Dimensions:
+    # the two size checks are independent small jobs: run them concurrently
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f1 = pool.submit(broadcast_if_bounded, dedupe_product_category(product_category), broadcast_bytes)
+        f2 = pool.submit(broadcast_if_bounded, categories.select("categoria_id", "nombre_categoria"), broadcast_bytes)
+        (bridge, b1), (names, b2) = f1.result(), f2.result()
+    return Dimensions(bridge, names, b1, b2)
+
+
+def enrich_with_dimensions(fact: DataFrame, dims: Dimensions) -> DataFrame:
+    """Fact LEFT JOIN bridge LEFT JOIN names (unmatched rows keep null category)."""
+    return fact.join(dims.bridge, "producto_id", "left").join(dims.names, "categoria_id", "left")
+
+
 def enrich_with_categories(
     fact: DataFrame,
     product_category: DataFrame,
@@ -57,9 +92,7 @@ def enrich_with_categories(
     after its size is proven small; otherwise the join is a shuffle join on
     the key, where AQE splits a hot product's partition.
     """
-    pc, _ = broadcast_if_bounded(dedupe_product_category(product_category), broadcast_bytes)
-    cats, _ = broadcast_if_bounded(categories.select("categoria_id", "nombre_categoria"), broadcast_bytes)
-    return fact.join(pc, "producto_id", "left").join(cats, "categoria_id", "left")
+    return enrich_with_dimensions(fact, prepare_dimensions(product_category, categories, broadcast_bytes))
 
 
 def select_final_columns(df: DataFrame) -> DataFrame:
@@ -70,15 +103,21 @@ def select_final_columns(df: DataFrame) -> DataFrame:
 
 def run_transformations(
     raw: DataFrame,
-    product_category: DataFrame,
-    categories: DataFrame,
+    product_category: DataFrame | None = None,
+    categories: DataFrame | None = None,
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    dims: Dimensions | None = None,
 ) -> DataFrame:
     """Parse dates on the receipt lines (one row per receipt, before the
-    explode multiplies rows), explode, add quantity, enrich, project."""
+    explode multiplies rows), explode, add quantity, enrich, project.
+
+    Pass ``dims`` (from :func:`prepare_dimensions`) to reuse prepared
+    dimensions across many calls, e.g. streaming micro-batches."""
+    if dims is None:
+        dims = prepare_dimensions(product_category, categories, broadcast_bytes)
     lines = parse_dates(raw)
     units = add_quantity(explode_baskets(lines))
-    return select_final_columns(enrich_with_categories(units, product_category, categories, broadcast_bytes))
+    return select_final_columns(enrich_with_dimensions(units, dims))
 
 
 def enrich_fact(

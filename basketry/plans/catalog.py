@@ -229,7 +229,7 @@ def q_stream_ingest(spark, sf_dir):
         proxy_categories(spark, sf_dir),
         table,
         ckpt,
-        max_files_per_trigger=16,
+        max_files_per_trigger=64,
     )
     return read_enriched(spark, table).groupBy("sucursal_id").agg(F.count(F.lit(1)).alias("n_units"))
 

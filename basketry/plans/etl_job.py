@@ -15,6 +15,7 @@ branches, never by data volume.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,13 @@ def run_etl(
 ) -> EtlResult:
     # The manifest is taken before reading and materialised once (a few rows
     # per branch file); it is what gets saved after a successful write.
-    files = source_manifest(spark, baskets_path).select("file", "branch").collect()
-    new_rows = current_state(spark, baskets_path, product_category_path, categories_path).collect()
+    # the two listings are independent small jobs: run them concurrently
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        files_f = pool.submit(lambda: source_manifest(spark, baskets_path).select("file", "branch").collect())
+        state_f = pool.submit(
+            lambda: current_state(spark, baskets_path, product_category_path, categories_path).collect()
+        )
+        files, new_rows = files_f.result(), state_f.result()
     new_state = spark.createDataFrame(new_rows, "branch int, fingerprint string")
     old_state = None if force else _read_state(spark, state_path)
 

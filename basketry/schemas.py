@@ -54,8 +54,8 @@ ENRICHED_SCHEMA = StructType(
 
 VISIT_KEY = ["fecha", "sucursal_id", "cliente_id"]
 
-# Storage-only partition column: id of the source file a row came from (0 when
-# the fact was not read from files).  Readers of the table never see it.
+# Storage-only second partition level: the streaming micro-batch that wrote the
+# rows (0 for batch ETL writes).  Readers of the table never see it.
 LOTE_COLUMN = "lote"
 
 

@@ -18,7 +18,6 @@ from pyspark.sql.types import StructType
 from basketry.schemas import (
     CATEGORY_SCHEMA,
     CORRUPT_COLUMN,
-    LOTE_COLUMN,
     PRODUCT_CATEGORY_SCHEMA,
     RAW_BASKET_SCHEMA,
     with_corrupt_column,
@@ -55,22 +54,16 @@ def read_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.c
 
     A line is accepted when it has exactly four fields and date, branch and
     customer are present and parse; an empty basket is accepted (it yields no
-    units later).  Each row carries ``lote``, the id of its source file, so a
-    re-read file replaces exactly its own slice of the table.
+    units later).
     """
     raw = _reader(spark, RAW_BASKET_SCHEMA, False, pattern).csv(path)
     return accepted_baskets(raw)
 
 
-def source_file_id() -> Column:
-    """Stable 64-bit id of the file a row came from (the ``lote`` partition)."""
-    return F.xxhash64(F.col("_metadata.file_path"))
-
-
 def accepted_baskets(raw: DataFrame) -> DataFrame:
-    """Well-formed lines of a raw (batch or streaming) scan, tagged with ``lote``."""
+    """Well-formed lines of a raw (batch or streaming) scan."""
     keep = _accepted(raw, ["fecha", "sucursal_id", "cliente_id"])
-    return raw.filter(keep).select(*RAW_BASKET_SCHEMA.fieldNames(), source_file_id().alias(LOTE_COLUMN))
+    return raw.filter(keep).select(*RAW_BASKET_SCHEMA.fieldNames())
 
 
 def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStreamReader:

@@ -13,14 +13,14 @@ PARTITION_COLUMN = "sucursal_id"
 
 
 def write_enriched(df: DataFrame, path: str) -> None:
-    """Write the fact partitioned by branch (and source file), replacing only what is present.
+    """Write the fact partitioned by branch (and ingest batch), replacing only what is present.
 
     ``partitionOverwriteMode=dynamic`` is set on this write only, so branches
     absent from ``df`` keep their files (re-ingesting one branch leaves the
     others alone; removed branches are dropped by :func:`drop_branches`).
-    The second level ``lote=<source file id>`` makes a re-read file replace
-    exactly its own rows, so micro-batches that carry single files of a
-    multi-file branch are still exact and idempotent.
+    The second level ``lote`` is 0 for batch writes (one slice per branch) and
+    the micro-batch id for streaming writes, so a replayed micro-batch
+    replaces exactly its own slice and never the rows of earlier batches.
     The rebalance hint lets AQE split a dominant branch over many tasks and
     merge small ones, so a branch holding a third of all rows does not end up
     in one task or one huge file.

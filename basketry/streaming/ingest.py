@@ -3,16 +3,22 @@
 The file source remembers which files it has processed (in the checkpoint),
 so a restart adds nothing twice.  Each micro-batch is transformed with the
 same ETL as the batch path and written with dynamic partition overwrite on
-(sucursal_id, lote): every source file owns one ``lote`` slice, and the file
-source never splits a file over two micro-batches, so a replayed batch
-rewrites the same slices with the same rows (idempotent ``foreachBatch``).
+(sucursal_id, lote = micro-batch id).  The file source records which files
+belong to each batch id before running it, so a replayed batch reads the
+same files and rewrites the same slices with the same rows (idempotent
+``foreachBatch``); slices of earlier batches are never touched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.operators.etl import run_transformations
+from pyspark import StorageLevel
+
+from basketry.operators.etl import Dimensions, dedupe_product_category, run_transformations
+from basketry.operators.joins import broadcast_if_bounded
+from basketry.schemas import LOTE_COLUMN
 from basketry.sources.csv import accepted_baskets, basket_stream_reader
 from basketry.sources.parquet import write_enriched
 
@@ -38,14 +44,32 @@ def ingest_stream(
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(source_dir)
 
+    # dimensions are deduplicated, size-checked and kept for the query's life,
+    # not recomputed per micro-batch (a lost block is rebuilt from lineage)
+    bridge = dedupe_product_category(product_category).persist(StorageLevel.MEMORY_AND_DISK)
+    names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
+    dims = prepare_dimensions_from(bridge, names)
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        enriched = run_transformations(accepted_baskets(batch), product_category, categories)
-        write_enriched(enriched, table_path)
+        enriched = run_transformations(accepted_baskets(batch), dims=dims)
+        # slice (branch, lote=epoch): a replay of this epoch rewrites the same slice
+        write_enriched(enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path)
 
     writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     if available_now:
-        query = writer.trigger(availableNow=True).start()
-        query.awaitTermination()
+        try:
+            query = writer.trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            bridge.unpersist()
+            names.unpersist()
     else:
         query = writer.trigger(processingTime="30 seconds").start()
     return query
+
+
+def prepare_dimensions_from(bridge: DataFrame, names: DataFrame) -> Dimensions:
+    """Size-check already deduplicated dimensions once."""
+    b, b_ok = broadcast_if_bounded(bridge)
+    n, n_ok = broadcast_if_bounded(names)
+    return Dimensions(b, n, b_ok, n_ok)
