@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Share threshold (percent) and the name of the merged bucket.
@@ -14,16 +14,18 @@ def category_share(enriched: DataFrame) -> DataFrame:
     """Per named category: units, distinct products and percent of the
     categorised units, sorted by units (ties: name).
 
-    The denominator is a scalar subquery over the per-category rows (one row
-    per category), so the fact is aggregated once and no single task ever
-    sees fact rows.  ``pct = round(units / total * 100, 2)`` (HALF_UP).
+    The fact is scanned and aggregated once.  The denominator is a sum over
+    the already aggregated per-category rows (an un-partitioned window whose
+    input is one row per named category, bounded by the category dimension,
+    not by the fact).  A scalar subquery would re-aggregate the fact.
+    ``pct = round(units / total * 100, 2)`` (HALF_UP).
     """
     named = enriched.filter(F.col("nombre_categoria").isNotNull())
     per_cat = named.groupBy("nombre_categoria").agg(
         F.sum("cantidad").cast("bigint").alias("total_cantidad"),
         F.count_distinct("producto_id").alias("n_productos"),
     )
-    total = per_cat.agg(F.sum("total_cantidad")).scalar()
+    total = F.sum("total_cantidad").over(Window.partitionBy())
     pct = F.round(F.col("total_cantidad").cast("double") / total.cast("double") * F.lit(100.0), 2)
     return per_cat.select("nombre_categoria", "total_cantidad", "n_productos", pct.alias("pct")).orderBy(
         F.desc("total_cantidad"), F.asc("nombre_categoria")

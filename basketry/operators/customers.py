@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import safe_corr
@@ -80,55 +80,53 @@ def correlation_matrix(features: DataFrame, columns: list[str] = FEATURES, digit
     )
 
 
-def _quartiles(values: DataFrame, column: str) -> DataFrame:
-    # Spark's exact percentile keeps a value -> count map, so its buffer grows
-    # with the number of distinct values, not rows; linear interpolation (R-7).
-    return values.agg(
-        F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.avg(F.col(column)).alias("media"),
-    )
-
+def value_histogram(values: DataFrame, column: str) -> DataFrame:
+    """(value, freq) with box fences attached to every row.
 
-def _fences(values: DataFrame, column: str):
-    q = _quartiles(values, column)
-    lo = q.select(F.col("q")[0] - F.lit(FENCE_FACTOR) * (F.col("q")[2] - F.col("q")[0])).scalar()
-    hi = q.select(F.col("q")[2] + F.lit(FENCE_FACTOR) * (F.col("q")[2] - F.col("q")[0])).scalar()
-    return q, lo, hi
+    The histogram has one row per distinct value, so its size is bounded by
+    the value range (units per customer), not by the number of customers.
+    Quartiles use Spark's exact ``percentile`` with frequency weights (linear
+    interpolation, R-7) as an un-partitioned window over those rows -- the
+    same bound as the percentile buffer itself, which keeps a value -> count
+    map.  Everything downstream is one job over one scan.
+    """
+    hist = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("freq"))
+    whole = Window.partitionBy()
+    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("freq")).over(whole)
+    with_q = hist.withColumn("q", q)
+    iqr = F.col("q")[2] - F.col("q")[0]
+    return with_q.withColumn("lo", F.col("q")[0] - F.lit(FENCE_FACTOR) * iqr).withColumn(
+        "hi", F.col("q")[2] + F.lit(FENCE_FACTOR) * iqr
+    )
 
 
 def box_stats(values: DataFrame, column: str = "total_cantidad") -> DataFrame:
     """q1, mediana, q3, media, bigote_inf, bigote_sup, n_outliers (one row).
 
-    Whiskers are the extreme values inside the 1.5*IQR fences.  Fences enter
-    the second pass as scalar subqueries: no cross join, no collect.
+    Whiskers are the extreme values inside the 1.5*IQR fences (Tukey), the
+    mean is weighted by frequency; all from the histogram in one aggregate.
     """
-    q, lo, hi = _fences(values, column)
-    v = F.col(column)
-    inside = (v >= lo) & (v <= hi)
-    second = values.agg(
-        F.min(F.when(inside, v)).alias("bigote_inf"),
-        F.max(F.when(inside, v)).alias("bigote_sup"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
-    )
-    stats = q.select(
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("mediana"),
-        F.col("q")[2].alias("q3"),
-        F.col("media"),
-    )
-    return stats.select(
-        "q1",
-        "mediana",
-        "q3",
-        "media",
-        second.select(F.col("bigote_inf").cast("double")).scalar().alias("bigote_inf"),
-        second.select(F.col("bigote_sup").cast("double")).scalar().alias("bigote_sup"),
-        second.select("n_outliers").scalar().alias("n_outliers"),
+    h = value_histogram(values, column)
+    v = F.col("v")
+    inside = (v >= F.col("lo")) & (v <= F.col("hi"))
+    return h.agg(
+        F.first(F.col("q")[0]).alias("q1"),
+        F.first(F.col("q")[1]).alias("mediana"),
+        F.first(F.col("q")[2]).alias("q3"),
+        (F.sum(v * F.col("freq")) / F.sum("freq")).cast("double").alias("media"),
+        F.min(F.when(inside, v)).cast("double").alias("bigote_inf"),
+        F.max(F.when(inside, v)).cast("double").alias("bigote_sup"),
+        F.coalesce(F.sum(F.when(~inside, F.col("freq"))), F.lit(0)).cast("bigint").alias("n_outliers"),
     )
 
 
 def outliers(values: DataFrame, column: str = "total_cantidad", key: str = "cliente_id") -> DataFrame:
-    """Rows outside the 1.5*IQR fences (a distributed filter)."""
-    _, lo, hi = _fences(values, column)
-    v = F.col(column)
-    return values.filter((v < lo) | (v > hi)).select(key, column)
+    """Rows outside the 1.5*IQR fences.
+
+    The outlying *values* come from the histogram; rows are selected by an
+    equi-join on the value (no cross join, no scalar subquery), and both
+    sides share one exchange of ``values`` (ReusedExchange in the plan).
+    """
+    h = value_histogram(values, column)
+    bad = h.filter((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).select(F.col("v").alias(column))
+    return values.join(bad, column, "left_semi").select(key, column)

@@ -199,7 +199,7 @@ def q_manifest_diff(spark, sf_dir):
     src = scratch_path(spark, "arrivals")
     state = scratch_path(spark, "manifest_state")
     lines = _arrivals(spark, sf_dir)
-    newest = lines.agg(F.max("arrival")).scalar()
+    newest = read_table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).scalar()
     csv_io.write_baskets(lines.filter(F.col("arrival") < newest), f"{src}/arrival=old")
     branch_manifest(source_manifest(spark, src)).write.parquet(state)
     csv_io.write_baskets(lines.filter(F.col("arrival") >= newest), f"{src}/arrival=new")

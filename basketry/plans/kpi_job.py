@@ -29,10 +29,14 @@ SCALAR_KPIS = [
 ]
 
 
-def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFrame:
-    """Scalar KPIs in long form (kpi, value) from ONE aggregate over the fact
-    plus one scalar subquery over visits."""
-    v = visits if visits is not None else visits_of(enriched)
+def kpi_bundle(enriched: DataFrame) -> DataFrame:
+    """Scalar KPIs in long form (kpi, value) from ONE aggregate over the fact.
+
+    Visits are a multi-column COUNT(DISTINCT fecha, sucursal_id, cliente_id)
+    inside the same aggregate (Spark expands rows per distinct group and
+    aggregates them map-side), so the fact is scanned once; a scalar subquery
+    over ``visits`` would be a second, un-shared job.
+    """
     one_row = enriched.agg(
         F.coalesce(F.sum("cantidad"), F.lit(0)).cast("bigint").alias("total_unidades"),
         F.count_distinct("cliente_id").alias("clientes_unicos"),
@@ -41,7 +45,8 @@ def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFram
         F.coalesce(F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))), F.lit(0))
         .cast("bigint")
         .alias("unidades_sin_categoria"),
-    ).withColumn("total_visitas", v.agg(F.count(F.lit(1))).scalar())
+        F.count_distinct("fecha", "sucursal_id", "cliente_id").alias("total_visitas"),
+    )
     return one_row.select(*SCALAR_KPIS).unpivot([], SCALAR_KPIS, "kpi", "value")
 
 
@@ -74,7 +79,7 @@ def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[
     try:
         with ThreadPoolExecutor(max_workers=2) as pool:
             list(pool.map(lambda df: df.count(), [visits, units]))
-        marts = {"kpis": kpi_bundle(enriched, visits)}
+        marts = {"kpis": kpi_bundle(enriched)}
         marts.update(chart_marts(enriched, visits, units))
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             futures = [pool.submit(write_mart, df, f"{mart_root}/{name}") for name, df in marts.items()]
