@@ -18,7 +18,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.etl import run_transformations
@@ -32,6 +32,9 @@ class EtlResult:
     ingested: list[int] = field(default_factory=list)
     removed: list[int] = field(default_factory=list)
     skipped: bool = False
+    # accepted receipt lines and written units, observed during the write
+    # itself (no extra scan, unlike a count() on the source)
+    metrics: dict = field(default_factory=dict)
 
 
 def _read_state(spark: SparkSession, state_path: str | None) -> DataFrame | None:
@@ -99,12 +102,21 @@ def run_etl(
         # only the changed branches' files are scanned; the row filter keeps a
         # stray line of another branch from overwriting that branch's partition
         raw = read_baskets(spark, paths).filter(F.col("sucursal_id").isin(to_ingest))
+        lines_seen = Observation("lines")
+        units_seen = Observation("units")
+        raw = raw.observe(lines_seen, F.count(F.lit(1)).alias("lines"))
         enriched = run_transformations(
             raw,
             read_product_category(spark, product_category_path),
             read_categories(spark, categories_path),
         )
+        enriched = enriched.observe(
+            units_seen,
+            F.count(F.lit(1)).alias("units"),
+            F.count("nombre_categoria").alias("units_with_category"),
+        )
         write_enriched(enriched, table_path)
+        result.metrics = {**lines_seen.get, **units_seen.get}
     if removed:
         drop_branches(spark, table_path, removed)
     if state_path:

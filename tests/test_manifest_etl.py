@@ -49,6 +49,7 @@ def test_incremental_etl(spark, write_lines, tmp_path):
     table, state = str(tmp_path / "table"), str(tmp_path / "state")
     r = run_etl(spark, tx, pc, cat, table, state)
     assert r.ingested == [102, 103, 104] and not r.skipped
+    assert r.metrics == {"lines": 4, "units": 8, "units_with_category": 6}
     fact = read_enriched(spark, table)
     assert fact.count() == 8
     assert fact.columns == ["fecha", "sucursal_id", "cliente_id", "producto_id", "cantidad", "categoria_id", "nombre_categoria"]
