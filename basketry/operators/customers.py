@@ -19,40 +19,22 @@ def customer_units(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("cliente_id").agg(F.sum("cantidad").cast("bigint").alias("total_cantidad"))
 
 
-def customer_features(enriched: DataFrame, visits: DataFrame) -> DataFrame:
+def customer_features(enriched: DataFrame) -> DataFrame:
     """cliente_id, frecuencia, total_cantidad, productos_distintos, categorias_distintas.
 
-    Instead of three COUNT(DISTINCT) in one aggregate (Spark would Expand every
-    fact row four times), the work is split along functional dependencies:
-
-    * ``frecuencia`` = distinct (fecha, sucursal_id) per customer = visits per
-      customer, read from the (already distinct) visits.
-    * a product has exactly one category after the ETL dedupe, so folding the
-      fact to (customer, category, product) and then to (customer, category)
-      yields units, distinct products (row count of the first fold) and
-      distinct non-null categories with plain partial aggregates.
-
-    Every step aggregates map-side before its shuffle, so a customer with a
-    third of all rows is reduced to one row per (product) per map task.
+    ``frecuencia`` = distinct (fecha, sucursal_id) = visits of the customer;
+    distinct counts ignore nulls (a customer with no categorised unit has 0
+    categories).  One scan, one aggregate: Spark rewrites the three distinct
+    counts into an Expand whose rows are aggregated map-side per (customer,
+    distinct value) before the first shuffle, then merged per customer in a
+    second -- two shuffles of pre-reduced rows.  Measured faster than chaining
+    three partial aggregates plus a visits join (five shuffles, two scans).
     """
-    per_product = enriched.groupBy("cliente_id", "categoria_id", "producto_id").agg(
-        F.sum("cantidad").alias("u")
-    )
-    per_category = per_product.groupBy("cliente_id", "categoria_id").agg(
-        F.sum("u").alias("u"), F.count(F.lit(1)).alias("p")
-    )
-    per_customer = per_category.groupBy("cliente_id").agg(
-        F.sum("u").cast("bigint").alias("total_cantidad"),
-        F.sum("p").cast("bigint").alias("productos_distintos"),
-        F.count("categoria_id").alias("categorias_distintas"),
-    )
-    frequency = visits.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("frecuencia"))
-    return per_customer.join(frequency, "cliente_id", "left").select(
-        "cliente_id",
-        F.coalesce(F.col("frecuencia"), F.lit(0)).cast("bigint").alias("frecuencia"),
-        "total_cantidad",
-        "productos_distintos",
-        "categorias_distintas",
+    return enriched.groupBy("cliente_id").agg(
+        F.count_distinct("fecha", "sucursal_id").alias("frecuencia"),
+        F.sum("cantidad").cast("bigint").alias("total_cantidad"),
+        F.count_distinct("producto_id").alias("productos_distintos"),
+        F.count_distinct("categoria_id").alias("categorias_distintas"),
     )
 
 

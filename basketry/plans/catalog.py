@@ -156,12 +156,12 @@ def q_customer_units(spark, sf_dir):
 
 def q_customer_features(spark, sf_dir):
     e = enriched_from_tables(spark, sf_dir)
-    return customers.customer_features(e, visits_of(e))
+    return customers.customer_features(e)
 
 
 def q_customer_corr(spark, sf_dir):
     e = enriched_from_tables(spark, sf_dir)
-    return customers.correlation_matrix(customers.customer_features(e, visits_of(e)))
+    return customers.correlation_matrix(customers.customer_features(e))
 
 
 def q_customer_box(spark, sf_dir):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from basketry.operators.etl import run_transformations
 from basketry.sources.csv import read_baskets, read_categories, read_product_category
 from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest, table_fingerprint
-from basketry.sources.parquet import drop_branches, write_enriched
+from basketry.sources.parquet import drop_branches, path_exists, write_enriched
 
 
 @dataclass
@@ -38,12 +38,9 @@ class EtlResult:
 
 
 def _read_state(spark: SparkSession, state_path: str | None) -> DataFrame | None:
-    if not state_path:
-        return None
-    try:
-        return spark.read.parquet(state_path)
-    except Exception:  # first run: no state yet
-        return None
+    if not state_path or not path_exists(spark, state_path):
+        return None  # first run: no state yet
+    return spark.read.parquet(state_path)
 
 
 def current_state(spark: SparkSession, baskets_path: str, product_category_path: str, categories_path: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """KPI job: every KPI and chart dataset from one scan of the enriched fact.
 
-The narrow ``visits`` mart (reused by five KPIs) and the per-customer totals
-(reused by box statistics and outliers) are persisted MEMORY_AND_DISK for the
-duration of the job; a lost executor only means those blocks are recomputed
+The narrow ``visits`` mart (reused by five KPIs), the per-customer totals
+(reused by box statistics and outliers) and the per-category share (reused
+by the pie) are persisted MEMORY_AND_DISK for the duration of the job; a lost executor only means those blocks are recomputed
 from lineage.  The wide fact itself is never cached: each KPI's scan is
 column-pruned Parquet.
 """
@@ -29,14 +29,21 @@ SCALAR_KPIS = [
 ]
 
 
-def kpi_bundle(enriched: DataFrame) -> DataFrame:
+def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFrame:
     """Scalar KPIs in long form (kpi, value) from ONE aggregate over the fact.
 
     Visits are a multi-column COUNT(DISTINCT fecha, sucursal_id, cliente_id)
     inside the same aggregate (Spark expands rows per distinct group and
     aggregates them map-side), so the fact is scanned once; a scalar subquery
-    over ``visits`` would be a second, un-shared job.
+    over un-persisted ``visits`` would be a second, un-shared aggregation.
+    When the caller already holds ``visits`` persisted (the KPI job), the
+    count comes from it and the distinct group is dropped from the Expand.
     """
+    visit_count = (
+        visits.agg(F.count(F.lit(1))).scalar()
+        if visits is not None
+        else F.count_distinct("fecha", "sucursal_id", "cliente_id")
+    )
     one_row = enriched.agg(
         F.coalesce(F.sum("cantidad"), F.lit(0)).cast("bigint").alias("total_unidades"),
         F.count_distinct("cliente_id").alias("clientes_unicos"),
@@ -45,13 +52,15 @@ def kpi_bundle(enriched: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))), F.lit(0))
         .cast("bigint")
         .alias("unidades_sin_categoria"),
-        F.count_distinct("fecha", "sucursal_id", "cliente_id").alias("total_visitas"),
+        visit_count.alias("total_visitas"),
     )
     return one_row.select(*SCALAR_KPIS).unpivot([], SCALAR_KPIS, "kpi", "value")
 
 
-def chart_marts(enriched: DataFrame, visits: DataFrame, units: DataFrame) -> dict[str, DataFrame]:
-    share = categories.category_share(enriched)
+def chart_marts(
+    enriched: DataFrame, visits: DataFrame, units: DataFrame, share: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    share = share if share is not None else categories.category_share(enriched)
     return {
         "top_products": kpis.top_products(enriched),
         "top_customers": kpis.top_customers(visits),
@@ -61,7 +70,7 @@ def chart_marts(enriched: DataFrame, visits: DataFrame, units: DataFrame) -> dic
         "daily_series": series.rolling_7d(kpis.daily_counts(visits)),
         "customer_box": customers.box_stats(units),
         "customer_outliers": customers.outliers(units),
-        "customer_corr": customers.correlation_matrix(customers.customer_features(enriched, visits)),
+        "customer_corr": customers.correlation_matrix(customers.customer_features(enriched)),
     }
 
 
@@ -76,16 +85,19 @@ def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[
     """
     visits = visits_of(enriched).persist(StorageLevel.MEMORY_AND_DISK)
     units = customers.customer_units(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per named category; reused by the share and the pie marts
+    share = categories.category_share(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = [visits, units, share]
     try:
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            list(pool.map(lambda df: df.count(), [visits, units]))
-        marts = {"kpis": kpi_bundle(enriched)}
-        marts.update(chart_marts(enriched, visits, units))
+        with ThreadPoolExecutor(max_workers=len(shared)) as pool:
+            list(pool.map(lambda df: df.count(), shared))
+        marts = {"kpis": kpi_bundle(enriched, visits)}
+        marts.update(chart_marts(enriched, visits, units, share))
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             futures = [pool.submit(write_mart, df, f"{mart_root}/{name}") for name, df in marts.items()]
             for f in futures:
                 f.result()
         return list(marts)
     finally:
-        visits.unpersist()
-        units.unpersist()
+        for df in shared:
+            df.unpersist()

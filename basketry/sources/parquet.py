@@ -44,6 +44,13 @@ def read_enriched(spark: SparkSession, path: str, branches: Iterable[int] | None
     return df.select(*ENRICHED_COLUMNS)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (Hadoop-compatible) file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def drop_branches(spark: SparkSession, path: str, branches: Iterable[int]) -> int:
     """Delete the partition folders of branches whose source file disappeared.
 

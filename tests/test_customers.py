@@ -15,7 +15,7 @@ from tests.conftest import SF_SMALL
 
 def test_features_against_brute_force(spark):
     f = enriched_from_tables(spark, SF_SMALL)
-    got = customers.customer_features(f, visits(f)).toPandas().set_index("cliente_id").sort_index()
+    got = customers.customer_features(f).toPandas().set_index("cliente_id").sort_index()
     pdf = f.toPandas()
     exp = pd.DataFrame(
         {
@@ -31,7 +31,7 @@ def test_features_against_brute_force(spark):
 
 def test_correlation_against_pandas(spark):
     f = enriched_from_tables(spark, SF_SMALL)
-    feats = customers.customer_features(f, visits(f))
+    feats = customers.customer_features(f)
     got = {(r.var_x, r.var_y): r.r for r in customers.correlation_matrix(feats).collect()}
     exp = feats.toPandas().drop(columns="cliente_id").corr()
     from basketry.functions.text import FEATURE_LABELS as L
