@@ -37,7 +37,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured; it is read from the session, never invented.  Only when it is
     unset (a bare local test session) a fresh temporary folder is registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return (configured or tempfile.mkdtemp(prefix="basketry-ckpt-")).rstrip("/")
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
