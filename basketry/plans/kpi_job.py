@@ -26,6 +26,7 @@ SCALAR_KPIS = [
     "productos_unicos",
     "categorias_con_nombre",
     "unidades_sin_categoria",
+    "productos_sin_categoria",
 ]
 
 
@@ -52,6 +53,10 @@ def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFram
         F.coalesce(F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))), F.lit(0))
         .cast("bigint")
         .alias("unidades_sin_categoria"),
+        # coverage of the bridge by product (the unit-based share is the line above)
+        F.count_distinct(F.when(F.col("categoria_id").isNull(), F.col("producto_id"))).alias(
+            "productos_sin_categoria"
+        ),
         visit_count.alias("total_visitas"),
     )
     return one_row.select(*SCALAR_KPIS).unpivot([], SCALAR_KPIS, "kpi", "value")

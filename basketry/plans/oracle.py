@@ -177,7 +177,8 @@ union all select 'clientes_unicos', count(distinct cliente_id) from fx_enriched
 union all select 'productos_unicos', count(distinct producto_id) from fx_enriched
 union all select 'categorias_con_nombre', count(distinct nombre_categoria) from fx_enriched
 union all select 'unidades_sin_categoria', cast(coalesce(sum(case when nombre_categoria is null then cantidad end), 0) as bigint)
-  from fx_enriched"""
+  from fx_enriched
+union all select 'productos_sin_categoria', count(distinct case when categoria_id is null then producto_id end) from fx_enriched"""
 )
 ORACLE_SQL["kpi_bundle"] = _KPI_SQL
 ORACLE_SQL["kpi_mart_roundtrip"] = _KPI_SQL

@@ -50,12 +50,7 @@ def ingest_stream(
     names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
     dims = prepare_dimensions_from(bridge, names)
 
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        enriched = run_transformations(accepted_baskets(batch), dims=dims)
-        # slice (branch, lote=epoch): a replay of this epoch rewrites the same slice
-        write_enriched(enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path)
-
-    writer = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path)).option("checkpointLocation", checkpoint_path)
     if available_now:
         try:
             query = writer.trigger(availableNow=True).start()
@@ -68,6 +63,18 @@ def ingest_stream(
     return query
 
 
+def batch_writer(dims: Dimensions, table_path: str):
+    """The ``foreachBatch`` function: ETL of one micro-batch of raw lines,
+    written as the (branch, lote = epoch) slices -- calling it again with the
+    same epoch and rows leaves the table exactly as after the first call."""
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        enriched = run_transformations(accepted_baskets(batch), dims=dims)
+        write_enriched(enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path)
+
+    return write_batch
+
+
 def prepare_dimensions_from(bridge: DataFrame, names: DataFrame) -> Dimensions:
     """Size-check already deduplicated dimensions once."""
     b, b_ok = broadcast_if_bounded(bridge)

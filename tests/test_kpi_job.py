@@ -37,5 +37,7 @@ def test_bundle_invariants(spark):
     share = categories.category_share(f)
     named_units = share.agg({"total_cantidad": "sum"}).first()[0]
     assert named_units + k["unidades_sin_categoria"] == k["total_unidades"]
+    unmapped = f.filter("categoria_id is null").select("producto_id").distinct().count()
+    assert k["productos_sin_categoria"] == unmapped
     pie = categories.category_pie(share)
     assert pie.agg({"total_cantidad": "sum"}).first()[0] == named_units
