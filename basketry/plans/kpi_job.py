@@ -9,6 +9,7 @@ column-pruned Parquet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -62,23 +63,33 @@ def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFram
     return one_row.select(*SCALAR_KPIS).unpivot([], SCALAR_KPIS, "kpi", "value")
 
 
-def chart_marts(
+def chart_mart_builders(
     enriched: DataFrame, visits: DataFrame, units: DataFrame, share: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    share = share if share is not None else categories.category_share(enriched)
+) -> dict[str, Callable[[], DataFrame]]:
+    """Deferred constructors of the chart datasets (analysis runs in the caller's thread)."""
+
+    def share_df() -> DataFrame:
+        return share if share is not None else categories.category_share(enriched)
+
     return {
-        "top_products": kpis.top_products(enriched),
-        "top_customers": kpis.top_customers(visits),
-        "peak_days": kpis.peak_days(visits),
-        "category_share": share,
-        "category_pie": categories.category_pie(share),
-        "daily_series": series.rolling_7d(kpis.daily_counts(visits)),
-        "customer_box": customers.box_stats(units),
-        "customer_outliers": customers.outliers(units),
-        "customer_corr": customers.correlation_matrix(customers.customer_features(enriched)),
+        "top_products": lambda: kpis.top_products(enriched),
+        "top_customers": lambda: kpis.top_customers(visits),
+        "peak_days": lambda: kpis.peak_days(visits),
+        "category_share": share_df,
+        "category_pie": lambda: categories.category_pie(share_df()),
+        "daily_series": lambda: series.rolling_7d(kpis.daily_counts(visits)),
+        "customer_box": lambda: customers.box_stats(units),
+        "customer_outliers": lambda: customers.outliers(units),
+        "customer_corr": lambda: customers.correlation_matrix(customers.customer_features(enriched)),
     }
 
 
+def chart_marts(
+    enriched: DataFrame, visits: DataFrame, units: DataFrame, share: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    return {k: build() for k, build in chart_mart_builders(enriched, visits, units, share).items()}
+
+
 def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[str]:
     """Compute and write every mart under ``mart_root``; returns mart names.
 
@@ -96,13 +107,17 @@ def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[
     try:
         with ThreadPoolExecutor(max_workers=len(shared)) as pool:
             list(pool.map(lambda df: df.count(), shared))
-        marts = {"kpis": kpi_bundle(enriched, visits)}
-        marts.update(chart_marts(enriched, visits, units, share))
+        builders: dict[str, Callable[[], DataFrame]] = {"kpis": lambda: kpi_bundle(enriched, visits)}
+        builders.update(chart_mart_builders(enriched, visits, units, share))
+
+        def build_and_write(name: str) -> None:
+            # plan analysis of one mart overlaps the execution of the others
+            write_mart(builders[name](), f"{mart_root}/{name}")
+
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            futures = [pool.submit(write_mart, df, f"{mart_root}/{name}") for name, df in marts.items()]
-            for f in futures:
+            for f in [pool.submit(build_and_write, name) for name in builders]:
                 f.result()
-        return list(marts)
+        return list(builders)
     finally:
         for df in shared:
             df.unpersist()
