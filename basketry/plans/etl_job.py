@@ -8,14 +8,13 @@ only after a successful write) decides which branches are re-ingested.
 * removed branch -> its partition folder is dropped;
 * any change of the two dimension files -> every branch is re-ingested.
 
-The manifest is per branch (a handful of metadata rows), so bringing the
-branch-level diff to the driver to pick paths is bounded by the number of
-branches, never by data volume.
+Only the branch-level state (one row per branch) and the file paths of the
+branches being re-read reach the driver -- bounded by the number of branches
+and by the files actually ingested, never by data volume.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -43,11 +42,10 @@ def _read_state(spark: SparkSession, state_path: str | None) -> DataFrame | None
     return spark.read.parquet(state_path)
 
 
-def current_state(spark: SparkSession, baskets_path: str, product_category_path: str, categories_path: str) -> DataFrame:
-    """Branch manifest of the receipts plus one pseudo-branch (-1) for the dimensions."""
-    branches = branch_manifest(source_manifest(spark, baskets_path)).select("branch", "fingerprint")
-    dims = source_manifest(spark, product_category_path).unionByName(source_manifest(spark, categories_path))
-    dim_fp = table_fingerprint(dims).select(F.lit(-1).alias("branch"), "fingerprint")
+def branch_state(receipts: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """One fingerprint row per branch, plus a pseudo-branch (-1) for both dimension files."""
+    branches = branch_manifest(receipts).select("branch", "fingerprint")
+    dim_fp = table_fingerprint(dimensions).select(F.lit(-1).alias("branch"), "fingerprint")
     return branches.unionByName(dim_fp)
 
 
@@ -60,15 +58,16 @@ def run_etl(
     state_path: str | None = None,
     force: bool = False,
 ) -> EtlResult:
-    # The manifest is taken before reading and materialised once (a few rows
-    # per branch file); it is what gets saved after a successful write.
-    # the two listings are independent small jobs: run them concurrently
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        files_f = pool.submit(lambda: source_manifest(spark, baskets_path).select("file", "branch").collect())
-        state_f = pool.submit(
-            lambda: current_state(spark, baskets_path, product_category_path, categories_path).collect()
-        )
-        files, new_rows = files_f.result(), state_f.result()
+    # Listing happens once, when the manifests are created: the file index is
+    # a fixed snapshot taken before any data is read, so the state saved at
+    # the end describes exactly what was ingested.  Files whose path names no
+    # branch (neither branch=<id>/ nor <id>_Tran.csv) are not ingested.
+    receipts = source_manifest(spark, baskets_path).filter(F.col("branch").isNotNull())
+    dimensions = source_manifest(spark, product_category_path).unionByName(
+        source_manifest(spark, categories_path)
+    )
+    # only branch-level rows reach the driver (one per branch, never per file)
+    new_rows = branch_state(receipts, dimensions).collect()
     new_state = spark.createDataFrame(new_rows, "branch int, fingerprint string")
     old_state = None if force else _read_state(spark, state_path)
 
@@ -95,7 +94,8 @@ def run_etl(
     if modified:
         drop_branches(spark, table_path, modified)
     if to_ingest:
-        paths = [r["file"] for r in files if r["branch"] in set(to_ingest)]
+        # file paths of the changed branches only (bounded by what is re-read)
+        paths = [r["file"] for r in receipts.filter(F.col("branch").isin(to_ingest)).select("file").collect()]
         # only the changed branches' files are scanned; the row filter keeps a
         # stray line of another branch from overwriting that branch's partition
         raw = read_baskets(spark, paths).filter(F.col("sucursal_id").isin(to_ingest))
