@@ -28,21 +28,32 @@ SEPARATOR = "|"
 PRODUCT_CATEGORY_HEADER = ["v.Code_pr", "v.code"]
 
 
-def _reader(spark: SparkSession, schema: StructType, header: bool, pattern: str) -> DataFrameReader:
+def _options(header: bool, pattern: str) -> dict[str, str]:
+    return {
+        "sep": SEPARATOR,
+        "header": str(header).lower(),
+        "enforceSchema": "true",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT_COLUMN,
+        "pathGlobFilter": pattern,
+    }
+
+
+def _full_parse(spark: SparkSession) -> None:
+    # parse every field of every line, whatever columns the query needs
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+
+
+def _reader(spark: SparkSession, schema: StructType, header: bool, pattern: str) -> DataFrameReader:
+    _full_parse(spark)
     return (
         spark.read.schema(with_corrupt_column(schema))
-        .option("sep", SEPARATOR)
-        .option("header", header)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .options(**_options(header, pattern))
+        .option("recursiveFileLookup", "true")
     )
 
 
-def _accepted(df: DataFrame, required: list[str]) -> Column:
+def _accepted(required: list[str]) -> Column:
     cond = F.col(CORRUPT_COLUMN).isNull()
     for c in required:
         cond = cond & F.col(c).isNotNull()
@@ -62,28 +73,19 @@ def read_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.c
 
 def accepted_baskets(raw: DataFrame) -> DataFrame:
     """Well-formed lines of a raw (batch or streaming) scan."""
-    keep = _accepted(raw, ["fecha", "sucursal_id", "cliente_id"])
-    return raw.filter(keep).select(*RAW_BASKET_SCHEMA.fieldNames())
+    return raw.filter(_accepted(["fecha", "sucursal_id", "cliente_id"])).select(*RAW_BASKET_SCHEMA.fieldNames())
 
 
 def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStreamReader:
     """Structured Streaming twin of the batch reader (same schema and options)."""
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return (
-        spark.readStream.schema(with_corrupt_column(RAW_BASKET_SCHEMA))
-        .option("sep", SEPARATOR)
-        .option("header", False)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .option("pathGlobFilter", pattern)
-    )
+    _full_parse(spark)
+    return spark.readStream.schema(with_corrupt_column(RAW_BASKET_SCHEMA)).options(**_options(False, pattern))
 
 
 def read_basket_rejects(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """The complement of :func:`read_baskets`, with the source file name."""
     raw = _reader(spark, RAW_BASKET_SCHEMA, False, pattern).csv(path)
-    keep = _accepted(raw, ["fecha", "sucursal_id", "cliente_id"])
+    keep = _accepted(["fecha", "sucursal_id", "cliente_id"])
     return raw.filter(~keep).select(
         F.col("_metadata.file_name").alias("archivo"), *RAW_BASKET_SCHEMA.fieldNames(), CORRUPT_COLUMN
     )
@@ -91,7 +93,7 @@ def read_basket_rejects(spark: SparkSession, path: str, pattern: str = "*.csv")
 
 def read_product_category(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     raw = _reader(spark, PRODUCT_CATEGORY_SCHEMA, True, pattern).csv(path)
-    return raw.filter(_accepted(raw, ["producto_id", "categoria_id"])).select(
+    return raw.filter(_accepted(["producto_id", "categoria_id"])).select(
         *PRODUCT_CATEGORY_SCHEMA.fieldNames()
     )
 
@@ -99,7 +101,7 @@ def read_product_category(spark: SparkSession, path: str, pattern: str = "*.csv"
 def read_categories(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Headerless category names; CRLF line ends are handled by the CSV reader."""
     raw = _reader(spark, CATEGORY_SCHEMA, False, pattern).csv(path)
-    return raw.filter(_accepted(raw, ["categoria_id"])).select(
+    return raw.filter(_accepted(["categoria_id"])).select(
         "categoria_id", F.rtrim(F.col("nombre_categoria")).alias("nombre_categoria")
     )
 
