@@ -3,16 +3,19 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Display names of the customer features; other names pass through.
+# Display texts of the reports.
+#   feature display names (other names pass through), label prefixes,
+#   the hover separator and the unit word after a visit count.
 FEATURE_LABELS = {
     "frecuencia": "Frecuencia",
     "total_cantidad": "Total cantidad",
     "productos_distintos": "Prod. distintos",
     "categorias_distintas": "Cat. distintas",
 }
-
 PRODUCT_PREFIX = "Producto "
 CUSTOMER_PREFIX = "Cliente "
+HOVER_SEPARATOR = "<br>"
+VISITS_SUFFIX = " transacciones"
 
 
 def _c(c: Column | str) -> Column:

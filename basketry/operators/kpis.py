@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.dates import iso_date, weekday_label, weekday_number
-from basketry.functions.text import CUSTOMER_PREFIX, PRODUCT_PREFIX, prefixed_label, thousands
+from basketry.functions.text import (
+    CUSTOMER_PREFIX,
+    HOVER_SEPARATOR,
+    PRODUCT_PREFIX,
+    VISITS_SUFFIX,
+    prefixed_label,
+    thousands,
+)
 
 
 def total_units(enriched: DataFrame) -> DataFrame:
@@ -79,9 +86,9 @@ def peak_days(visits: DataFrame, k: int = 30) -> DataFrame:
         dow.alias("dia_semana"),
         weekday_label(dow).alias("dia"),
         F.concat_ws(
-            "<br>",
+            HOVER_SEPARATOR,
             fecha_txt,
             weekday_label(dow),
-            F.concat(thousands("n_transacciones"), F.lit(" transacciones")),
+            F.concat(thousands("n_transacciones"), F.lit(VISITS_SUFFIX)),
         ).alias("hover"),
     )
