@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.etl import run_transformations
-from basketry.sources.csv import read_baskets, read_categories, read_product_category
+from basketry.sources.csv import read_basket_rejects, read_baskets, read_categories, read_product_category
 from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest, table_fingerprint
 from basketry.sources.parquet import drop_branches, path_exists, write_enriched
 
@@ -57,6 +57,7 @@ def run_etl(
     table_path: str,
     state_path: str | None = None,
     force: bool = False,
+    rejects_path: str | None = None,
 ) -> EtlResult:
     # Listing happens once, when the manifests are created: the file index is
     # a fixed snapshot taken before any data is read, so the state saved at
@@ -114,6 +115,16 @@ def run_etl(
         )
         write_enriched(enriched, table_path)
         result.metrics = {**lines_seen.get, **units_seen.get}
+        if rejects_path:
+            # malformed lines of the re-read files, one folder per source file
+            # (dynamic overwrite: re-reading a file replaces its rejects)
+            (
+                read_basket_rejects(spark, paths)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("archivo")
+                .parquet(rejects_path)
+            )
     if removed:
         drop_branches(spark, table_path, removed)
     if state_path:

@@ -90,7 +90,7 @@ def chart_marts(
     return {k: build() for k, build in chart_mart_builders(enriched, visits, units, share).items()}
 
 
-def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[str]:
+def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4, fmt: str = "parquet") -> list[str]:
     """Compute and write every mart under ``mart_root``; returns mart names.
 
     The shared inputs are materialised first (so concurrent jobs do not race
@@ -112,7 +112,7 @@ def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4) -> list[
 
         def build_and_write(name: str) -> None:
             # plan analysis of one mart overlaps the execution of the others
-            write_mart(builders[name](), f"{mart_root}/{name}")
+            write_mart(builders[name](), f"{mart_root}/{name}", fmt)
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             for f in [pool.submit(build_and_write, name) for name in builders]:

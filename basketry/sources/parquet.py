@@ -70,9 +70,10 @@ def drop_branches(spark: SparkSession, path: str, branches: Iterable[int]) -> in
     return removed
 
 
-def write_mart(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_mart(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Overwrite one result mart (``parquet`` or ``json`` lines)."""
+    df.write.mode("overwrite").format(fmt).save(path)
 
 
-def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_mart(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.format(fmt).load(path)

@@ -84,3 +84,39 @@ def test_partition_pruning_by_branch(spark, write_lines, tmp_path):
     assert {r.sucursal_id for r in df.collect()} == {104}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "sucursal_id" in plan
+
+
+def test_rejects_table(spark, write_lines, tmp_path):
+    tx = write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2", "2013-01-01|102", "2013-01-02|102|x|1"])
+    pc = write_lines("pc", "ProductCategory.csv", ["v.Code_pr|v.code", "1|1"])
+    cat = write_lines("cat", "Categories.csv", ["1|Uno"])
+    rej = str(tmp_path / "rejects")
+    r = run_etl(spark, tx, pc, cat, str(tmp_path / "table"), rejects_path=rej)
+    assert r.metrics["lines"] == 1
+    rows = spark.read.parquet(rej).collect()
+    assert len(rows) == 2 and {x.archivo for x in rows} == {"102_Tran.csv"}
+
+
+def test_json_marts(spark, tmp_path):
+    from basketry.plans.catalog import enriched_from_tables
+    from basketry.plans.kpi_job import kpi_bundle, run_kpis
+    from basketry.sources.parquet import read_mart
+    from tests.conftest import SF_SMALL
+
+    f = enriched_from_tables(spark, SF_SMALL)
+    root = str(tmp_path / "marts")
+    run_kpis(f, root, fmt="json")
+    got = {r.kpi: r.value for r in read_mart(spark, f"{root}/kpis", "json").collect()}
+    assert got == {r.kpi: r.value for r in kpi_bundle(f).collect()}
+
+
+def test_command_line(spark, write_lines, tmp_path, capsys):
+    from basketry.__main__ import main
+
+    tx, pc, cat = _setup(write_lines)
+    table, marts = str(tmp_path / "table"), str(tmp_path / "marts")
+    assert main(["etl", "--baskets", tx, "--product-category", pc, "--categories", cat, "--table", table]) == 0
+    assert '"ingested": [102, 103, 104]' in capsys.readouterr().out
+    assert main(["kpis", "--table", table, "--marts", marts, "--branches", "102,104"]) == 0
+    k = {r.kpi: r.value for r in spark.read.parquet(f"{marts}/kpis").collect()}
+    assert k["total_unidades"] == 6  # branches 102 (4 units) and 104 (2 units) only
