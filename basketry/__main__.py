@@ -1,8 +1,8 @@
 """Command line for the three jobs, meant for ``spark-submit``.
 
-    spark-submit --master ... -m basketry etl    --baskets DIR --product-category DIR --categories DIR --table DIR [--state DIR] [--rejects DIR] [--force]
-    spark-submit --master ... -m basketry kpis   --table DIR --marts DIR [--format parquet|json] [--branches 102,103]
-    spark-submit --master ... -m basketry stream --baskets DIR --product-category DIR --categories DIR --table DIR --checkpoint DIR [--max-files N] [--continuous]
+    spark-submit --py-files basketry.zip basketry/__main__.py etl    --baskets DIR --product-category DIR --categories DIR --table DIR [--state DIR] [--rejects DIR] [--force]
+    spark-submit --py-files basketry.zip basketry/__main__.py kpis   --table DIR --marts DIR [--format parquet|json] [--branches 102,103]
+    spark-submit --py-files basketry.zip basketry/__main__.py stream --baskets DIR --product-category DIR --categories DIR --table DIR --checkpoint DIR [--max-files N] [--continuous]
 
 The session comes from the cluster's configuration (``getOrCreate``); nothing
 is tuned here.
