@@ -39,7 +39,9 @@ def _parser() -> argparse.ArgumentParser:
     for a in ("--baskets", "--product-category", "--categories", "--table", "--checkpoint"):
         st.add_argument(a, required=True)
     st.add_argument("--max-files", type=int)
+    st.add_argument("--marts", help="refresh every KPI mart after each micro-batch")
     st.add_argument("--continuous", action="store_true", help="keep running instead of draining once")
+    st.add_argument("--max-restarts", type=int, default=3, help="restarts from the checkpoint after a failure")
     return p
 
 
@@ -60,16 +62,29 @@ def main(argv: list[str] | None = None) -> int:
         names = run_kpis(read_enriched(spark, args.table, branches), args.marts, args.parallelism, args.format)
         print(json.dumps({"marts": names}))
     else:
+        from pyspark.errors import StreamingQueryException
+
         from basketry.sources.csv import read_categories, read_product_category
         from basketry.streaming.ingest import ingest_stream
 
-        q = ingest_stream(
-            spark, args.baskets, read_product_category(spark, args.product_category),
-            read_categories(spark, args.categories), args.table, args.checkpoint,
-            max_files_per_trigger=args.max_files, available_now=not args.continuous,
-        )
-        if args.continuous:
-            q.awaitTermination()
+        restarts = 0
+        while True:
+            try:
+                q = ingest_stream(
+                    spark, args.baskets, read_product_category(spark, args.product_category),
+                    read_categories(spark, args.categories), args.table, args.checkpoint,
+                    max_files_per_trigger=args.max_files, available_now=not args.continuous,
+                    marts_root=args.marts,
+                )
+                if args.continuous:
+                    q.awaitTermination()
+                break
+            except StreamingQueryException as exc:
+                # a failed micro-batch is replayed from the checkpoint on restart
+                restarts += 1
+                print(json.dumps({"stream_failed": str(exc)[:500], "restart": restarts}), file=sys.stderr)
+                if restarts > args.max_restarts:
+                    return 1
     return 0
 
 

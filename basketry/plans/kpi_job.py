@@ -2,9 +2,9 @@
 
 The narrow ``visits`` mart (reused by five KPIs), the per-customer totals
 (reused by box statistics and outliers) and the per-category share (reused
-by the pie) are persisted MEMORY_AND_DISK for the duration of the job; a lost executor only means those blocks are recomputed
-from lineage.  The wide fact itself is never cached: each KPI's scan is
-column-pruned Parquet.
+by the pie) are persisted MEMORY_AND_DISK for the duration of the job; a
+lost executor only means those blocks are recomputed from lineage.  The
+wide fact itself is never cached: each KPI's scan is column-pruned Parquet.
 """
 
 from __future__ import annotations

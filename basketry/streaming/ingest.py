@@ -33,11 +33,15 @@ def ingest_stream(
     max_files_per_trigger: int | None = None,
     pattern: str = "*.csv",
     available_now: bool = True,
+    marts_root: str | None = None,
 ):
     """Start the ingest query; with ``available_now`` it drains what is there and stops.
 
     ``source_dir`` may be a glob (e.g. ``dir/*/`` for one folder per branch).
-    Returns the StreamingQuery (already terminated when ``available_now``).
+    With ``marts_root`` every micro-batch that wrote rows is followed by a
+    full KPI job over the table (new files -> marts updated), like the
+    batch ETL -> KPI chain.  Returns the StreamingQuery (already terminated
+    when ``available_now``).
     """
     reader = basket_stream_reader(spark, pattern)
     if max_files_per_trigger:
@@ -50,7 +54,7 @@ def ingest_stream(
     names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
     dims = prepare_dimensions_from(bridge, names)
 
-    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path)).option("checkpointLocation", checkpoint_path)
+    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path, marts_root)).option("checkpointLocation", checkpoint_path)
     if available_now:
         try:
             query = writer.trigger(availableNow=True).start()
@@ -63,14 +67,20 @@ def ingest_stream(
     return query
 
 
-def batch_writer(dims: Dimensions, table_path: str):
+def batch_writer(dims: Dimensions, table_path: str, marts_root: str | None = None):
     """The ``foreachBatch`` function: ETL of one micro-batch of raw lines,
     written as the (branch, lote = epoch) slices -- calling it again with the
-    same epoch and rows leaves the table exactly as after the first call."""
+    same epoch and rows leaves the table exactly as after the first call.
+    The optional mart refresh overwrites all marts, so it is idempotent too."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         enriched = run_transformations(accepted_baskets(batch), dims=dims)
         write_enriched(enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path)
+        if marts_root:
+            from basketry.plans.kpi_job import run_kpis
+            from basketry.sources.parquet import read_enriched
+
+            run_kpis(read_enriched(batch.sparkSession, table_path), marts_root)
 
     return write_batch
 

@@ -55,3 +55,17 @@ def test_replayed_micro_batch_is_idempotent(spark, write_lines, tmp_path):
     write(b0, 0)  # and of epoch 0
     assert _rows(read_enriched(spark, str(tmp_path / "t"))) == once
     assert len(once) == 6
+
+
+def test_stream_refreshes_marts(spark, write_lines, tmp_path):
+    src = write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2 3"])
+    pc = spark.createDataFrame([(1, 1)], "producto_id int, categoria_id int")
+    cats = spark.createDataFrame([(1, "Uno")], "categoria_id int, nombre_categoria string")
+    table, ckpt, marts = str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "m")
+    ingest_stream(spark, src, pc, cats, table, ckpt, marts_root=marts)
+    k = {r.kpi: r.value for r in spark.read.parquet(f"{marts}/kpis").collect()}
+    assert k["total_unidades"] == 3
+    write_lines("tx", "103_Tran.csv", ["2013-01-02|103|2|1 1"])
+    ingest_stream(spark, src, pc, cats, table, ckpt, marts_root=marts)
+    k = {r.kpi: r.value for r in spark.read.parquet(f"{marts}/kpis").collect()}
+    assert (k["total_unidades"], k["total_visitas"]) == (5, 2)
