@@ -64,16 +64,18 @@ def proxy_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proxy_product_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand mapping for p_size <= 25, plus a second (size) mapping for p_size <= 10.
+
+    One scan of ``part``: each qualifying part emits its one or two mappings
+    through an explode (the same rows as a UNION ALL of two filtered scans).
+    """
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    by_brand = part.filter(F.col("p_size") <= 25).select(
-        F.col("p_partkey").cast("int").alias("producto_id"),
-        F.substring("p_brand", 7, 100).cast("int").alias("categoria_id"),
-    )
-    by_size = part.filter(F.col("p_size") <= 10).select(
-        F.col("p_partkey").cast("int").alias("producto_id"),
-        F.col("p_size").cast("int").alias("categoria_id"),
+    brand = F.substring("p_brand", 7, 100).cast("int")
+    size = F.col("p_size").cast("int")
+    mappings = F.when(F.col("p_size") <= 10, F.array(brand, size)).otherwise(F.array(brand))
+    return part.filter(F.col("p_size") <= 25).select(
+        F.col("p_partkey").cast("int").alias("producto_id"), F.explode(mappings).alias("categoria_id")
     )
-    return by_brand.unionByName(by_size)
 
 
 def proxy_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
