@@ -3,8 +3,8 @@
 Incremental by design: the source manifest (taken *before* reading, saved
 only after a successful write) decides which branches are re-ingested.
 
-* added / modified branch -> its files are read and its partition is
-  replaced (dynamic partition overwrite);
+* added / modified branch -> its partition folder is cleared, its files are
+  read and written back (dynamic partition overwrite);
 * removed branch -> its partition folder is dropped;
 * any change of the two dimension files -> every branch is re-ingested.
 
@@ -90,10 +90,12 @@ def run_etl(
         result.skipped = True
         return result
 
-    # a modified branch may have lost files: clear it so no stale file slice survives
-    modified = [b for b in branches if changes[b] == "modified"]
-    if modified:
-        drop_branches(spark, table_path, modified)
+    # Every branch about to be re-read is cleared first: a modified branch may
+    # have lost files, and slices written by the streaming path (lote = batch
+    # id) must not survive next to the re-ingested rows.  A crash after this
+    # point leaves the state unsaved, so the next run re-ingests them.
+    if to_ingest:
+        drop_branches(spark, table_path, to_ingest)
     if to_ingest:
         # file paths of the changed branches only (bounded by what is re-read)
         paths = [r["file"] for r in receipts.filter(F.col("branch").isin(to_ingest)).select("file").collect()]
@@ -128,5 +130,6 @@ def run_etl(
     if removed:
         drop_branches(spark, table_path, removed)
     if state_path:
-        new_state.write.mode("overwrite").parquet(state_path)
+        # one small file: a row per branch
+        new_state.coalesce(1).write.mode("overwrite").parquet(state_path)
     return result
