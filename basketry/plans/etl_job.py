@@ -115,7 +115,10 @@ def run_etl(
             F.count(F.lit(1)).alias("units"),
             F.count("nombre_categoria").alias("units_with_category"),
         )
-        write_enriched(enriched, table_path)
+        # every source file names one branch, so each input split already
+        # holds one branch: write without a shuffle (a large branch file is
+        # split over many tasks by the scan itself)
+        write_enriched(enriched, table_path, rebalance=False)
         result.metrics = {**lines_seen.get, **units_seen.get}
         if rejects_path:
             # malformed lines of the re-read files, one folder per source file

@@ -12,7 +12,7 @@ from basketry.schemas import ENRICHED_COLUMNS, LOTE_COLUMN
 PARTITION_COLUMN = "sucursal_id"
 
 
-def write_enriched(df: DataFrame, path: str) -> None:
+def write_enriched(df: DataFrame, path: str, rebalance: bool = True) -> None:
     """Write the fact partitioned by branch (and ingest batch), replacing only what is present.
 
     ``partitionOverwriteMode=dynamic`` is set on this write only, so branches
@@ -21,15 +21,21 @@ def write_enriched(df: DataFrame, path: str) -> None:
     The second level ``lote`` is 0 for batch writes (one slice per branch) and
     the micro-batch id for streaming writes, so a replayed micro-batch
     replaces exactly its own slice and never the rows of earlier batches.
-    The rebalance hint lets AQE split a dominant branch over many tasks and
-    merge small ones, so a branch holding a third of all rows does not end up
-    in one task or one huge file.
+
+    ``rebalance`` (for arbitrary inputs) lets AQE split a dominant branch over
+    many tasks and merge small ones before the write, so a branch holding a
+    third of all rows does not end up in one task or one huge file -- at the
+    cost of shuffling the fact.  Callers whose input splits already hold a
+    single branch each (the file ETL: one branch per source file, a large file
+    split into many tasks) pass ``rebalance=False``: every task then writes
+    into one branch folder with no shuffle at all.
     """
     lote = F.col(LOTE_COLUMN) if LOTE_COLUMN in df.columns else F.lit(0).cast("bigint")
+    out = df.select(*ENRICHED_COLUMNS, lote.alias(LOTE_COLUMN))
+    if rebalance:
+        out = out.hint("rebalance", PARTITION_COLUMN, LOTE_COLUMN)
     (
-        df.select(*ENRICHED_COLUMNS, lote.alias(LOTE_COLUMN))
-        .hint("rebalance", PARTITION_COLUMN, LOTE_COLUMN)
-        .write.mode("overwrite")
+        out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION_COLUMN, LOTE_COLUMN)
         .parquet(path)

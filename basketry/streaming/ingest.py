@@ -75,7 +75,10 @@ def batch_writer(dims: Dimensions, table_path: str, marts_root: str | None = Non
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         enriched = run_transformations(accepted_baskets(batch), dims=dims)
-        write_enriched(enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path)
+        # micro-batches carry whole branch files: splits are single-branch, no shuffle needed
+        write_enriched(
+            enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path, rebalance=False
+        )
         if marts_root:
             from basketry.plans.kpi_job import run_kpis
             from basketry.sources.parquet import read_enriched
