@@ -21,7 +21,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.etl import run_transformations
-from basketry.sources.csv import read_basket_rejects, read_baskets, read_categories, read_product_category
+from basketry.sources.csv import (
+    accepted_baskets,
+    basket_accepted,
+    read_basket_rejects,
+    read_categories,
+    read_product_category,
+    scan_baskets,
+)
 from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest, table_fingerprint
 from basketry.sources.parquet import drop_branches, path_exists, write_enriched
 
@@ -101,10 +108,15 @@ def run_etl(
         paths = [r["file"] for r in receipts.filter(F.col("branch").isin(to_ingest)).select("file").collect()]
         # only the changed branches' files are scanned; the row filter keeps a
         # stray line of another branch from overwriting that branch's partition
-        raw = read_baskets(spark, paths).filter(F.col("sucursal_id").isin(to_ingest))
         lines_seen = Observation("lines")
         units_seen = Observation("units")
-        raw = raw.observe(lines_seen, F.count(F.lit(1)).alias("lines"))
+        # line counts (accepted and rejected) are observed on the single scan
+        scan = scan_baskets(spark, paths).observe(
+            lines_seen,
+            F.count(F.when(basket_accepted(), F.lit(1))).alias("lines"),
+            F.count(F.when(~basket_accepted(), F.lit(1))).alias("rejected_lines"),
+        )
+        raw = accepted_baskets(scan).filter(F.col("sucursal_id").isin(to_ingest))
         enriched = run_transformations(
             raw,
             read_product_category(spark, product_category_path),
@@ -120,9 +132,10 @@ def run_etl(
         # split over many tasks by the scan itself)
         write_enriched(enriched, table_path, rebalance=False)
         result.metrics = {**lines_seen.get, **units_seen.get}
-        if rejects_path:
+        if rejects_path and result.metrics["rejected_lines"] > 0:
             # malformed lines of the re-read files, one folder per source file
-            # (dynamic overwrite: re-reading a file replaces its rejects)
+            # (dynamic overwrite: re-reading a file replaces its rejects); the
+            # second scan only happens when the first one saw rejects
             (
                 read_basket_rejects(spark, paths)
                 .write.mode("overwrite")

@@ -60,6 +60,26 @@ def _accepted(required: list[str]) -> Column:
     return cond
 
 
+def scan_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """The raw scan: the four fields plus the corrupt-record column, every line."""
+    return _reader(spark, RAW_BASKET_SCHEMA, False, pattern).csv(path)
+
+
+ACCEPTED_BASKET = ["fecha", "sucursal_id", "cliente_id"]
+
+
+def basket_accepted() -> Column:
+    """True for a well-formed receipt line of :func:`scan_baskets`."""
+    return _accepted(ACCEPTED_BASKET)
+
+
+def rejected_baskets(raw: DataFrame) -> DataFrame:
+    """Malformed lines of a raw scan, with the source file name."""
+    return raw.filter(~basket_accepted()).select(
+        F.col("_metadata.file_name").alias("archivo"), *RAW_BASKET_SCHEMA.fieldNames(), CORRUPT_COLUMN
+    )
+
+
 def read_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """All branch files under ``path`` (one implicit union), well-formed lines only.
 
@@ -67,13 +87,12 @@ def read_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.c
     customer are present and parse; an empty basket is accepted (it yields no
     units later).
     """
-    raw = _reader(spark, RAW_BASKET_SCHEMA, False, pattern).csv(path)
-    return accepted_baskets(raw)
+    return accepted_baskets(scan_baskets(spark, path, pattern))
 
 
 def accepted_baskets(raw: DataFrame) -> DataFrame:
     """Well-formed lines of a raw (batch or streaming) scan."""
-    return raw.filter(_accepted(["fecha", "sucursal_id", "cliente_id"])).select(*RAW_BASKET_SCHEMA.fieldNames())
+    return raw.filter(basket_accepted()).select(*RAW_BASKET_SCHEMA.fieldNames())
 
 
 def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStreamReader:
@@ -82,13 +101,9 @@ def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStr
     return spark.readStream.schema(with_corrupt_column(RAW_BASKET_SCHEMA)).options(**_options(False, pattern))
 
 
-def read_basket_rejects(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+def read_basket_rejects(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """The complement of :func:`read_baskets`, with the source file name."""
-    raw = _reader(spark, RAW_BASKET_SCHEMA, False, pattern).csv(path)
-    keep = _accepted(["fecha", "sucursal_id", "cliente_id"])
-    return raw.filter(~keep).select(
-        F.col("_metadata.file_name").alias("archivo"), *RAW_BASKET_SCHEMA.fieldNames(), CORRUPT_COLUMN
-    )
+    return rejected_baskets(scan_baskets(spark, path, pattern))
 
 
 def read_product_category(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

@@ -49,7 +49,7 @@ def test_incremental_etl(spark, write_lines, tmp_path):
     table, state = str(tmp_path / "table"), str(tmp_path / "state")
     r = run_etl(spark, tx, pc, cat, table, state)
     assert r.ingested == [102, 103, 104] and not r.skipped
-    assert r.metrics == {"lines": 4, "units": 8, "units_with_category": 6}
+    assert r.metrics == {"lines": 4, "rejected_lines": 0, "units": 8, "units_with_category": 6}
     fact = read_enriched(spark, table)
     assert fact.count() == 8
     assert fact.columns == ["fecha", "sucursal_id", "cliente_id", "producto_id", "cantidad", "categoria_id", "nombre_categoria"]
@@ -92,7 +92,7 @@ def test_rejects_table(spark, write_lines, tmp_path):
     cat = write_lines("cat", "Categories.csv", ["1|Uno"])
     rej = str(tmp_path / "rejects")
     r = run_etl(spark, tx, pc, cat, str(tmp_path / "table"), rejects_path=rej)
-    assert r.metrics["lines"] == 1
+    assert (r.metrics["lines"], r.metrics["rejected_lines"]) == (1, 2)
     rows = spark.read.parquet(rej).collect()
     assert len(rows) == 2 and {x.archivo for x in rows} == {"102_Tran.csv"}
 
