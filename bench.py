@@ -44,6 +44,14 @@ from basketry.sources.tables import (  # noqa: E402
 )
 
 
+def _sf_value(sf_dir: str):
+    label = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(label)
+    except ValueError:
+        return label
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -133,7 +141,7 @@ def main() -> None:
                 "value": round(headline, 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": os.path.basename(sf_dir).replace("sf", ""),
+                "sf": _sf_value(sf_dir),
                 "cpus": cpus,
             }
         )
