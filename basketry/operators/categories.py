@@ -10,25 +10,39 @@ SMALL_SHARE_THRESHOLD = 3.0
 SMALL_SHARE_BUCKET = "Otros"
 
 
-def category_share(enriched: DataFrame) -> DataFrame:
+def category_share(enriched: DataFrame, with_pct_all: bool = False) -> DataFrame:
     """Per named category: units, distinct products and percent of the
     categorised units, sorted by units (ties: name).
 
     The fact is scanned and aggregated once.  The denominator is a sum over
     the already aggregated per-category rows (an un-partitioned window whose
-    input is one row per named category, bounded by the category dimension,
-    not by the fact).  A scalar subquery would re-aggregate the fact.
+    input is one row per category, bounded by the category dimension, not by
+    the fact).  A scalar subquery would re-aggregate the fact.
     ``pct = round(units / total * 100, 2)`` (HALF_UP).
+
+    ``with_pct_all`` adds ``pct_all``, the share of *all* units (uncategorised
+    included).  The null category is then kept as one more group so that both
+    denominators come from the same single aggregation, and dropped after.
     """
-    named = enriched.filter(F.col("nombre_categoria").isNotNull())
-    per_cat = named.groupBy("nombre_categoria").agg(
+    source = enriched if with_pct_all else enriched.filter(F.col("nombre_categoria").isNotNull())
+    per_cat = source.groupBy("nombre_categoria").agg(
         F.sum("cantidad").cast("bigint").alias("total_cantidad"),
         F.count_distinct("producto_id").alias("n_productos"),
     )
-    total = F.sum("total_cantidad").over(Window.partitionBy())
+    whole = Window.partitionBy()
+    named = F.col("nombre_categoria").isNotNull()
+    total = F.sum(F.when(named, F.col("total_cantidad"))).over(whole)
     pct = F.round(F.col("total_cantidad").cast("double") / total.cast("double") * F.lit(100.0), 2)
-    return per_cat.select("nombre_categoria", "total_cantidad", "n_productos", pct.alias("pct")).orderBy(
-        F.desc("total_cantidad"), F.asc("nombre_categoria")
+    cols = ["nombre_categoria", "total_cantidad", "n_productos", pct.alias("pct")]
+    if with_pct_all:
+        all_units = F.sum("total_cantidad").over(whole)
+        cols.append(
+            F.round(F.col("total_cantidad").cast("double") / all_units.cast("double") * F.lit(100.0), 2).alias("pct_all")
+        )
+    return (
+        per_cat.select(*cols)
+        .filter(named)
+        .orderBy(F.desc("total_cantidad"), F.asc("nombre_categoria"))
     )
 
 

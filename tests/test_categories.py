@@ -52,3 +52,8 @@ def test_no_categorised_rows(spark):
     f = _fact(spark, {}, uncategorised=5)
     assert category_share(f).count() == 0
     assert category_pie(category_share(f)).count() == 0
+
+
+def test_pct_all_counts_uncategorised(spark):
+    s = category_share(_fact(spark, {"A": 60, "B": 40}, uncategorised=100), with_pct_all=True).collect()
+    assert [(r.nombre_categoria, r.pct, r.pct_all) for r in s] == [("A", 60.0, 30.0), ("B", 40.0, 20.0)]
