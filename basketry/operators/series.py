@@ -21,7 +21,22 @@ def centred_rolling_mean(series: DataFrame, value: str, order: str, width: int =
     return series.withColumn(name, F.when(full, F.avg(value).over(w)))
 
 
-def rolling_7d(daily: DataFrame) -> DataFrame:
-    """Daily visits with a centred 7-row mean; ``fecha`` as ISO text."""
-    rolled = centred_rolling_mean(daily, "n_transacciones", "fecha", 7, "rolling_7d")
+def centred_calendar_mean(series: DataFrame, value: str, date: str, days: int = 7, name: str = "rolling") -> DataFrame:
+    """Centred mean over ``days`` calendar days (odd); dates absent from the
+    series count as 0.  Null where the window reaches outside the series'
+    first..last date.  Same bound as the row variant: one row per date."""
+    half = days // 2
+    day = F.unix_date(F.col(date))
+    w = Window.orderBy(day).rangeBetween(-half, half)
+    whole = Window.partitionBy()
+    inside = (day - half >= F.min(day).over(whole)) & (day + half <= F.max(day).over(whole))
+    return series.withColumn(name, F.when(inside, F.sum(value).over(w) / F.lit(float(days))))
+
+
+def rolling_7d(daily: DataFrame, calendar: bool = False) -> DataFrame:
+    """Daily visits with a centred 7-row mean (or 7-calendar-day mean); ``fecha`` as ISO text."""
+    if calendar:
+        rolled = centred_calendar_mean(daily, "n_transacciones", "fecha", 7, "rolling_7d")
+    else:
+        rolled = centred_rolling_mean(daily, "n_transacciones", "fecha", 7, "rolling_7d")
     return rolled.select(iso_date("fecha").alias("fecha"), "n_transacciones", "rolling_7d").orderBy("fecha")

@@ -28,3 +28,18 @@ def test_against_pandas(spark):
     got = [r.rolling_7d for r in rolling_7d(df).collect()]
     exp = pd.Series(range(1, 41)).rolling(7, center=True).mean().tolist()
     assert [None if pd.isna(e) else e for e in exp] == got
+
+
+def test_calendar_variant_against_pandas(spark):
+    import pandas as pd
+
+    dates = [dt.date(2013, 1, 1) + dt.timedelta(days=d) for d in [0, 1, 2, 4, 5, 9, 10, 11, 12, 13, 14, 20]]
+    vals = list(range(1, len(dates) + 1))
+    df = spark.createDataFrame(list(zip(dates, vals)), "fecha date, n_transacciones long")
+    got = {r.fecha: r.rolling_7d for r in rolling_7d(df, calendar=True).collect()}
+    full = pd.Series(vals, index=pd.to_datetime(dates)).asfreq("D", fill_value=0)
+    exp = full.rolling(7, center=True).mean()
+    for d in dates:
+        e = exp[pd.Timestamp(d)]
+        g = got[d.isoformat()]
+        assert (g is None and pd.isna(e)) or abs(g - e) < 1e-9
