@@ -10,6 +10,8 @@ Timed:
   etl_unchanged  the same job again with unchanged inputs (manifest says skip)
   new_receipts_refresh  newest-year receipt files land for every branch: incremental
                  ETL (changed branches only) + full KPI job
+  new_branch_refresh    one new branch's files land: the ETL reads and writes only that
+                 branch, then the full KPI job
   kpi_job        every KPI and chart mart from the table, written as Parquet (median of 3)
   <kpi>          single KPIs on the table (collected)
 
@@ -117,6 +119,24 @@ def main() -> None:
     refreshed = timed("new_receipts_refresh", refresh)
     times["new_receipts_branches"] = len(refreshed.ingested)
 
+    # A new branch opens: its file folder lands next to the others; only that
+    # branch is read and written, then all marts are recomputed.
+    nb_src = scratch_path(spark, "bench_nb_src")
+    nb_table, nb_state = scratch_path(spark, "bench_nb_table"), scratch_path(spark, "bench_nb_state")
+    newest_branch = read_table(spark, sf_dir, "customer").agg(F.max("c_nationkey")).scalar()
+    all_lines = proxy_baskets(spark, sf_dir)
+    csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") != newest_branch), f"{nb_src}/opened=before")
+    run_etl(spark, nb_src, pc_path, cat_path, nb_table, nb_state)
+    csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") == newest_branch), f"{nb_src}/opened=new")
+
+    def open_branch():
+        r = run_etl(spark, nb_src, pc_path, cat_path, nb_table, nb_state)
+        run_kpis(read_enriched(spark, nb_table), scratch_path(spark, "bench_nb_marts"), parallelism=8)
+        return r
+
+    opened = timed("new_branch_refresh", open_branch)
+    times["new_branch_ingested"] = len(opened.ingested)
+
     v = visits_of(fact)
     single = {
         "total_units": lambda: kpis.total_units(fact),
