@@ -1,7 +1,7 @@
 """Command line for the three jobs, meant for ``spark-submit``.
 
-    spark-submit --py-files basketry.zip basketry/__main__.py etl    --baskets DIR --product-category DIR --categories DIR --table DIR [--state DIR] [--rejects DIR] [--force]
-    spark-submit --py-files basketry.zip basketry/__main__.py kpis   --table DIR --marts DIR [--format parquet|json] [--branches 102,103]
+    spark-submit --py-files basketry.zip basketry/__main__.py etl    --baskets DIR --product-category DIR --categories DIR --table DIR [--state DIR] [--rejects DIR] [--partials DIR] [--force]
+    spark-submit --py-files basketry.zip basketry/__main__.py kpis   (--table DIR [--branches 102,103] | --partials DIR) --marts DIR [--format parquet|json]
     spark-submit --py-files basketry.zip basketry/__main__.py stream --baskets DIR --product-category DIR --categories DIR --table DIR --checkpoint DIR [--max-files N] [--continuous]
 
 The session comes from the cluster's configuration (``getOrCreate``); nothing
@@ -27,9 +27,11 @@ def _parser() -> argparse.ArgumentParser:
     etl.add_argument("--state")
     etl.add_argument("--rejects")
     etl.add_argument("--force", action="store_true")
+    etl.add_argument("--partials", help="also re-fold the per-branch KPI partials of the changed branches")
 
     kpis = sub.add_parser("kpis", help="all KPI and chart marts from the table")
-    kpis.add_argument("--table", required=True)
+    kpis.add_argument("--table", help="compute from the fact table")
+    kpis.add_argument("--partials", help="compute from the per-branch partials instead")
     kpis.add_argument("--marts", required=True)
     kpis.add_argument("--format", default="parquet", choices=["parquet", "json"])
     kpis.add_argument("--branches", help="comma-separated branch ids (partition pruning)")
@@ -53,13 +55,24 @@ def main(argv: list[str] | None = None) -> int:
 
         r = run_etl(spark, args.baskets, args.product_category, args.categories, args.table,
                     args.state, args.force, args.rejects)
+        if args.partials and not r.skipped:
+            from basketry.plans.partials import refresh_partials
+
+            refresh_partials(spark, args.table, args.partials, r.ingested, r.removed)
         print(json.dumps({"ingested": r.ingested, "removed": r.removed, "skipped": r.skipped, "metrics": r.metrics}))
     elif args.cmd == "kpis":
         from basketry.plans.kpi_job import run_kpis
         from basketry.sources.parquet import read_enriched
 
-        branches = [int(b) for b in args.branches.split(",")] if args.branches else None
-        names = run_kpis(read_enriched(spark, args.table, branches), args.marts, args.parallelism, args.format)
+        if args.partials:
+            from basketry.plans.partials import run_kpis_from_partials
+
+            names = run_kpis_from_partials(spark, args.partials, args.marts, args.parallelism, args.format)
+        elif args.table:
+            branches = [int(b) for b in args.branches.split(",")] if args.branches else None
+            names = run_kpis(read_enriched(spark, args.table, branches), args.marts, args.parallelism, args.format)
+        else:
+            raise SystemExit("kpis needs --table or --partials")
         print(json.dumps({"marts": names}))
     else:
         from pyspark.errors import StreamingQueryException

@@ -80,7 +80,9 @@ def chart_mart_builders(
         "daily_series": lambda: series.rolling_7d(kpis.daily_counts(visits)),
         "customer_box": lambda: customers.box_stats(units),
         "customer_outliers": lambda: customers.outliers(units),
-        "customer_corr": lambda: customers.correlation_matrix(customers.customer_features(enriched)),
+        "customer_corr": lambda: customers.correlation_matrix(
+            customers.customer_features(enriched, None if "fecha" in enriched.columns else visits)
+        ),
     }
 
 
@@ -90,7 +92,13 @@ def chart_marts(
     return {k: build() for k, build in chart_mart_builders(enriched, visits, units, share).items()}
 
 
-def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4, fmt: str = "parquet") -> list[str]:
+def run_kpis(
+    enriched: DataFrame,
+    mart_root: str,
+    parallelism: int = 4,
+    fmt: str = "parquet",
+    visits: DataFrame | None = None,
+) -> list[str]:
     """Compute and write every mart under ``mart_root``; returns mart names.
 
     The shared inputs are materialised first (so concurrent jobs do not race
@@ -98,8 +106,13 @@ def run_kpis(enriched: DataFrame, mart_root: str, parallelism: int = 4, fmt: str
     from a small thread pool: Spark schedules concurrent jobs over the same
     executors, which fills the idle tail of each small job.  Marts are written
     together in one run, so a re-computation never leaves some of them stale.
+
+    ``enriched`` may also be the per-branch customer/product partials (same
+    columns minus ``fecha``, ``cantidad`` summed) together with the stored
+    ``visits`` partial: every mart is then computed from those smaller
+    tables (see :mod:`basketry.plans.partials`).
     """
-    visits = visits_of(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    visits = (visits if visits is not None else visits_of(enriched)).persist(StorageLevel.MEMORY_AND_DISK)
     units = customers.customer_units(enriched).persist(StorageLevel.MEMORY_AND_DISK)
     # one row per named category; reused by the share and the pie marts
     share = categories.category_share(enriched).persist(StorageLevel.MEMORY_AND_DISK)
