@@ -18,6 +18,7 @@ from basketry.operators import categories, customers, jobs, kpis, series
 from basketry.operators.etl import dedupe_product_category, enrich_fact, explode_baskets, run_transformations
 from basketry.operators.visits import visits as visits_of
 from basketry.plans.kpi_job import kpi_bundle, run_kpis
+from basketry.plans.partials import refresh_partials, run_kpis_from_partials
 from basketry.schemas import RAW_BASKET_SCHEMA
 from basketry.session import scratch_path
 from basketry.sources import csv as csv_io
@@ -184,6 +185,17 @@ def q_kpi_mart_roundtrip(spark, sf_dir):
     return read_mart(spark, f"{root}/kpis")
 
 
+def q_kpi_partials_roundtrip(spark, sf_dir):
+    """Fact -> per-branch partials -> every mart from the partials -> KPI mart."""
+    table = scratch_path(spark, "enriched")
+    parts = scratch_path(spark, "partials")
+    root = scratch_path(spark, "marts")
+    write_enriched(enriched_from_tables(spark, sf_dir), table)
+    refresh_partials(spark, table, parts)
+    run_kpis_from_partials(spark, parts, root)
+    return read_mart(spark, f"{root}/kpis")
+
+
 # ---------------------------------------------------------------- files, manifests, streaming
 
 
@@ -272,6 +284,7 @@ QUERIES: dict[str, Query] = {
     "customer_outliers": q_customer_outliers,
     "kpi_bundle": q_kpi_bundle,
     "kpi_mart_roundtrip": q_kpi_mart_roundtrip,
+    "kpi_partials_roundtrip": q_kpi_partials_roundtrip,
     "source_manifest": q_source_manifest,
     "manifest_diff": q_manifest_diff,
     "stream_ingest": q_stream_ingest,

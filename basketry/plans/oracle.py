@@ -182,3 +182,4 @@ union all select 'productos_sin_categoria', count(distinct case when categoria_i
 )
 ORACLE_SQL["kpi_bundle"] = _KPI_SQL
 ORACLE_SQL["kpi_mart_roundtrip"] = _KPI_SQL
+ORACLE_SQL["kpi_partials_roundtrip"] = _KPI_SQL
