@@ -88,3 +88,17 @@ def test_batch_reingest_replaces_streamed_rows(spark, write_lines, tmp_path):
     assert read_enriched(spark, table).count() == 5
     run_etl(spark, src, pcd, catd, table, force=True)
     assert read_enriched(spark, table).count() == 5
+
+
+def test_command_line_stream(spark, write_lines, tmp_path):
+    from basketry.__main__ import main
+
+    src = write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2 3"])
+    pc = write_lines("pc", "pc.csv", ["v.Code_pr|v.code", "1|1"])
+    cat = write_lines("cat", "cat.csv", ["1|Uno"])
+    table, ckpt, marts = str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "m")
+    args = ["stream", "--baskets", src, "--product-category", pc, "--categories", cat,
+            "--table", table, "--checkpoint", ckpt, "--marts", marts]
+    assert main(args) == 0
+    assert read_enriched(spark, table).count() == 3
+    assert {r.kpi: r.value for r in spark.read.parquet(f"{marts}/kpis").collect()}["total_unidades"] == 3
