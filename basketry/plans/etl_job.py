@@ -77,14 +77,15 @@ def run_etl(
     # only branch-level rows reach the driver (one per branch, never per file)
     new_rows = branch_state(receipts, dimensions).collect()
     new_state = spark.createDataFrame(new_rows, "branch int, fingerprint string")
-    old_state = None if force else _read_state(spark, state_path)
+    old_state = _read_state(spark, state_path)
 
     if old_state is None:
         changes = {r["branch"]: "added" for r in new_rows}
     else:
         changes = {r["branch"]: r["change"] for r in manifest_diff(old_state, new_state).collect()}
 
-    dims_changed = changes.get(-1, "unchanged") != "unchanged"
+    # force: re-ingest every current branch (removed ones are still dropped)
+    dims_changed = force or changes.get(-1, "unchanged") != "unchanged"
     branches = [b for b in changes if b != -1]
     if dims_changed:
         to_ingest = [b for b in branches if changes[b] != "removed"]
@@ -103,7 +104,6 @@ def run_etl(
     # point leaves the state unsaved, so the next run re-ingests them.
     if to_ingest:
         drop_branches(spark, table_path, to_ingest)
-    if to_ingest:
         # file paths of the changed branches only (bounded by what is re-read)
         paths = [r["file"] for r in receipts.filter(F.col("branch").isin(to_ingest)).select("file").collect()]
         # only the changed branches' files are scanned; the row filter keeps a

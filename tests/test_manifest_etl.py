@@ -120,3 +120,13 @@ def test_command_line(spark, write_lines, tmp_path, capsys):
     assert main(["kpis", "--table", table, "--marts", marts, "--branches", "102,104"]) == 0
     k = {r.kpi: r.value for r in spark.read.parquet(f"{marts}/kpis").collect()}
     assert k["total_unidades"] == 6  # branches 102 (4 units) and 104 (2 units) only
+
+
+def test_force_reingests_all_and_still_drops_removed(spark, write_lines, tmp_path):
+    tx, pc, cat = _setup(write_lines)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    run_etl(spark, tx, pc, cat, table, state)
+    os.remove(os.path.join(tx, "103_Tran.csv"))
+    r = run_etl(spark, tx, pc, cat, table, state, force=True)
+    assert (r.ingested, r.removed) == ([102, 104], [103])
+    assert sorted(x.sucursal_id for x in read_enriched(spark, table).select("sucursal_id").distinct().collect()) == [102, 104]
