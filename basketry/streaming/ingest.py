@@ -11,11 +11,10 @@ same files and rewrites the same slices with the same rows (idempotent
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from basketry.operators.etl import Dimensions, dedupe_product_category, run_transformations
 from basketry.operators.joins import broadcast_if_bounded
 from basketry.schemas import LOTE_COLUMN
@@ -54,7 +53,9 @@ def ingest_stream(
     names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
     dims = prepare_dimensions_from(bridge, names)
 
-    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path, marts_root)).option("checkpointLocation", checkpoint_path)
+    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path, marts_root)).option(
+        "checkpointLocation", checkpoint_path
+    )
     if available_now:
         try:
             query = writer.trigger(availableNow=True).start()
