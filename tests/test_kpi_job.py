@@ -41,3 +41,17 @@ def test_bundle_invariants(spark):
     assert k["productos_sin_categoria"] == unmapped
     pie = categories.category_pie(share)
     assert pie.agg({"total_cantidad": "sum"}).first()[0] == named_units
+
+
+def test_kpi_job_on_empty_fact(spark, tmp_path):
+    from basketry.schemas import ENRICHED_SCHEMA
+
+    empty = spark.createDataFrame([], ENRICHED_SCHEMA)
+    root = str(tmp_path / "marts")
+    run_kpis(empty, root)
+    k = {r.kpi: r.value for r in read_mart(spark, f"{root}/kpis").collect()}
+    assert k["total_unidades"] == 0 and k["total_visitas"] == 0
+    box = read_mart(spark, f"{root}/customer_box").collect()
+    assert len(box) == 1 and box[0].q1 is None and box[0].n_outliers == 0
+    assert read_mart(spark, f"{root}/top_products").count() == 0
+    assert all(r.r is None for r in read_mart(spark, f"{root}/customer_corr").collect())
