@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.basket import product_tokens, token_to_product
 from basketry.functions.dates import parse_iso_date
-from basketry.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_bounded
+from basketry.operators.joins import broadcast_if_bounded
 from basketry.schemas import ENRICHED_COLUMNS, LOTE_COLUMN
 
 
@@ -64,7 +64,7 @@ class Dimensions:
 def prepare_dimensions(
     product_category: DataFrame,
     categories: DataFrame,
-    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> Dimensions:
     # the two size checks are independent small jobs: run them concurrently
     with ThreadPoolExecutor(max_workers=2) as pool:
@@ -83,7 +83,7 @@ def enrich_with_categories(
     fact: DataFrame,
     product_category: DataFrame,
     categories: DataFrame,
-    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Fact LEFT JOIN deduplicated bridge LEFT JOIN category names.
 
@@ -105,7 +105,7 @@ def run_transformations(
     raw: DataFrame,
     product_category: DataFrame | None = None,
     categories: DataFrame | None = None,
-    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
     dims: Dimensions | None = None,
 ) -> DataFrame:
     """Parse dates on the receipt lines (one row per receipt, before the
@@ -124,7 +124,7 @@ def enrich_fact(
     fact: DataFrame,
     product_category: DataFrame,
     categories: DataFrame,
-    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Enrich an already exploded fact (fecha DATE, sucursal_id, cliente_id, producto_id)."""
     units = add_quantity(fact.select("fecha", "sucursal_id", "cliente_id", "producto_id"))

@@ -19,8 +19,10 @@ from pyspark.sql.types import (
 )
 
 # Budget for one broadcast side (per executor copy).  Beyond it the join stays a
-# shuffle join and AQE (skew-join splitting, coalescing) takes over.
+# shuffle join and AQE (skew-join splitting, coalescing) takes over.  A session
+# may override it with the conf key below (bytes).
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES_CONF = "basketry.broadcast.maxBytes"
 _STRING_GUESS = 32
 _ROW_OVERHEAD = 16
 
@@ -43,13 +45,22 @@ def estimated_row_bytes(schema: StructType) -> int:
     return _ROW_OVERHEAD + sum(_field_bytes(f.dataType) for f in schema.fields)
 
 
-def broadcast_if_bounded(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when ``df`` provably fits ``max_bytes``.
+def broadcast_budget(df: DataFrame, max_bytes: int | None = None) -> int:
+    if max_bytes is not None:
+        return max_bytes
+    configured = df.sparkSession.conf.get(BROADCAST_BYTES_CONF, None)
+    return int(configured) if configured else DEFAULT_BROADCAST_BYTES
+
+
+def broadcast_if_bounded(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when ``df`` provably fits the budget.
 
     The proof is a bounded count: at most ``max_rows + 1`` rows are counted, so
     the check stops early on a large side.  Otherwise ``(df, False)`` is
-    returned and the caller's join is planned as a shuffle join.
+    returned and the caller's join is planned as a shuffle join.  The budget is
+    ``max_bytes``, else the session's ``basketry.broadcast.maxBytes``, else 64 MiB.
     """
+    max_bytes = broadcast_budget(df, max_bytes)
     max_rows = max(1, max_bytes // estimated_row_bytes(df.schema))
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:

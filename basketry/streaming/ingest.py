@@ -48,7 +48,9 @@ def ingest_stream(
     raw = reader.csv(source_dir)
 
     # dimensions are deduplicated, size-checked and kept for the query's life,
-    # not recomputed per micro-batch (a lost block is rebuilt from lineage)
+    # not recomputed per micro-batch (a lost block is rebuilt from lineage).
+    # A running stream keeps the dimensions it started with: after a change of
+    # the dimension files, restart it (the batch ETL re-ingests every branch).
     bridge = dedupe_product_category(product_category).persist(StorageLevel.MEMORY_AND_DISK)
     names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
     dims = prepare_dimensions_from(bridge, names)
