@@ -134,3 +134,30 @@ def run_kpis(
     finally:
         for df in shared:
             df.unpersist()
+
+
+MART_NAMES = [
+    "kpis",
+    "top_products",
+    "top_customers",
+    "peak_days",
+    "category_share",
+    "category_pie",
+    "daily_series",
+    "customer_box",
+    "customer_outliers",
+    "customer_corr",
+]
+
+
+def register_mart_views(spark, mart_root: str, fmt: str = "parquet", prefix: str = "kpi_") -> list[str]:
+    """Expose every written mart as a temporary view (``kpi_top_products``, ...)
+    so results are read with ``spark.sql`` -- the read side of each KPI."""
+    from basketry.sources.parquet import read_mart
+
+    names = []
+    for name in MART_NAMES:
+        view = f"{prefix}{name}"
+        read_mart(spark, f"{mart_root}/{name}", fmt).createOrReplaceTempView(view)
+        names.append(view)
+    return names

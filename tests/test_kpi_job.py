@@ -55,3 +55,16 @@ def test_kpi_job_on_empty_fact(spark, tmp_path):
     assert len(box) == 1 and box[0].q1 is None and box[0].n_outliers == 0
     assert read_mart(spark, f"{root}/top_products").count() == 0
     assert all(r.r is None for r in read_mart(spark, f"{root}/customer_corr").collect())
+
+
+
+def test_mart_views(spark, tmp_path):
+    from basketry.plans.kpi_job import MART_NAMES, register_mart_views
+
+    f = enriched_from_tables(spark, SF_SMALL)
+    root = str(tmp_path / "marts")
+    assert sorted(run_kpis(f, root)) == sorted(MART_NAMES)
+    views = register_mart_views(spark, root)
+    assert "kpi_top_products" in views
+    top = spark.sql("select producto_id from kpi_top_products order by total_cantidad desc, producto_id").collect()
+    assert [r.producto_id for r in top] == [r.producto_id for r in kpis.top_products(f).collect()]
