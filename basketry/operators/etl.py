@@ -60,6 +60,12 @@ class Dimensions:
     bridge_broadcast: bool = False
     names_broadcast: bool = False
 
+    @property
+    def keeps_input_partitioning(self) -> bool:
+        """True when both joins are broadcast: the enriched rows stay in the
+        tasks (and thus the branch) their input split came from."""
+        return self.bridge_broadcast and self.names_broadcast
+
 
 def prepare_dimensions(
     product_category: DataFrame,

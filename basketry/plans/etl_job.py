@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.etl import run_transformations
+from basketry.operators.etl import prepare_dimensions, run_transformations
 from basketry.sources.csv import (
     accepted_baskets,
     basket_accepted,
@@ -117,20 +117,22 @@ def run_etl(
             F.count(F.when(~basket_accepted(), F.lit(1))).alias("rejected_lines"),
         )
         raw = accepted_baskets(scan).filter(F.col("sucursal_id").isin(to_ingest))
-        enriched = run_transformations(
-            raw,
-            read_product_category(spark, product_category_path),
-            read_categories(spark, categories_path),
+        dims = prepare_dimensions(
+            read_product_category(spark, product_category_path), read_categories(spark, categories_path)
         )
+        enriched = run_transformations(raw, dims=dims)
         enriched = enriched.observe(
             units_seen,
             F.count(F.lit(1)).alias("units"),
             F.count("nombre_categoria").alias("units_with_category"),
         )
-        # every source file names one branch, so each input split already
-        # holds one branch: write without a shuffle (a large branch file is
-        # split over many tasks by the scan itself)
-        write_enriched(enriched, table_path, rebalance=False)
+        # every source file names one branch, so each input split holds one
+        # branch; with both dimensions broadcast the rows never leave their
+        # split's task, and the fact is written without a shuffle (a large
+        # branch file is split over many tasks by the scan itself).  After a
+        # shuffle join (dimension over budget) rows are grouped by product, so
+        # the write rebalances by branch instead of scattering small files.
+        write_enriched(enriched, table_path, rebalance=not dims.keeps_input_partitioning)
         result.metrics = {**lines_seen.get, **units_seen.get}
         if rejects_path and result.metrics["rejected_lines"] > 0:
             # malformed lines of the re-read files, one folder per source file

@@ -78,9 +78,12 @@ def batch_writer(dims: Dimensions, table_path: str, marts_root: str | None = Non
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         enriched = run_transformations(accepted_baskets(batch), dims=dims)
-        # micro-batches carry whole branch files: splits are single-branch, no shuffle needed
+        # micro-batches carry whole branch files: splits are single-branch, so
+        # no shuffle is needed unless a shuffle join regrouped the rows
         write_enriched(
-            enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")), table_path, rebalance=False
+            enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")),
+            table_path,
+            rebalance=not dims.keeps_input_partitioning,
         )
         if marts_root:
             from basketry.plans.kpi_job import run_kpis
