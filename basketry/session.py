@@ -6,13 +6,14 @@ caller owns ``spark``.  ``local_session`` is only for tests and ``bench.py``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "basketry") -> SparkSession:
+def local_session(
+    cores: int = 8, shuffle_partitions: int = 8, app: str = "basketry", warehouse: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -25,31 +26,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "baske
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Shared folder for intermediate tables.
 
-    On a cluster this is the shared (HDFS/object-store) folder the operators
-    configured; it is read from the session, never invented.  Only when it is
-    unset (a bare local test session) a fresh temporary folder is registered.
+    Read from the session (``spark.checkpoint.dir``).  A bare session that names
+    none (tests) gets a folder inside its warehouse, which every executor sees
+    as well; a machine-local temporary folder is never used.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        return (configured or tempfile.mkdtemp(prefix="basketry-ckpt-")).rstrip("/")
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="basketry-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir().rstrip("/")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,10 +10,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from basketry.session import local_session
 
-    s = local_session(cores=8, shuffle_partitions=8, app="basketry-tests")
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    s = local_session(cores=8, shuffle_partitions=8, app="basketry-tests", warehouse=warehouse)
     yield s
     s.stop()
 
