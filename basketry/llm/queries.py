@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import chat_perspectives, decontaminate, fingerprints, language_id, mixing, near_dedup, quality, sharding, url_filter
+from basketry.llm import chat_perspectives, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, quality, sharding, url_filter
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_pii": op10_pii,
     "pipeline": pipeline,
 }
 
