@@ -67,31 +67,37 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str, buckets: int = 4
     )
 
 
-def feistel(x: Column, n: Column, key: Column, rounds: int = 6) -> Column:
-    """Pseudorandom permutation of 0 .. n-1 keyed by ``key``: a Feistel network over Z_a x Z_b with cycle walking.
+def feistel(df: DataFrame, name: str, x: Column, n: Column, key: Column, rounds: int = 4) -> DataFrame:
+    """``df`` with ``name``: a pseudorandom permutation of 0 .. n-1 keyed by ``key``, applied to ``x``.
 
-    ``a * b`` is the least such rectangle with ``a`` near the square root of ``n``, so that fewer than ``a`` points lie
-    outside the range; a walk can pass each of those at most once, which bounds it exactly.
+    A Feistel network over Z_a x Z_b with cycle walking.  ``a * b`` is the least such rectangle with ``a`` near the square
+    root of ``n``, so that fewer than ``a`` points lie outside the range; a walk can pass each of those at most once,
+    which bounds it exactly.
     """
-    x, n = x.cast("long"), n.cast("long")
-    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
-    b = F.floor((n + a - 1) / a).cast("long")
+    at = {c: f"__{name}_{c}" for c in ("x", "n", "a", "b", "key", "y")}
+    x_, n_, a, b, key_, y = (F.col(at[c]) for c in ("x", "n", "a", "b", "key", "y"))
 
     def step(v: Column) -> Column:
         def one(acc: Column, i: Column) -> Column:
             left, right = acc["l"], acc["r"]
             return F.when(
                 i % 2 == 0,
-                F.struct(F.pmod(left + F.pmod(F.xxhash64(right, key, i), a), a).alias("l"), right.alias("r")),
-            ).otherwise(F.struct(left.alias("l"), F.pmod(right + F.pmod(F.xxhash64(left, key, i), b), b).alias("r")))
+                F.struct(F.pmod(left + F.pmod(F.xxhash64(right, key_, i), a), a).alias("l"), right.alias("r")),
+            ).otherwise(F.struct(left.alias("l"), F.pmod(right + F.pmod(F.xxhash64(left, key_, i), b), b).alias("r")))
 
         start = F.struct((v % a).alias("l"), F.floor(v / a).cast("long").alias("r"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one, lambda acc: acc["l"] + a * acc["r"])
 
-    first = step(x)
     walk = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.greatest(a * b - n, F.lit(1))),
-        first,
-        lambda acc, _: F.when(acc < n, acc).otherwise(step(acc)),
+        F.sequence(F.lit(1).cast("long"), F.greatest(a * b - n_, F.lit(1))),
+        y,
+        lambda acc, _: F.when(acc < n_, acc).otherwise(step(acc)),
+    )
+    return (
+        df.withColumns({at["x"]: x.cast("long"), at["n"]: n.cast("long"), at["key"]: key})
+        .withColumn(at["a"], F.greatest(F.ceil(F.sqrt(n_.cast("double"))), F.lit(1)).cast("long"))
+        .withColumn(at["b"], F.floor((n_ + a - 1) / a).cast("long"))
+        .withColumn(at["y"], step(x_))
+        .withColumn(name, F.when(y < n_, y).otherwise(walk))
+        .drop(*at.values())
     )
-    return F.when(first < n, first).otherwise(walk)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WHITESPACE, feistel, materialise
+from basketry.llm.common import feistel, materialise, words
 
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 4096
@@ -27,11 +27,6 @@ SLOTS_PER_SHARD = 4096
 BUCKETS = 2048
 
 
-def word_count(text):
-    parts = F.split(F.coalesce(text, F.lit("")), WHITESPACE)
-    return F.size(F.array_remove(parts, "")).cast("long")
-
-
 def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     """(source, source_id, source_size, weight, target): one row a source; its windows run over sources, not documents."""
     total = Window.partitionBy(F.lit(0))
@@ -106,8 +101,7 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 6) ->
         "cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("stop") - 1) / cell)))
     )
     dealt = (
-        spark.range(n)
-        .withColumn("g", feistel(F.col("id"), F.lit(max(n, 1)), F.lit(seed)))
+        feistel(spark.range(n), "g", F.col("id"), F.lit(max(n, 1)), F.lit(seed))
         .withColumn("cell", F.floor(F.col("g") / cell))
         .join(F.broadcast(spans), "cell")  # at most BUCKETS rows and one more a source
         .filter("g >= first and g < stop")
@@ -115,9 +109,8 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 6) ->
         .withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks")).cast("int"))
     )
     key = F.xxhash64("source_id", "epoch", F.lit(seed))
-    block = feistel(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), key)
     return (
-        dealt.withColumn("block", block)
+        feistel(dealt, "block", F.col("k") % F.col("n_blocks"), F.col("n_blocks"), key)
         .withColumn("held", F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words))
         .withColumn("part", F.least(F.lit(1.0), F.col("asked") - F.col("k")))
         .select(
@@ -135,7 +128,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"),
+        F.size(words(F.col("text"))).cast("long").alias("size"),
         F.xxhash64("text").alias("text_hash"),
     )
 
@@ -191,13 +184,16 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs:
             "parts",
         )
     )
-    tokens = F.split(F.trim(F.regexp_replace("text", WHITESPACE, " ")), " ")
-    chosen = F.transform("parts", lambda p: F.slice(tokens, (p["offset"] + 1).cast("int"), p["words"].cast("int")))
-    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.array_join(F.flatten(chosen), " "))
+    tokens = F.when(~F.col("__whole"), words(F.col("text")))
+    # two uses of __words: Spark would put its only one into the lambda and split the text for every part
+    cut = F.transform("parts", lambda p: F.slice("__words", (p["offset"] + 1).cast("int"), p["words"].cast("int")))
+    chosen = F.when(F.size("__words") > 0, F.array_join(F.flatten(cut), " "))
+    text = F.when(F.col("__whole"), F.col("text")).otherwise(chosen)
     names = docs.columns
     once = docs.withColumn("__hash", F.xxhash64("text"))
     return (
         once.join(plan, (F.col("doc_id") == F.col("__id")) & (once["__hash"] == plan["__hash"]))
+        .withColumn("__words", tokens)
         .withColumn("text", text)
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(*names)

@@ -8,8 +8,8 @@
 3. Pairs from the lists are filtered by size and by the resemblance estimated from the union's sketch (4.5 standard
    deviations below the threshold), then verified by exact Jaccard on full sets.
 4. Long lists are not expanded to all pairs: each member meets the list's pivot, lists whose members got into one
-   component are done, further pivots follow while they bring links, and what remains is expanded for members of
-   different components only.  Any pair that shares a list is so either compared or already connected.
+   component are done, further pivots follow while each takes off a fifth of the open pairs, and what remains is
+   expanded for members of different components only.  Any pair that shares a list is so either compared or already connected.
 
 Documents without words have an empty set and are linked with nothing.  Rows that share a doc_id are one document: they
 are linked if any of their texts is.  Null ids get a null component and are kept.  An empty table gives an empty result.
@@ -124,7 +124,7 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
     )
     verifier = _Verifier(reps, sets, percent, k)
     total = entries.count()
-    found, turn, gain = None, 0, True
+    found, turn, before = None, 0, math.inf
     placed = entries.withColumn("component", F.col("id"))
     while True:
         if found is not None:
@@ -143,8 +143,9 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
             left = (by_list.agg(F.sum("p")).first()[0] or 0.0) / 2
             if left == 0:
                 return found
-        if found is not None and (left <= 2 * total or not gain):
-            break
+            if left <= 8 * total or left > 0.8 * before:
+                break
+            before = left
         turn += 1
         pivots = (
             placed.groupBy("value")
@@ -158,7 +159,6 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
             .distinct()
         )
         new = materialise(verifier.links(pairs), "nd_links")
-        gain = new.count() > 0
         found = new if found is None else materialise(found.union(new), "nd_found")
     one = placed.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
     two = placed.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))

@@ -89,7 +89,7 @@ def _margin(model, df: DataFrame, view: str) -> DataFrame:
 
 def _fit(rows: DataFrame, view: str):
     reg = {"text": 0.003, "meta": 0.01}[view]
-    lr = LogisticRegression(featuresCol=f"{view}_x", labelCol="y", maxIter=25, regParam=reg, standardization=False)
+    lr = LogisticRegression(featuresCol=f"{view}_x", labelCol="y", maxIter=15, regParam=reg, standardization=False)
     return lr.fit(rows.select(f"{view}_x", "y"))
 
 
@@ -166,6 +166,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
         slope, offset = learned["platt"][view]
         out = _margin(model, out, view).withColumn(f"{view}_z", F.col(f"{view}_z") * slope + offset).drop(f"{view}_x")
     logistic = lambda z: 1 / (1 + F.exp(-z))
+    # the count is a fence: a filter on the score is not pushed below it, which would build every feature many times
+    out = out.observe("quality_scored", F.count(F.lit(1)).alias("rows"))
     both = F.col("text_z") + F.col("meta_z") - F.lit(learned["prior"])
     return (
         out.withColumns({"text_score": logistic(F.col("text_z")), "meta_score": logistic(F.col("meta_z")), "score": logistic(both)})

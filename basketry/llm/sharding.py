@@ -23,13 +23,11 @@ def shard_rows(df: DataFrame, n_shards: int, order: list[str], seed: int = 17) -
     """
     df = df.drop("shard", "slot")
     n = F.lit(max(df.count(), 1))
-    position = feistel(F.col("__row"), n, F.lit(seed))
     return (
-        row_numbers(df, order, "__row")
-        .withColumn("__row", position)
-        .withColumn("shard", (F.col("__row") % n_shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("__row") / n_shards).cast("long"))
-        .drop("__row")
+        feistel(row_numbers(df, order, "__row"), "__position", F.col("__row"), n, F.lit(seed))
+        .withColumn("shard", (F.col("__position") % n_shards).cast("int"))
+        .withColumn("slot", F.floor(F.col("__position") / n_shards).cast("long"))
+        .drop("__row", "__position")
     )
 
 
