@@ -1,0 +1,209 @@
+"""The operators against brute force on small frames: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketry.llm import chat_perspectives, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, quality
+from basketry.llm import sharding, url_filter
+from basketry.llm.common import LOWER, UPPER, feistel
+from basketry.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, id int, hash string"
+
+
+def frame(spark, texts, sources=None, langs=None):
+    rows = [
+        (i, t, langs[i] if langs else "en", sources[i] if sources else "s", len(t or ""), 7, "clash", 1, "x")
+        for i, t in enumerate(texts)
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def tokens(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+
+BASE = " ".join(f"w{i * 7919 % 1009}" for i in range(300))
+TEXTS = [BASE, BASE, BASE.replace("w0 ", "X0 "), None, "", "  ", "one", "one two", BASE.upper(), "é " * 3, BASE + " tail"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 400])
+def test_feistel_is_a_permutation(spark, n):
+    got = feistel(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(3)).select("p").collect()
+    assert sorted(r.p for r in got) == list(range(n))
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 3), (20, 21), (21, 22), (22, 23), (23, 20)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20}
+
+
+def test_sharding(spark):
+    got = sharding.shard_documents(frame(spark, TEXTS), 4).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert r.size == len((TEXTS[r.doc_id] or "").encode()) + 1 and r.law == "rows" and r.grown_shard is None
+    sizes = [len(s) for s in slots.values()]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(got) == sorted(sharding.shard_documents(frame(spark, TEXTS), 4).collect())
+    assert sharding.shard_documents(frame(spark, []), 4).count() == 0
+
+
+def test_mixing(spark):
+    texts = [" ".join(["w"] * (20 * (i % 7) + 1)) for i in range(120)] + [None, ""]
+    sources = [None if i % 5 == 0 else f"s{i % 4}" for i in range(122)]
+    got = mixing.taken_words(frame(spark, texts, sources), block_words=16).collect()
+    by = {}
+    for r in got:
+        assert r.size == len(tokens(texts[r.doc_id])) and 0 <= r.taken <= 3 * r.size
+        by.setdefault(sources[r.doc_id], []).append(r)
+    total = sum(r.size for r in got)
+    assert abs(sum(rows[0].target for rows in by.values()) - total) < 1e-6 * total
+    for rows in by.values():
+        assert rows[0].source_size == sum(r.size for r in rows) and rows[0].target <= 3 * rows[0].source_size
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 32
+    texts_out = mixing.mixed_documents(frame(spark, texts, sources), block_words=16).collect()
+    assert sum(len(tokens(r.text)) for r in texts_out) == sum(r.taken for r in got)
+    assert mixing.taken_words(frame(spark, [])).count() == 0
+
+
+def test_targets_stop_and_reshare(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1), ("c", 10), (None, 5), ("d", 0)], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert got["b"] == 3 and got["c"] == 30 and got["d"] == 0 and got[None] == 15  # weights a1 b2 c3 d1 null2
+    assert abs(sum(got.values()) - 116) < 1e-9
+
+
+def brute_components(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = tokens((t or "").translate(str.maketrans(UPPER, LOWER)))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_near_duplicates(spark):
+    near = [" ".join(w if (i * j) % 41 else f"e{i}" for j, w in enumerate(BASE.split(), 1)) for i in range(1, 30)]
+    texts = TEXTS + near + ["a b c"] * 4 + ["long " * 30000]
+    for n, percent in ((3, 85), (5, 80)):
+        got = near_dedup.near_duplicates(frame(spark, texts), n, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, n, percent)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_decontamination(spark):
+    item = "A train leaves at 12 with 340 people and then Maria asked how many of the 12 wagons hold 28 people each day"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "short one"), (1, item)], "item_id long, text string")
+    texts = [
+        f"Before that. {item}. After", item.replace("12", "15").replace("340", "9").replace("Maria", "Peter"),
+        item.replace("12 wagons", "13 wagons"), "nothing of it", None, "", ("pad " * 5000) + item.upper().lower(),
+    ]
+    got = {r.doc_id: r for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert sorted(got) == [0, 1, 6] and got[1].reparameterised and not got[0].reparameterised
+    left = decontaminate.decontaminate(frame(spark, texts), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5] and left.columns == frame(spark, texts).columns
+    assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_fingerprints(spark):
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(spark, TEXTS)).collect()}
+    order = sorted(range(len(TEXTS)), reverse=True)
+    for k, i in enumerate(order):
+        t, after = TEXTS[i] or "", TEXTS[order[(k + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[0].fingerprint == got[1].fingerprint and got[3].fingerprint == "" and got[1].near_next == 1.0
+    assert fingerprints.fingerprint_documents(frame(spark, ["a b"])).first().near_next == 1.0
+    assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
+
+
+def test_sketches_merge(spark):
+    rows = [("a", list(range(0, 50))), ("a", list(range(30, 90))), ("b", [])]
+    parts = spark.createDataFrame(rows, "k string, s array<long>")
+    got = {r.k: r.s for r in fingerprints.merge_rows(parts, ["k"], "s", 64).collect()}
+    assert got == {"a": list(range(64)), "b": []}
+
+
+def test_url_filter(spark):
+    urls = [
+        "http://x.net/a", "https://WWW.Example.NET/en/1", "http://example.net/de/", "http://a.example.com/de/x?q", "http://b.org/fr/",
+        "http://b.org/fr", "http://net", "http://cheap-pills.example.org/", None, "no scheme net/", "http://xnet/net/", "://net/?#",
+    ]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls + urls)], "page_id long, url string, host int")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.default_rules(spark)).collect()}
+    want = [
+        ("net/", "block"), ("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow"),
+        (None, "allow"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"), ("net/", "block"),
+    ]
+    assert [got[i] for i in range(24)] == want + want
+    assert url_filter.literal_tokens("||example.net/en/") == ["en", "example", "net"]
+    assert url_filter.literal_tokens("*.exe^") == ["exe"] and url_filter.literal_tokens("foo*") == []
+
+
+def test_language_id(spark):
+    texts = ["der die und das ist nicht " * 5, "the and of to is not that " * 5] * 8 + [None, "", "12 34", "und das", "the of"]
+    langs = ["de", "en"] * 8 + [None, "xx", "xx", None, None]
+    got = {r.doc_id: r for r in language_id.predict_languages(frame(spark, texts, langs=langs)).collect()}
+    assert [got[i].lang_pred for i in range(16, 21)] == ["und", "und", "und", "de", "en"]
+    assert all(got[i].lang_pred == langs[i] and 0 <= got[i].score <= 1 for i in range(16))
+    assert {r.lang_pred for r in language_id.predict_languages(frame(spark, ["a"], langs=[None])).collect()} == {"und"}
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo é"), (1, 1, "assistant", "yo é"), (1, 200, None, None), (2, None, "system", "s")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_perspectives.rotate_perspectives(turns).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.conv_id, r.speaker, r.part)):
+        text = whole.setdefault((r.conv_id, r.speaker), [])
+        assert r.start == sum(len(t) for t in text)
+        text.append(r.text)
+        for m in r["mask"]:
+            assert r.text[m.start : m.end] in ("hi", "yo é", "", "s")
+    assert sorted(whole) == [(1, "assistant"), (1, "unknown"), (1, "user"), (2, "system")]
+    assert "".join(whole[(1, "user")]).startswith("<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=assistant\nyo é")
+
+
+def test_pii(spark):
+    texts = [
+        "a@b.c_d@e.f x@y 1.2.3.4.5.6.7.8 999.1.1.1 é+1 (017) 555-7713x 4539 1488 0343 6467", None, "", "x" * 40000 + "1" * 40000,
+        "1 " * 20000, "a@b.c " * 1500, "🎉 a@b.co 😀+1 555 555 5555", "a@b.co",
+    ]
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    phone, card = texts[0].index("+1"), texts[0].index("4539")
+    want = f"email:0:5,email:5:11,ip:16:23,ip:24:31,phone:{phone}:{phone + 17},card:{card}:{card + 19}"
+    assert got[0].spans.startswith(want) and got[0].n_ip == 2
+    assert got[6].spans == "email:2:8,phone:10:25" and got[7].spans == "email:0:6" and got[5].n_email == 1500
+    assert all(got[i].spans == "" and got[i].base_sha256 == hashlib.sha256(b"").hexdigest() for i in (1, 2, 3, 4))
+    assert pii.redact(frame(spark, texts)).filter("doc_id = 6").first().text == "🎉 [email] 😀[phone]"
+    assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+def test_quality(spark):
+    good, bad = "the quick brown fox jumps over a lazy dog", "BUY!! NOW!! *** CHEAP!! PILLS!!"
+    texts = [f"{good} number{i}" if i % 2 else f"{bad} n{i}" for i in range(120)] + [None, ""]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score_documents(docs, labels).collect()}
+    assert all(got[i].kept == bool(i % 2) for i in range(80, 120)) and 0 <= got[120].score <= 1
+    assert quality.good_documents(docs, labels).columns == docs.columns
+    assert quality.good_documents(docs, labels.limit(0)).count() == 122
