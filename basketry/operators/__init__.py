@@ -1,3 +1 @@
-"""DataFrame -> DataFrame operators.  None of them triggers an action except
-:func:`basketry.operators.joins.broadcast_if_bounded`, which counts a dimension
-to prove its size before broadcasting it."""
+"""DataFrame -> DataFrame operators.  None of them triggers an action."""

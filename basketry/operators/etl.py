@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.basket import product_tokens, token_to_product
 from basketry.functions.dates import parse_iso_date
-from basketry.operators.joins import broadcast_if_bounded
 from basketry.schemas import ENRICHED_COLUMNS, LOTE_COLUMN
 
 
@@ -47,58 +43,27 @@ def dedupe_product_category(product_category: DataFrame) -> DataFrame:
     return product_category.groupBy("producto_id").agg(F.min("categoria_id").alias("categoria_id"))
 
 
-@dataclass(frozen=True)
-class Dimensions:
-    """The deduplicated bridge and the category names, ready to join.
+def product_categories(product_category: DataFrame, categories: DataFrame) -> DataFrame:
+    """(producto_id, categoria_id, nombre_categoria): one row per mapped product.
 
-    Each is already wrapped in ``broadcast`` when (and only when) its size was
-    proven below the budget.
+    Names are collapsed per id (smallest) and joined onto the deduplicated
+    bridge, small on small, so that the fact is joined once, on its product.
     """
+    names = categories.groupBy("categoria_id").agg(F.min("nombre_categoria").alias("nombre_categoria"))
+    return dedupe_product_category(product_category).join(names, "categoria_id", "left")
+
+
+def enrich_with_products(fact: DataFrame, products: DataFrame) -> DataFrame:
+    """Fact LEFT JOIN :func:`product_categories` (unmatched rows keep null category).
 
-    bridge: DataFrame
-    names: DataFrame
-    bridge_broadcast: bool = False
-    names_broadcast: bool = False
-
-    @property
-    def keeps_input_partitioning(self) -> bool:
-        """True when both joins are broadcast: the enriched rows stay in the
-        tasks (and thus the branch) their input split came from."""
-        return self.bridge_broadcast and self.names_broadcast
-
-
-def prepare_dimensions(
-    product_category: DataFrame,
-    categories: DataFrame,
-    broadcast_bytes: int | None = None,
-) -> Dimensions:
-    # the two size checks are independent small jobs: run them concurrently
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        f1 = pool.submit(broadcast_if_bounded, dedupe_product_category(product_category), broadcast_bytes)
-        f2 = pool.submit(broadcast_if_bounded, categories.select("categoria_id", "nombre_categoria"), broadcast_bytes)
-        (bridge, b1), (names, b2) = f1.result(), f2.result()
-    return Dimensions(bridge, names, b1, b2)
-
-
-def enrich_with_dimensions(fact: DataFrame, dims: Dimensions) -> DataFrame:
-    """Fact LEFT JOIN bridge LEFT JOIN names (unmatched rows keep null category)."""
-    return fact.join(dims.bridge, "producto_id", "left").join(dims.names, "categoria_id", "left")
-
-
-def enrich_with_categories(
-    fact: DataFrame,
-    product_category: DataFrame,
-    categories: DataFrame,
-    broadcast_bytes: int | None = None,
-) -> DataFrame:
-    """Fact LEFT JOIN deduplicated bridge LEFT JOIN category names.
-
-    Row count is preserved (the bridge is unique after dedupe; category ids
-    are assumed unique, as in the source).  Each dimension is broadcast only
-    after its size is proven small; otherwise the join is a shuffle join on
-    the key, where AQE splits a hot product's partition.
+    No side is forced into a broadcast: Spark and AQE choose the join from real
+    sizes, and a hot product's partition is split by AQE's skew join.
     """
-    return enrich_with_dimensions(fact, prepare_dimensions(product_category, categories, broadcast_bytes))
+    return fact.join(products, "producto_id", "left")
+
+
+def enrich_with_categories(fact: DataFrame, product_category: DataFrame, categories: DataFrame) -> DataFrame:
+    return enrich_with_products(fact, product_categories(product_category, categories))
 
 
 def select_final_columns(df: DataFrame) -> DataFrame:
@@ -107,31 +72,21 @@ def select_final_columns(df: DataFrame) -> DataFrame:
     return df.select(*ENRICHED_COLUMNS, *extra)
 
 
-def run_transformations(
-    raw: DataFrame,
-    product_category: DataFrame | None = None,
-    categories: DataFrame | None = None,
-    broadcast_bytes: int | None = None,
-    dims: Dimensions | None = None,
-) -> DataFrame:
+def transform_lines(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Parse dates on the receipt lines (one row per receipt, before the
     explode multiplies rows), explode, add quantity, enrich, project.
 
-    Pass ``dims`` (from :func:`prepare_dimensions`) to reuse prepared
-    dimensions across many calls, e.g. streaming micro-batches."""
-    if dims is None:
-        dims = prepare_dimensions(product_category, categories, broadcast_bytes)
-    lines = parse_dates(raw)
-    units = add_quantity(explode_baskets(lines))
-    return select_final_columns(enrich_with_dimensions(units, dims))
-
-
-def enrich_fact(
-    fact: DataFrame,
-    product_category: DataFrame,
-    categories: DataFrame,
-    broadcast_bytes: int | None = None,
-) -> DataFrame:
+    ``products`` is :func:`product_categories`, which streaming micro-batches share.
+    """
+    units = add_quantity(explode_baskets(parse_dates(raw)))
+    return select_final_columns(enrich_with_products(units, products))
+
+
+def run_transformations(raw: DataFrame, product_category: DataFrame, categories: DataFrame) -> DataFrame:
+    return transform_lines(raw, product_categories(product_category, categories))
+
+
+def enrich_fact(fact: DataFrame, product_category: DataFrame, categories: DataFrame) -> DataFrame:
     """Enrich an already exploded fact (fecha DATE, sucursal_id, cliente_id, producto_id)."""
     units = add_quantity(fact.select("fecha", "sucursal_id", "cliente_id", "producto_id"))
-    return select_final_columns(enrich_with_categories(units, product_category, categories, broadcast_bytes))
+    return select_final_columns(enrich_with_categories(units, product_category, categories))

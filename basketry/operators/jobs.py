@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the highest ``order`` value per ``key``.
 
-    ``max_by`` over a struct of the row is a plain aggregate with partial
-    (map-side) merging, so a key holding a third of all rows is reduced per
-    map task instead of being sorted in one window partition.
+    A hash aggregate finds the highest value per key with partial (map-side)
+    merging of two narrow columns; an equi-join on (key, value) then fetches
+    the row, so no partition is sorted by a key with few values.  Rows that tie
+    for the highest value are all returned.
     """
-    others = [c for c in df.columns if c != key]
-    row = F.struct(*[F.col(c) for c in others])
-    return df.groupBy(key).agg(F.max_by(row, F.col(order)).alias("_r")).select(key, "_r.*")
+    top = df.groupBy(key).agg(F.max(order).alias(order))
+    return df.join(top, [key, order]).select(key, *[c for c in df.columns if c != key])
 
 
 def recent_n(df: DataFrame, order: str, n: int = 20) -> DataFrame:

@@ -62,6 +62,7 @@ def top_customers(visits: DataFrame, k: int = 10) -> DataFrame:
         "cliente_id",
         prefixed_label(CUSTOMER_PREFIX, "cliente_id").alias("label"),
         "n_transacciones",
+        thousands("n_transacciones").alias("texto"),
     )
 
 

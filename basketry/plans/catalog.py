@@ -13,9 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.dates import parse_iso_date
 from basketry.operators import categories, customers, jobs, kpis, series
-from basketry.operators.etl import dedupe_product_category, enrich_fact, explode_baskets, run_transformations
+from basketry.operators.etl import dedupe_product_category, enrich_fact, explode_baskets, parse_dates, run_transformations
 from basketry.operators.visits import visits as visits_of
 from basketry.plans.kpi_job import kpi_bundle, run_kpis
 from basketry.plans.partials import refresh_partials, run_kpis_from_partials
@@ -81,9 +80,7 @@ def q_explode_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = proxy_baskets(spark, sf_dir)
-    return lines.select(F.col("fecha").alias("fecha_txt"), parse_iso_date("fecha").alias("fecha")).filter(
-        F.col("fecha").isNotNull()
-    )
+    return parse_dates(lines.withColumn("fecha_txt", F.col("fecha"))).select("fecha_txt", "fecha")
 
 
 def q_category_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
-"""ETL job: branch files -> enriched, branch-partitioned Parquet table.
+"""ETL job: receipt files -> enriched, branch-partitioned Parquet table.
 
-Incremental by design: the source manifest (taken *before* reading, saved
-only after a successful write) decides which branches are re-ingested.
+The table is a function of the input files: every accepted line is kept under
+its own branch, whichever file holds it, in the slice of its source file.
 
-* added / modified branch -> its partition folder is cleared, its files are
-  read and written back (dynamic partition overwrite);
-* removed branch -> its partition folder is dropped;
-* any change of the two dimension files -> every branch is re-ingested.
+* the files of added / modified branches (by file name; unnamed files form one
+  group) are read and their slices written, then slices that these files no
+  longer fill are deleted, and only then the state is saved;
+* slices of removed files are deleted after the write as well;
+* any change of the two dimension files, or a missing table -> all files again;
+* without a state every file is read, and slices of no current file go.
 
-Only the branch-level state (one row per branch) and the file paths of the
-branches being re-read reach the driver -- bounded by the number of branches
-and by the files actually ingested, never by data volume.
+One row per branch, the paths of the files to read again when not all are read,
+and the slices written reach the driver: metadata, never data.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.etl import prepare_dimensions, run_transformations
+from basketry.operators.etl import product_categories, transform_lines
+from basketry.schemas import LOTE_COLUMN
 from basketry.sources.csv import (
     accepted_baskets,
     basket_accepted,
@@ -28,9 +30,13 @@ from basketry.sources.csv import (
     read_categories,
     read_product_category,
     scan_baskets,
+    with_slice,
 )
-from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest, table_fingerprint
-from basketry.sources.parquet import drop_branches, path_exists, write_enriched
+from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest
+from basketry.sources.parquet import PARTITION_COLUMN, drop_slices, path_exists, table_slices, write_enriched
+
+#: Pseudo-branches of the state: the dimension files, and receipt files that name no branch.
+DIMENSIONS, UNNAMED = -1, -2
 
 
 @dataclass
@@ -49,13 +55,6 @@ def _read_state(spark: SparkSession, state_path: str | None) -> DataFrame | None
     return spark.read.parquet(state_path)
 
 
-def branch_state(receipts: DataFrame, dimensions: DataFrame) -> DataFrame:
-    """One fingerprint row per branch, plus a pseudo-branch (-1) for both dimension files."""
-    branches = branch_manifest(receipts).select("branch", "fingerprint")
-    dim_fp = table_fingerprint(dimensions).select(F.lit(-1).alias("branch"), "fingerprint")
-    return branches.unionByName(dim_fp)
-
-
 def run_etl(
     spark: SparkSession,
     baskets_path: str,
@@ -68,25 +67,23 @@ def run_etl(
 ) -> EtlResult:
     # Listing happens once, when the manifests are created: the file index is
     # a fixed snapshot taken before any data is read, so the state saved at
-    # the end describes exactly what was ingested.  Files whose path names no
-    # branch (neither branch=<id>/ nor <id>_Tran.csv) are not ingested.
-    receipts = source_manifest(spark, baskets_path).filter(F.col("branch").isNotNull())
-    dimensions = source_manifest(spark, product_category_path).unionByName(
-        source_manifest(spark, categories_path)
-    )
-    # only branch-level rows reach the driver (one per branch, never per file)
-    new_rows = branch_state(receipts, dimensions).collect()
-    new_state = spark.createDataFrame(new_rows, "branch int, fingerprint string")
-    old_state = _read_state(spark, state_path)
+    # the end describes exactly what was ingested.
+    receipts = source_manifest(spark, baskets_path).withColumn("branch", F.coalesce("branch", F.lit(UNNAMED)))
+    dimensions = source_manifest(spark, product_category_path).unionByName(source_manifest(spark, categories_path))
+    current = receipts.unionByName(dimensions.withColumn("branch", F.lit(DIMENSIONS)))
+    there = path_exists(spark, table_path)
+    old = _read_state(spark, state_path) if there else None
 
-    if old_state is None:
-        changes = {r["branch"]: "added" for r in new_rows}
+    # only branch-level rows reach the driver (one per branch, never per file)
+    if old is None:
+        changes = {r["branch"]: "added" for r in current.select("branch").distinct().collect()}
     else:
-        changes = {r["branch"]: r["change"] for r in manifest_diff(old_state, new_state).collect()}
+        diff = manifest_diff(branch_manifest(old), branch_manifest(current))
+        changes = {r["branch"]: r["change"] for r in diff.collect()}
 
     # force: re-ingest every current branch (removed ones are still dropped)
-    dims_changed = force or changes.get(-1, "unchanged") != "unchanged"
-    branches = [b for b in changes if b != -1]
+    dims_changed = force or changes.get(DIMENSIONS, "unchanged") != "unchanged"
+    branches = [b for b in changes if b != DIMENSIONS]
     if dims_changed:
         to_ingest = [b for b in branches if changes[b] != "removed"]
     else:
@@ -94,46 +91,37 @@ def run_etl(
     removed = [b for b in branches if changes[b] == "removed"]
 
     result = EtlResult(ingested=sorted(to_ingest), removed=sorted(removed))
-    if not to_ingest and not removed:
+    if not to_ingest and not removed and old is not None:
         result.skipped = True
         return result
 
-    # Every branch about to be re-read is cleared first: a modified branch may
-    # have lost files, and slices written by the streaming path (lote = batch
-    # id) must not survive next to the re-ingested rows.  A crash after this
-    # point leaves the state unsaved, so the next run re-ingests them.
+    written: list = []
+    reread = receipts.filter(F.col("branch").isin(to_ingest))
     if to_ingest:
-        drop_branches(spark, table_path, to_ingest)
-        # file paths of the changed branches only (bounded by what is re-read)
-        paths = [r["file"] for r in receipts.filter(F.col("branch").isin(to_ingest)).select("file").collect()]
-        # only the changed branches' files are scanned; the row filter keeps a
-        # stray line of another branch from overwriting that branch's partition
+        # the folder itself when all its files are read, else the changed files
+        everything = set(to_ingest) == {b for b in branches if changes[b] != "removed"}
+        paths = baskets_path if everything else [r["file"] for r in reread.select("file").collect()]
         lines_seen = Observation("lines")
         units_seen = Observation("units")
         # line counts (accepted and rejected) are observed on the single scan
-        scan = scan_baskets(spark, paths).observe(
+        scan = with_slice(scan_baskets(spark, paths)).observe(
             lines_seen,
             F.count(F.when(basket_accepted(), F.lit(1))).alias("lines"),
             F.count(F.when(~basket_accepted(), F.lit(1))).alias("rejected_lines"),
         )
-        raw = accepted_baskets(scan).filter(F.col("sucursal_id").isin(to_ingest))
-        dims = prepare_dimensions(
+        products = product_categories(
             read_product_category(spark, product_category_path), read_categories(spark, categories_path)
         )
-        enriched = run_transformations(raw, dims=dims)
-        enriched = enriched.observe(
+        enriched = transform_lines(accepted_baskets(scan), products).observe(
             units_seen,
             F.count(F.lit(1)).alias("units"),
             F.count("nombre_categoria").alias("units_with_category"),
+            F.collect_set(F.struct(PARTITION_COLUMN, LOTE_COLUMN)).alias("slices"),
         )
-        # every source file names one branch, so each input split holds one
-        # branch; with both dimensions broadcast the rows never leave their
-        # split's task, and the fact is written without a shuffle (a large
-        # branch file is split over many tasks by the scan itself).  After a
-        # shuffle join (dimension over budget) rows are grouped by product, so
-        # the write rebalances by branch instead of scattering small files.
-        write_enriched(enriched, table_path, rebalance=not dims.keeps_input_partitioning)
-        result.metrics = {**lines_seen.get, **units_seen.get}
+        write_enriched(enriched, table_path)
+        seen = dict(units_seen.get)
+        written = [tuple(r) for r in seen.pop("slices") or []]
+        result.metrics = {**lines_seen.get, **seen}
         if rejects_path and result.metrics["rejected_lines"] > 0:
             # malformed lines of the re-read files, one folder per source file
             # (dynamic overwrite: re-reading a file replaces its rejects); the
@@ -145,9 +133,26 @@ def run_etl(
                 .partitionBy("archivo")
                 .parquet(rejects_path)
             )
-    if removed:
-        drop_branches(spark, table_path, removed)
+    if there:
+        _drop_superseded(spark, table_path, old, receipts, reread, written)
     if state_path:
-        # one small file: a row per branch
-        new_state.coalesce(1).write.mode("overwrite").parquet(state_path)
+        # one row per file
+        current.coalesce(1).write.mode("overwrite").parquet(state_path)
     return result
+
+
+def _drop_superseded(
+    spark: SparkSession, table_path: str, old: DataFrame | None, receipts: DataFrame, reread: DataFrame, written: list
+) -> None:
+    """Delete slices of files that are gone, and slices that the files read again no longer fill."""
+    slices = table_slices(spark, table_path)
+    here = receipts.select(F.col("slice").alias(LOTE_COLUMN))
+    gone = slices.join(here, LOTE_COLUMN, "left_anti")
+    if old is not None:  # slices of other inputs (a stream over another folder) stay
+        known = old.filter(F.col("branch") != DIMENSIONS).select(F.col("slice").alias(LOTE_COLUMN))
+        gone = gone.join(known, LOTE_COLUMN, "left_semi")
+    filled = spark.createDataFrame(written, f"{PARTITION_COLUMN} int, {LOTE_COLUMN} bigint")
+    again = slices.join(reread.select(F.col("slice").alias(LOTE_COLUMN)), LOTE_COLUMN, "left_semi")
+    empty = again.join(filled, [PARTITION_COLUMN, LOTE_COLUMN], "left_anti")
+    columns = [PARTITION_COLUMN, LOTE_COLUMN]
+    drop_slices(spark, table_path, [tuple(r) for r in gone.select(*columns).union(empty.select(*columns)).collect()])

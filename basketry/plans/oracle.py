@@ -120,7 +120,8 @@ from (select producto_id, cast(sum(cantidad) as bigint) as total_cantidad from f
       group by producto_id order by total_cantidad desc, producto_id asc limit 10)"""
     ),
     "top_customers": _sql(
-        """select cliente_id, 'Cliente ' || cast(cliente_id as varchar) as label, n_transacciones
+        """select cliente_id, 'Cliente ' || cast(cliente_id as varchar) as label, n_transacciones,
+       format('{:,}', n_transacciones) as texto
 from (select cliente_id, count(*) as n_transacciones from fx_visits
       group by cliente_id order by n_transacciones desc, cliente_id asc limit 10)"""
     ),

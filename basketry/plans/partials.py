@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.visits import visits as visits_of
 from basketry.plans.kpi_job import run_kpis
-from basketry.sources.parquet import PARTITION_COLUMN, drop_branches, read_enriched
+from basketry.sources.parquet import PARTITION_COLUMN, drop_branches, path_exists, read_enriched
 
 PARTIAL_NAMES = ("visits", "customer_products")
 
@@ -52,15 +52,21 @@ def refresh_partials(
 ) -> None:
     """Re-fold ``branches`` (all when None) from the fact and drop ``removed``."""
     branches = None if branches is None else list(branches)
+    if not all(path_exists(spark, f"{partials_root}/{name}") for name in PARTIAL_NAMES):
+        branches = None  # nothing to build on
+    removed = set(removed)
     if branches != []:
         fact = read_enriched(spark, table_path, branches)
         for name, df in fold(fact).items():
             (
-                df.write.mode("overwrite")
+                df.hint("rebalance", PARTITION_COLUMN)
+                .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(PARTITION_COLUMN)
                 .parquet(f"{partials_root}/{name}")
             )
+        if branches is not None:  # a branch that folds to no row overwrites nothing
+            removed |= set(branches) - {r[0] for r in fact.select(PARTITION_COLUMN).distinct().collect()}
     for name in PARTIAL_NAMES:
         drop_branches(spark, f"{partials_root}/{name}", removed)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from basketry.schemas import (
+    LOTE_COLUMN,
     CATEGORY_SCHEMA,
     CORRUPT_COLUMN,
     PRODUCT_CATEGORY_SCHEMA,
@@ -36,16 +37,12 @@ def _options(header: bool, pattern: str) -> dict[str, str]:
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT_COLUMN,
         "pathGlobFilter": pattern,
+        # every field of every line is parsed, whatever columns the query needs, or malformed lines would pass
+        "columnPruning": "false",
     }
 
 
-def _full_parse(spark: SparkSession) -> None:
-    # parse every field of every line, whatever columns the query needs
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-
-
 def _reader(spark: SparkSession, schema: StructType, header: bool, pattern: str) -> DataFrameReader:
-    _full_parse(spark)
     return (
         spark.read.schema(with_corrupt_column(schema))
         .options(**_options(header, pattern))
@@ -91,13 +88,18 @@ def read_baskets(spark: SparkSession, path: str | list[str], pattern: str = "*.c
 
 
 def accepted_baskets(raw: DataFrame) -> DataFrame:
-    """Well-formed lines of a raw (batch or streaming) scan."""
-    return raw.filter(basket_accepted()).select(*RAW_BASKET_SCHEMA.fieldNames())
+    """Well-formed lines of a raw (batch or streaming) scan, with their slice if the scan has it."""
+    extra = [LOTE_COLUMN] if LOTE_COLUMN in raw.columns else []
+    return raw.filter(basket_accepted()).select(*RAW_BASKET_SCHEMA.fieldNames(), *extra)
+
+
+def with_slice(raw: DataFrame) -> DataFrame:
+    """Each line of a scan with the slice of the table that it belongs to: a hash of its source file's path."""
+    return raw.withColumn(LOTE_COLUMN, F.xxhash64("_metadata.file_path"))
 
 
 def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStreamReader:
     """Structured Streaming twin of the batch reader (same schema and options)."""
-    _full_parse(spark)
     return spark.readStream.schema(with_corrupt_column(RAW_BASKET_SCHEMA)).options(**_options(False, pattern))
 
 
@@ -116,9 +118,7 @@ def read_product_category(spark: SparkSession, path: str, pattern: str = "*.csv"
 def read_categories(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Headerless category names; CRLF line ends are handled by the CSV reader."""
     raw = _reader(spark, CATEGORY_SCHEMA, False, pattern).csv(path)
-    return raw.filter(_accepted(["categoria_id"])).select(
-        "categoria_id", F.rtrim(F.col("nombre_categoria")).alias("nombre_categoria")
-    )
+    return raw.filter(_accepted(["categoria_id"])).select("categoria_id", "nombre_categoria")
 
 
 def write_baskets(df: DataFrame, path: str) -> None:

@@ -24,21 +24,22 @@ def source_manifest(spark: SparkSession, path: str, pattern: str = "*.csv") -> D
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", "length", "modificationTime")
+        .select("path", "length", "modificationTime", F.xxhash64("_metadata.file_path").alias("slice"))
     )
     branch = F.coalesce(
         F.nullif(F.regexp_extract("path", _BRANCH_FOLDER, 1), F.lit("")),
         F.nullif(F.regexp_extract("path", _BRANCH_FILE, 1), F.lit("")),
-    ).cast("int")
+    ).try_cast("int")
     return files.select(
         F.col("path").alias("file"),
         branch.alias("branch"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
         F.sha2(
-            F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")),
+            F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")),
             256,
         ).alias("fingerprint"),
+        "slice",
     )
 
 

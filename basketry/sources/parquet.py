@@ -12,36 +12,31 @@ from basketry.schemas import ENRICHED_COLUMNS, LOTE_COLUMN
 PARTITION_COLUMN = "sucursal_id"
 
 
-def write_enriched(df: DataFrame, path: str, rebalance: bool = True) -> None:
-    """Write the fact partitioned by branch (and ingest batch), replacing only what is present.
-
-    ``partitionOverwriteMode=dynamic`` is set on this write only, so branches
-    absent from ``df`` keep their files (re-ingesting one branch leaves the
-    others alone; removed branches are dropped by :func:`drop_branches`).
-    The second level ``lote`` is 0 for batch writes (one slice per branch) and
-    the micro-batch id for streaming writes, so a replayed micro-batch
-    replaces exactly its own slice and never the rows of earlier batches.
-
-    ``rebalance`` (for arbitrary inputs) lets AQE split a dominant branch over
-    many tasks and merge small ones before the write, so a branch holding a
-    third of all rows does not end up in one task or one huge file -- at the
-    cost of shuffling the fact.  Callers whose input splits already hold a
-    single branch each (the file ETL: one branch per source file, a large file
-    split into many tasks) pass ``rebalance=False``: every task then writes
-    into one branch folder with no shuffle at all.
+def write_enriched(df: DataFrame, path: str) -> None:
+    """Write the fact partitioned by branch and slice, replacing only the slices that ``df`` holds.
+
+    ``partitionOverwriteMode=dynamic`` is set on this write only.  The second
+    level ``lote`` is the slice: a hash of the source file for the ETL and the
+    stream alike (0 for rows without one), so reading a file again replaces
+    exactly its own rows.  AQE's rebalance splits a dominant branch over many
+    tasks and merges small ones before the write, whatever joins ran before.
     """
     lote = F.col(LOTE_COLUMN) if LOTE_COLUMN in df.columns else F.lit(0).cast("bigint")
-    out = df.select(*ENRICHED_COLUMNS, lote.alias(LOTE_COLUMN))
-    if rebalance:
-        out = out.hint("rebalance", PARTITION_COLUMN, LOTE_COLUMN)
     (
-        out.write.mode("overwrite")
+        df.select(*ENRICHED_COLUMNS, lote.alias(LOTE_COLUMN))
+        .hint("rebalance", PARTITION_COLUMN, LOTE_COLUMN)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION_COLUMN, LOTE_COLUMN)
         .parquet(path)
     )
 
 
+def table_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(sucursal_id, lote) of the slices that the table holds; partition columns only, no data column is read."""
+    return spark.read.parquet(path).select(PARTITION_COLUMN, LOTE_COLUMN).distinct()
+
+
 def read_enriched(spark: SparkSession, path: str, branches: Iterable[int] | None = None) -> DataFrame:
     """Scan the fact; a branch list becomes a partition filter (directory pruning)."""
     df = spark.read.parquet(path)
@@ -58,7 +53,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def drop_branches(spark: SparkSession, path: str, branches: Iterable[int]) -> int:
-    """Delete the partition folders of branches whose source file disappeared.
+    """Delete the partition folders of branches."""
+    return _drop(spark, path, [f"{PARTITION_COLUMN}={int(b)}" for b in branches])
+
+
+def drop_slices(spark: SparkSession, path: str, slices: Iterable[tuple[int, int]]) -> int:
+    """Delete the folders of (branch, slice) pairs."""
+    return _drop(spark, path, [f"{PARTITION_COLUMN}={int(b)}/{LOTE_COLUMN}={int(s)}" for b, s in slices])
+
+
+def _drop(spark: SparkSession, path: str, folders: list[str]) -> int:
+    """Delete partition folders of a table.
 
     Partition folders are metadata, so this goes through the Hadoop
     FileSystem of the table path (works for HDFS / object stores alike).
@@ -69,8 +74,8 @@ def drop_branches(spark: SparkSession, path: str, branches: Iterable[int]) -> in
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
     removed = 0
-    for b in branches:
-        part = jvm.org.apache.hadoop.fs.Path(root, f"{PARTITION_COLUMN}={int(b)}")
+    for folder in folders:
+        part = jvm.org.apache.hadoop.fs.Path(root, folder)
         if fs.exists(part) and fs.delete(part, True):
             removed += 1
     return removed

@@ -70,7 +70,7 @@ def proxy_product_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     through an explode (the same rows as a UNION ALL of two filtered scans).
     """
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    brand = F.substring("p_brand", 7, 100).cast("int")
+    brand = F.expr("substring(p_brand, 7)").cast("int")
     size = F.col("p_size").cast("int")
     mappings = F.when(F.col("p_size") <= 10, F.array(brand, size)).otherwise(F.array(brand))
     return part.filter(F.col("p_size") <= 25).select(
@@ -81,6 +81,6 @@ def proxy_product_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proxy_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_brand")
     return part.select(
-        F.substring("p_brand", 7, 100).cast("int").alias("categoria_id"),
+        F.expr("substring(p_brand, 7)").cast("int").alias("categoria_id"),
         F.col("p_brand").alias("nombre_categoria"),
     ).distinct()

@@ -3,22 +3,18 @@
 The file source remembers which files it has processed (in the checkpoint),
 so a restart adds nothing twice.  Each micro-batch is transformed with the
 same ETL as the batch path and written with dynamic partition overwrite on
-(sucursal_id, lote = micro-batch id).  The file source records which files
-belong to each batch id before running it, so a replayed batch reads the
-same files and rewrites the same slices with the same rows (idempotent
-``foreachBatch``); slices of earlier batches are never touched.
+(sucursal_id, lote = hash of the source file): a replayed batch rewrites the
+same slices with the same rows (idempotent ``foreachBatch``), and neither the
+batch ETL's slices nor another stream's are touched unless a file is the same.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from basketry.operators.etl import Dimensions, dedupe_product_category, run_transformations
-from basketry.operators.joins import broadcast_if_bounded
-from basketry.schemas import LOTE_COLUMN
-from basketry.sources.csv import accepted_baskets, basket_stream_reader
+from basketry.operators.etl import product_categories, transform_lines
+from basketry.sources.csv import accepted_baskets, basket_stream_reader, with_slice
 from basketry.sources.parquet import write_enriched
 
 
@@ -45,17 +41,15 @@ def ingest_stream(
     reader = basket_stream_reader(spark, pattern)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    raw = reader.csv(source_dir)
+    raw = with_slice(reader.csv(source_dir))
 
-    # dimensions are deduplicated, size-checked and kept for the query's life,
+    # products with their categories are computed once and kept for the query's life,
     # not recomputed per micro-batch (a lost block is rebuilt from lineage).
     # A running stream keeps the dimensions it started with: after a change of
     # the dimension files, restart it (the batch ETL re-ingests every branch).
-    bridge = dedupe_product_category(product_category).persist(StorageLevel.MEMORY_AND_DISK)
-    names = categories.select("categoria_id", "nombre_categoria").persist(StorageLevel.MEMORY_AND_DISK)
-    dims = prepare_dimensions_from(bridge, names)
+    products = product_categories(product_category, categories).persist(StorageLevel.MEMORY_AND_DISK)
 
-    writer = raw.writeStream.foreachBatch(batch_writer(dims, table_path, marts_root)).option(
+    writer = raw.writeStream.foreachBatch(batch_writer(products, table_path, marts_root)).option(
         "checkpointLocation", checkpoint_path
     )
     if available_now:
@@ -63,28 +57,20 @@ def ingest_stream(
             query = writer.trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            bridge.unpersist()
-            names.unpersist()
+            products.unpersist()
     else:
         query = writer.trigger(processingTime="30 seconds").start()
     return query
 
 
-def batch_writer(dims: Dimensions, table_path: str, marts_root: str | None = None):
+def batch_writer(products: DataFrame, table_path: str, marts_root: str | None = None):
     """The ``foreachBatch`` function: ETL of one micro-batch of raw lines,
-    written as the (branch, lote = epoch) slices -- calling it again with the
-    same epoch and rows leaves the table exactly as after the first call.
+    written as the slices of its source files -- calling it again with the
+    same rows leaves the table exactly as after the first call.
     The optional mart refresh overwrites all marts, so it is idempotent too."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        enriched = run_transformations(accepted_baskets(batch), dims=dims)
-        # micro-batches carry whole branch files: splits are single-branch, so
-        # no shuffle is needed unless a shuffle join regrouped the rows
-        write_enriched(
-            enriched.withColumn(LOTE_COLUMN, F.lit(int(epoch_id)).cast("bigint")),
-            table_path,
-            rebalance=not dims.keeps_input_partitioning,
-        )
+        write_enriched(transform_lines(accepted_baskets(batch), products), table_path)
         if marts_root:
             from basketry.plans.kpi_job import run_kpis
             from basketry.sources.parquet import read_enriched
@@ -92,10 +78,3 @@ def batch_writer(dims: Dimensions, table_path: str, marts_root: str | None = Non
             run_kpis(read_enriched(batch.sparkSession, table_path), marts_root)
 
     return write_batch
-
-
-def prepare_dimensions_from(bridge: DataFrame, names: DataFrame) -> Dimensions:
-    """Size-check already deduplicated dimensions once."""
-    b, b_ok = broadcast_if_bounded(bridge)
-    n, n_ok = broadcast_if_bounded(names)
-    return Dimensions(b, n, b_ok, n_ok)

@@ -1,6 +1,8 @@
 """Manifest, change detection and the incremental ETL job."""
 
 import os
+
+import pytest
 import time
 
 from pyspark.sql import functions as F
@@ -76,6 +78,59 @@ def test_incremental_etl(spark, write_lines, tmp_path):
     assert {x.nombre_categoria for x in read_enriched(spark, table).collect()} == {"UNO", None}
 
 
+def test_table_is_a_function_of_the_files(spark, write_lines, tmp_path):
+    """Lines of a foreign branch stay, unnamed files count, and the table does not depend on the ingest history."""
+    tx = write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2", "2013-01-01|103|2|1 1 1"])
+    write_lines("tx", "103_Tran.csv", ["2013-01-01|103|3|2 2"])
+    write_lines("tx", "norte_Tran.csv", ["2013-01-01|110|4|1"])
+    write_lines("tx", "99999999999999999999_Tran.csv", ["2013-01-01|111|4|1"])
+    pc = write_lines("pc", "ProductCategory.csv", ["v.Code_pr|v.code", "1|1"])
+    cat = write_lines("cat", "Categories.csv", ["1|Uno"])
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+
+    def units(path):
+        return {r.sucursal_id: r["count"] for r in read_enriched(spark, path).groupBy("sucursal_id").count().collect()}
+
+    run_etl(spark, tx, pc, cat, table, state)
+    assert units(table) == {102: 2, 103: 5, 110: 1, 111: 1}
+    write_lines("tx", "103_Tran.csv", ["2013-01-01|103|3|2 2 2"])
+    run_etl(spark, tx, pc, cat, table, state)
+    write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2"])  # its lines of 103 go
+    run_etl(spark, tx, pc, cat, table, state)
+    run_etl(spark, tx, pc, cat, str(tmp_path / "fresh"))
+    assert units(table) == units(str(tmp_path / "fresh")) == {102: 2, 103: 3, 110: 1, 111: 1}
+    os.remove(os.path.join(tx, "103_Tran.csv"))
+    run_etl(spark, tx, pc, cat, str(tmp_path / "fresh"))  # without a state
+    assert units(str(tmp_path / "fresh")) == {102: 2, 110: 1, 111: 1}
+
+
+def test_failed_write_keeps_the_old_rows(spark, write_lines, tmp_path, monkeypatch):
+    from basketry.plans import etl_job
+
+    tx, pc, cat = _setup(write_lines)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    run_etl(spark, tx, pc, cat, table, state)
+    before = read_enriched(spark, table).count()
+    write_lines("tx", "102_Tran.csv", ["2013-01-05|102|9|3"])
+    monkeypatch.setattr(etl_job, "write_enriched", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_etl(spark, tx, pc, cat, table, state)
+    monkeypatch.undo()
+    assert read_enriched(spark, table).count() == before
+    assert run_etl(spark, tx, pc, cat, table, state).ingested == [102]
+
+
+def test_time_zone_does_not_matter(spark, write_lines, tmp_path):
+    tx, pc, cat = _setup(write_lines)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    run_etl(spark, tx, pc, cat, table, state)
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    try:
+        assert run_etl(spark, tx, pc, cat, table, state).skipped
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_partition_pruning_by_branch(spark, write_lines, tmp_path):
     tx, pc, cat = _setup(write_lines)
     table = str(tmp_path / "table")

@@ -1,5 +1,7 @@
 """Structured Streaming ingest equals the batch ETL; restarts add nothing."""
 
+from pyspark.sql import functions as F
+
 from basketry.operators.etl import run_transformations
 from basketry.sources.csv import read_baskets
 from basketry.sources.parquet import read_enriched
@@ -38,16 +40,18 @@ def test_stream_equals_batch_and_restart(spark, write_lines, tmp_path):
 def test_replayed_micro_batch_is_idempotent(spark, write_lines, tmp_path):
     """A micro-batch re-run after a lost executor/driver rewrites its own slice only."""
     from basketry.schemas import RAW_BASKET_SCHEMA, with_corrupt_column
-    from basketry.streaming.ingest import batch_writer, prepare_dimensions_from
+    from basketry.operators.etl import product_categories
+    from basketry.streaming.ingest import batch_writer
 
     pc = spark.createDataFrame([(1, 1), (2, 2)], "producto_id int, categoria_id int")
     cats = spark.createDataFrame([(1, "Uno"), (2, "Dos")], "categoria_id int, nombre_categoria string")
-    from basketry.operators.etl import dedupe_product_category
+    from basketry.schemas import LOTE_COLUMN
 
-    write = batch_writer(prepare_dimensions_from(dedupe_product_category(pc), cats), str(tmp_path / "t"))
+    write = batch_writer(product_categories(pc, cats), str(tmp_path / "t"))
     schema = with_corrupt_column(RAW_BASKET_SCHEMA)
     b0 = spark.createDataFrame([("2013-01-01", 102, 1, "1 2", None), ("2013-01-01", 103, 2, "2", None)], schema)
     b1 = spark.createDataFrame([("2013-01-02", 102, 3, "1 1 1", None)], schema)
+    b0, b1 = b0.withColumn(LOTE_COLUMN, F.lit(10)), b1.withColumn(LOTE_COLUMN, F.lit(11))  # two files
     write(b0, 0)
     write(b1, 1)
     once = _rows(read_enriched(spark, str(tmp_path / "t")))
@@ -84,12 +88,30 @@ def test_batch_reingest_replaces_streamed_rows(spark, write_lines, tmp_path):
     table = str(tmp_path / "t")
     q = ingest_stream(spark, src, read_product_category(spark, pcd), read_categories(spark, catd), table,
                       str(tmp_path / "c"), max_files_per_trigger=1)
-    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2  # slices lote=0 and lote=1
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2
     assert read_enriched(spark, table).count() == 5
     run_etl(spark, src, pcd, catd, table, force=True)
     assert read_enriched(spark, table).count() == 5
 
 
+def test_new_stream_keeps_batch_rows(spark, write_lines, tmp_path):
+    """A stream over another file of a branch adds to what the batch wrote, and a later batch run keeps it."""
+    from basketry.plans.etl_job import run_etl
+    from basketry.sources.csv import read_categories, read_product_category
+
+    tx = write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2 3 4 5"])
+    more = write_lines("more", "102_Tran.csv", ["2013-01-02|102|1|1"])
+    pcd = write_lines("pc", "pc.csv", ["v.Code_pr|v.code", "1|1"])
+    catd = write_lines("cat", "cat.csv", ["1|Uno"])
+    table, state = str(tmp_path / "t"), str(tmp_path / "s")
+    run_etl(spark, tx, pcd, catd, table, state)
+    ingest_stream(spark, more, read_product_category(spark, pcd), read_categories(spark, catd), table, str(tmp_path / "c"))
+    assert read_enriched(spark, table).count() == 6
+    assert run_etl(spark, tx, pcd, catd, table, state).skipped
+    run_etl(spark, tx, pcd, catd, table, state, force=True)
+    assert read_enriched(spark, table).count() == 6
+
+
 def test_command_line_stream(spark, write_lines, tmp_path):
     from basketry.__main__ import main
 
