@@ -74,4 +74,5 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hash, sample or learn in ways that SQL on another engine cannot repeat: tests hold them to brute force.
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle_sql()}

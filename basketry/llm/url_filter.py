@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.common import ascii_lower, materialise
+from basketry.llm.common import LOWER, UPPER, ascii_lower, materialise
 
 #: The contract's rules (host, path, verdict).
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -113,3 +113,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
             best.alias("matched"),
         )
     )
+
+
+def oracle_sql() -> str:
+    """The same judgement in DuckDB, with every rule tried on every URL."""
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = [(f"{h}{p}", f"||{h}{p}", action, 1) for h, p, action in HOST_RULES] + [(p, p, a, 0) for p, a in PATTERN_RULES]
+    rows = ", ".join(f"({quote(n)}, {quote(regex_of(p))}, {quote(a)}, {k}, {len(p)})" for n, p, a, k in rules)
+    return f"""
+with rules(rule, regex, action, rank, width) as (values {rows}),
+tails as (select *, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') as tail from pages),
+parts as (
+  select *, translate(regexp_extract(tail, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+         regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) as path,
+         substr(tail, length(regexp_extract(tail, '^([^/?#]*)', 1)) + 1) as rest
+  from tails),
+targets as (select distinct url, host || rest as target from parts where url is not null and host || rest <> ''),
+ranked as (
+  select url, rule, action, rank, row_number() over (partition by url order by rank desc, width desc, rule) as n
+  from targets join rules on regexp_matches(target, regex))
+select page_id, host, path, case when rank = 1 then rule end as rule, coalesce(action, 'allow') as verdict, rule as matched
+from parts left join (select * from ranked where n = 1) as best using (url)"""
