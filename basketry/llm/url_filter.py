@@ -79,8 +79,8 @@ def url_tokens(target: Column) -> Column:
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """``rules`` with ``token``: the literal that the fewest of ``urls`` (column ``tokens``) hold."""
     literals = rules.select("rule", F.explode_outer("literals").alias("token"))
-    wanted = literals.filter("token is not null").select("token").distinct()
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
+    # counted in each task before the shuffle, so a token that most URLs hold is no hot key
+    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").count()
     ranked = literals.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     key = ranked.groupBy("rule").agg(F.min(F.struct("count", "token"))["token"].alias("token"))
     return rules.drop("literals").join(key, "rule").withColumn("token", F.coalesce("token", F.lit("")))
