@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.stats import safe_corr
 from basketry.functions.text import feature_label
+from basketry.operators.visits import visits as visits_of
 
 FEATURES = ["frecuencia", "total_cantidad", "productos_distintos", "categorias_distintas"]
 # Fixed value: box-plot fence factor (Tukey).
@@ -24,25 +25,22 @@ def customer_features(enriched: DataFrame, visits: DataFrame | None = None) -> D
 
     ``frecuencia`` = distinct (fecha, sucursal_id) = visits of the customer;
     distinct counts ignore nulls (a customer with no categorised unit has 0
-    categories).  On the fact: one scan, one aggregate -- Spark rewrites the
-    three distinct counts into an Expand whose rows are aggregated map-side per
-    (customer, distinct value) before the first shuffle, then merged per
-    customer in a second (measured faster than chained aggregates plus a
-    visits join).  On a pre-aggregated fact without ``fecha`` (the
-    per-branch customer/product partials) ``visits`` supplies ``frecuencia``.
+    categories).  The fact is folded once per (customer, product), with the
+    product's one category; units and products are plain totals of that fold,
+    and one distinct count is left, so no row is expanded.  ``visits`` supply
+    ``frecuencia``; they are derived from the fact unless passed in (a fact
+    without ``fecha``, as the per-branch partials are, needs them).
     """
-    if visits is None and "fecha" in enriched.columns:
-        return enriched.groupBy("cliente_id").agg(
-            F.count_distinct("fecha", "sucursal_id").alias("frecuencia"),
-            F.sum("cantidad").cast("bigint").alias("total_cantidad"),
-            F.count_distinct("producto_id").alias("productos_distintos"),
-            F.count_distinct("categoria_id").alias("categorias_distintas"),
-        )
     if visits is None:
-        raise ValueError("visits are required when the input has no fecha column")
-    rest = enriched.groupBy("cliente_id").agg(
-        F.sum("cantidad").cast("bigint").alias("total_cantidad"),
-        F.count_distinct("producto_id").alias("productos_distintos"),
+        if "fecha" not in enriched.columns:
+            raise ValueError("visits are required when the input has no fecha column")
+        visits = visits_of(enriched)
+    fold = enriched.groupBy("cliente_id", "producto_id").agg(
+        F.sum("cantidad").alias("units"), F.min("categoria_id").alias("categoria_id")
+    )
+    rest = fold.groupBy("cliente_id").agg(
+        F.sum("units").cast("bigint").alias("total_cantidad"),
+        F.count("producto_id").alias("productos_distintos"),
         F.count_distinct("categoria_id").alias("categorias_distintas"),
     )
     frequency = visits.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("frecuencia"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from basketry.operators import categories, customers, jobs, kpis, series
 from basketry.operators.etl import dedupe_product_category, enrich_fact, explode_baskets, parse_dates, run_transformations
 from basketry.operators.visits import visits as visits_of
+from basketry.plans.etl_job import run_etl
 from basketry.plans.kpi_job import kpi_bundle, run_kpis
 from basketry.plans.partials import refresh_partials, run_kpis_from_partials
 from basketry.schemas import RAW_BASKET_SCHEMA
@@ -197,9 +198,20 @@ def q_kpi_partials_roundtrip(spark, sf_dir):
 
 
 def q_source_manifest(spark, sf_dir):
+    """Bytes of every branch's files (the other manifest columns depend on paths and times)."""
     src = scratch_path(spark, "baskets")
     csv_io.write_baskets(proxy_baskets(spark, sf_dir), src)
-    return branch_manifest(source_manifest(spark, src))
+    return branch_manifest(source_manifest(spark, src)).select("branch", "size")
+
+
+def _write_arrivals(spark: SparkSession, sf_dir: str, src: str) -> tuple[str, str]:
+    """Every receipt line as branch files in two folders: all years but the newest, and the newest."""
+    lines = _arrivals(spark, sf_dir)
+    newest = read_table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).scalar()
+    old, new = f"{src}/arrival=old", f"{src}/arrival=new"
+    csv_io.write_baskets(lines.filter(F.col("arrival") < newest), old)
+    csv_io.write_baskets(lines.filter(F.col("arrival") >= newest), new)
+    return old, new
 
 
 def q_manifest_diff(spark, sf_dir):
@@ -207,12 +219,59 @@ def q_manifest_diff(spark, sf_dir):
     land (saved as a table) is compared with the manifest after."""
     src = scratch_path(spark, "arrivals")
     state = scratch_path(spark, "manifest_state")
-    lines = _arrivals(spark, sf_dir)
-    newest = read_table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).scalar()
-    csv_io.write_baskets(lines.filter(F.col("arrival") < newest), f"{src}/arrival=old")
-    branch_manifest(source_manifest(spark, src)).write.parquet(state)
-    csv_io.write_baskets(lines.filter(F.col("arrival") >= newest), f"{src}/arrival=new")
-    return manifest_diff(spark.read.parquet(state), branch_manifest(source_manifest(spark, src)))
+    old, _ = _write_arrivals(spark, sf_dir, src)
+    branch_manifest(source_manifest(spark, old)).write.parquet(state)
+    diff = manifest_diff(spark.read.parquet(state), branch_manifest(source_manifest(spark, src)))
+    return diff.select("branch", "change")
+
+
+def _dimension_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    bridge, names = scratch_path(spark, "product_category"), scratch_path(spark, "categories")
+    csv_io.write_product_category(proxy_product_category(spark, sf_dir), bridge)
+    csv_io.write_categories(proxy_categories(spark, sf_dir), names)
+    return bridge, names
+
+
+def _units_by_branch(spark: SparkSession, table: str) -> DataFrame:
+    return (
+        read_enriched(spark, table)
+        .groupBy("sucursal_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum("cantidad").cast("bigint").alias("n_units"),
+            F.count("nombre_categoria").alias("n_named"),
+        )
+    )
+
+
+def q_etl_full(spark, sf_dir):
+    """The ETL job over the files of all branches, into a new table."""
+    src, table = scratch_path(spark, "etl_src"), scratch_path(spark, "etl_table")
+    csv_io.write_baskets(proxy_baskets(spark, sf_dir), src)
+    run_etl(spark, src, *_dimension_files(spark, sf_dir), table)
+    return _units_by_branch(spark, table)
+
+
+def q_etl_incremental(spark, sf_dir):
+    """The ETL job run twice with a state: the newest year first, then the older years' files land and its own are
+    gone (every branch with both is modified).  The table must hold the older years' lines alone."""
+    src, table, state = (scratch_path(spark, f"etl_{n}") for n in ("src", "table", "state"))
+    old, new = _write_arrivals(spark, sf_dir, src)
+    dims = _dimension_files(spark, sf_dir)
+    run_etl(spark, new, *dims, table, state)
+    run_etl(spark, old, *dims, table, state)
+    return _units_by_branch(spark, table)
+
+
+def q_batch_then_stream(spark, sf_dir):
+    """Older years by the batch job, the newest by a stream into the same table: their lines add up."""
+    src, table, checkpoint = (scratch_path(spark, f"mixed_{n}") for n in ("src", "table", "checkpoint"))
+    old, new = _write_arrivals(spark, sf_dir, src)
+    run_etl(spark, old, *_dimension_files(spark, sf_dir), table)
+    ingest_stream(
+        spark, f"{new}/*/", proxy_product_category(spark, sf_dir), proxy_categories(spark, sf_dir), table, checkpoint
+    )
+    return _units_by_branch(spark, table)
 
 
 def q_stream_ingest(spark, sf_dir):
@@ -284,6 +343,9 @@ QUERIES: dict[str, Query] = {
     "kpi_partials_roundtrip": q_kpi_partials_roundtrip,
     "source_manifest": q_source_manifest,
     "manifest_diff": q_manifest_diff,
+    "etl_full": q_etl_full,
+    "etl_incremental": q_etl_incremental,
+    "batch_then_stream": q_batch_then_stream,
     "stream_ingest": q_stream_ingest,
     "latest_per_key": q_latest_per_key,
     "recent_n": q_recent_n,

@@ -32,35 +32,33 @@ SCALAR_KPIS = [
 
 
 def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFrame:
-    """Scalar KPIs in long form (kpi, value) from ONE aggregate over the fact.
-
-    Visits are a multi-column COUNT(DISTINCT fecha, sucursal_id, cliente_id)
-    inside the same aggregate (Spark expands rows per distinct group and
-    aggregates them map-side), so the fact is scanned once; a scalar subquery
-    over un-persisted ``visits`` would be a second, un-shared aggregation.
-    When the caller already holds ``visits`` persisted (the KPI job), the
-    count comes from it and the distinct group is dropped from the Expand.
+    """Scalar KPIs in long form (kpi, value) from two folds of the fact.
+
+    The fold per product gives units, products and categories (a product has
+    one category, see ``dedupe_product_category``); the visits give visits and
+    customers.  Each fold reduces map-side, and each total holds one distinct
+    count at most, so no row of the fact is expanded.
     """
-    visit_count = (
-        visits.agg(F.count(F.lit(1))).scalar()
-        if visits is not None
-        else F.count_distinct("fecha", "sucursal_id", "cliente_id")
+    zero = lambda total: F.coalesce(total, F.lit(0)).cast("bigint")
+    per_product = enriched.groupBy("producto_id").agg(
+        F.sum("cantidad").alias("units"),
+        F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))).alias("unnamed_units"),
+        F.min("nombre_categoria").alias("name"),
+        F.max(F.col("categoria_id").isNull()).alias("uncovered"),
     )
-    one_row = enriched.agg(
-        F.coalesce(F.sum("cantidad"), F.lit(0)).cast("bigint").alias("total_unidades"),
-        F.count_distinct("cliente_id").alias("clientes_unicos"),
-        F.count_distinct("producto_id").alias("productos_unicos"),
-        F.count_distinct("nombre_categoria").alias("categorias_con_nombre"),
-        F.coalesce(F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))), F.lit(0))
-        .cast("bigint")
-        .alias("unidades_sin_categoria"),
+    products = per_product.agg(
+        zero(F.sum("units")).alias("total_unidades"),
+        F.count("producto_id").alias("productos_unicos"),
+        F.count_distinct("name").alias("categorias_con_nombre"),
+        zero(F.sum("unnamed_units")).alias("unidades_sin_categoria"),
         # coverage of the bridge by product (the unit-based share is the line above)
-        F.count_distinct(F.when(F.col("categoria_id").isNull(), F.col("producto_id"))).alias(
-            "productos_sin_categoria"
-        ),
-        visit_count.alias("total_visitas"),
+        F.count(F.when(F.col("uncovered"), F.col("producto_id"))).alias("productos_sin_categoria"),
+    )
+    people = (visits if visits is not None else visits_of(enriched)).agg(
+        F.count(F.lit(1)).alias("total_visitas"), F.count_distinct("cliente_id").alias("clientes_unicos")
     )
-    return one_row.select(*SCALAR_KPIS).unpivot([], SCALAR_KPIS, "kpi", "value")
+    long = [one.unpivot([], one.columns, "kpi", "value") for one in (products, people)]
+    return long[0].union(long[1])
 
 
 def chart_mart_builders(
@@ -80,9 +78,7 @@ def chart_mart_builders(
         "daily_series": lambda: series.rolling_7d(kpis.daily_counts(visits)),
         "customer_box": lambda: customers.box_stats(units),
         "customer_outliers": lambda: customers.outliers(units),
-        "customer_corr": lambda: customers.correlation_matrix(
-            customers.customer_features(enriched, None if "fecha" in enriched.columns else visits)
-        ),
+        "customer_corr": lambda: customers.correlation_matrix(customers.customer_features(enriched, visits)),
     }
 
 

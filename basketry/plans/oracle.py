@@ -181,6 +181,30 @@ union all select 'unidades_sin_categoria', cast(coalesce(sum(case when nombre_ca
   from fx_enriched
 union all select 'productos_sin_categoria', count(distinct case when categoria_id is null then producto_id end) from fx_enriched"""
 )
+ORACLE_SQL["source_manifest"] = _sql(
+    """select sucursal_id as branch, cast(sum(strlen(line) + 1) as bigint) as size
+from (select sucursal_id, strftime(fecha, '%Y-%m-%d') || '|' || sucursal_id || '|' || cliente_id || '|'
+             || string_agg(cast(producto_id as varchar), ' ') as line
+      from fx_fact group by o_orderkey, fecha, sucursal_id, cliente_id)
+group by sucursal_id"""
+)
+ORACLE_SQL["manifest_diff"] = _sql(
+    """select sucursal_id as branch, case when not bool_or(newest) then 'unchanged'
+            when bool_and(newest) then 'added' else 'modified' end as change
+from (select sucursal_id, year(fecha) >= (select max(year(o_orderdate)) from orders) as newest from fx_fact)
+group by sucursal_id"""
+)
+
+
+def _units_sql(where: str = "") -> str:
+    return _sql(
+        f"""select sucursal_id, count(*) as n_rows, cast(sum(cantidad) as bigint) as n_units, count(nombre_categoria) as n_named
+from fx_enriched {where} group by sucursal_id"""
+    )
+
+
+ORACLE_SQL["etl_full"] = ORACLE_SQL["batch_then_stream"] = _units_sql()
+ORACLE_SQL["etl_incremental"] = _units_sql("where year(fecha) < (select max(year(o_orderdate)) from orders)")
 ORACLE_SQL["kpi_bundle"] = _KPI_SQL
 ORACLE_SQL["kpi_mart_roundtrip"] = _KPI_SQL
 ORACLE_SQL["kpi_partials_roundtrip"] = _KPI_SQL

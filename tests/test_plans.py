@@ -44,10 +44,17 @@ def test_null_category_filter_pushed_to_parquet(spark, table, capsys):
     assert scans(p) == 1  # denominator from the aggregated rows, no second scan
 
 
-def test_single_scan_box_and_bundle(spark, table, capsys):
+def test_single_scan_box(spark, table, capsys):
     f = read_enriched(spark, table)
     assert scans(plan(customers.box_stats(customers.customer_units(f)), capsys)) == 1
-    assert scans(plan(kpi_bundle(f), capsys)) == 1
+
+
+def test_distinct_counts_expand_no_row(spark, table, capsys):
+    f = read_enriched(spark, table)
+    for df in (kpi_bundle(f), customers.customer_features(f)):
+        p = plan(df, capsys)
+        assert "Expand" not in p
+        assert scans(p) == 2  # the fold of units, and the visits
 
 
 def test_outliers_reuse_the_customer_exchange(spark, table, capsys):
