@@ -90,7 +90,8 @@ def _margin(model, df: DataFrame, view: str) -> DataFrame:
 def _fit(rows: DataFrame, view: str):
     reg = {"text": 0.003, "meta": 0.01}[view]
     lr = LogisticRegression(featuresCol=f"{view}_x", labelCol="y", maxIter=15, regParam=reg, standardization=False)
-    return lr.fit(rows.select(f"{view}_x", "y"))
+    # FIT_ROWS and POOL_ROWS rows at most: few tasks, so that a step is one stage
+    return lr.fit(rows.select(f"{view}_x", "y").coalesce(4))
 
 
 def _platt(rows: DataFrame, view: str) -> tuple[float, float]:
@@ -150,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
             p = 1 / (1 + F.exp(-F.col(f"{teacher}_z")))
             sure = seen.filter((p >= CONFIDENT) | (p <= 1 - CONFIDENT)).withColumn("y", (p >= 0.5).cast("double"))
             rows[view] = train.unionByName(sure.select(train.columns))
-    held = materialise(_margin(models["meta"], _margin(models["text"], held, "text"), "meta").select("y", "text_z", "meta_z"), "quality_held")
+    held = _margin(models["meta"], _margin(models["text"], held, "text"), "meta").select("y", "text_z", "meta_z")
+    held = materialise(held.coalesce(1), "quality_held")  # a quarter of FIT_ROWS rows of three numbers
     prior = math.log(mean / (1 - mean))
     return {"models": models, "platt": {v: _platt(held, v) for v in models}, "prior": prior}
 
