@@ -20,16 +20,6 @@ from basketry.operators import categories, customers, kpis, series
 from basketry.operators.visits import visits as visits_of
 from basketry.sources.parquet import write_mart
 
-SCALAR_KPIS = [
-    "total_unidades",
-    "total_visitas",
-    "clientes_unicos",
-    "productos_unicos",
-    "categorias_con_nombre",
-    "unidades_sin_categoria",
-    "productos_sin_categoria",
-]
-
 
 def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFrame:
     """Scalar KPIs in long form (kpi, value) from two folds of the fact.
@@ -57,8 +47,12 @@ def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFram
     people = (visits if visits is not None else visits_of(enriched)).agg(
         F.count(F.lit(1)).alias("total_visitas"), F.count_distinct("cliente_id").alias("clientes_unicos")
     )
-    long = [one.unpivot([], one.columns, "kpi", "value") for one in (products, people)]
-    return long[0].union(long[1])
+
+    def long(one: DataFrame) -> DataFrame:
+        named = [F.struct(F.lit(c).alias("kpi"), F.col(c).alias("value")) for c in one.columns]
+        return one.select(F.inline(F.array(*named)))
+
+    return long(products).union(long(people))
 
 
 def chart_mart_builders(
