@@ -7,9 +7,11 @@
    fill no list unless they make up a document.
 3. Pairs from the lists are filtered by size and by the resemblance estimated from the union's sketch (4.5 standard
    deviations below the threshold), then verified by exact Jaccard on full sets.
-4. Long lists are not expanded to all pairs: each member meets the list's pivot, lists whose members got into one
-   component are done, further pivots follow while each takes off a fifth of the open pairs, and what remains is
-   expanded for members of different components only.  Any pair that shares a list is so either compared or already connected.
+4. Long lists are not expanded to all pairs: each member meets the list's pivot, first the member whose sketch is the most
+   common, lists whose members got into one component are done, and further pivots follow while each takes off a fifth of
+   the open pairs.  Members of the lists still open are then indexed by their full sets, as far as a link needs it, and
+   meet where sizes and places of the shared value leave room for one.  So any linked pair that shares a list is either
+   compared or already connected.
 
 Documents without words have an empty set and are linked with nothing.  Rows that share a doc_id are one document: they
 are linked if any of their texts is.  Null ids get a null component and are kept.  An empty table gives an empty result.
@@ -75,8 +77,45 @@ def rare_entries(reps: DataFrame, cutoff: float) -> DataFrame:
         .withColumn("prefix", F.col("m") - F.ceil(F.col("m") * cutoff - 1e-9) + 1)
         .withColumn("room", (F.col("prefix") - (F.col("m") - F.size("kept"))).cast("int"))
         .filter("room > 0")
-        .select("id", "n", F.explode(F.slice("kept", F.lit(1), F.col("room"))).alias("entry"))
-        .select(F.col("entry.value").alias("value"), "id", "n")
+        .withColumn("common", F.aggregate("kept", F.lit(0.0), lambda acc, e: acc + F.log(e["df"])) / F.col("m"))
+        .select("id", "n", "common", F.explode(F.slice("kept", F.lit(1), F.col("room"))).alias("entry"))
+        .select(F.col("entry.value").alias("value"), "id", "n", "common")
+    )
+
+
+def room_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that full sets leave room to link; ``sets`` has id, component, hashes.
+
+    With the rarest values first, a linked pair's first common value lies in the first ``n - 2 * percent * n /
+    (100 + percent) + 1`` values of the smaller set and the first ``n - percent * n / 100 + 1`` of the larger, and at
+    least the overlap that the link needs must follow it in both.
+    """
+    values = sets.select(
+        "id", "component", F.size("hashes").cast("long").alias("n"), F.xxhash64("hashes").alias("key"), F.explode("hashes").alias("value")
+    )
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    least = lambda top, bottom: F.ceil(F.col("n") * top / F.lit(bottom) - 1e-9)
+    entries = (
+        values.join(shared, "value")
+        .groupBy("id", "component", "n", "key")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("kept"))
+        .withColumn("own", F.col("n") - F.size("kept"))
+        .withColumn("room", (F.col("n") - least(percent, 100) + 1 - F.col("own")).cast("int"))
+        .filter("room > 0")
+        .withColumn("first", F.col("n") - least(2 * percent, 100 + percent) + 1)
+        .select("id", "component", "n", "own", "first", F.posexplode(F.slice("kept", F.lit(1), F.col("room"))).alias("pos", "entry"))
+        .select("id", "component", "n", "first", (F.col("own") + F.col("pos")).alias("at"), F.col("entry.value").alias("value"))
+    )
+    entries = materialise(entries, "nd_room")
+    x, y = entries.filter("at < first").alias("x"), entries.alias("y")
+    ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+    follow = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = F.lit(100 + percent) * follow >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+    different = F.col("x.component") != F.col("y.component")
+    return (
+        x.join(y, (F.col("x.value") == F.col("y.value")) & ordered & different & fits)
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        .distinct()
     )
 
 
@@ -124,11 +163,13 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
     )
     verifier = _Verifier(reps, sets, percent, k)
     total = entries.count()
-    found, turn, before = None, 0, math.inf
+    found, stars, turn, before = None, None, 0, math.inf
     placed = entries.withColumn("component", F.col("id"))
     while True:
         if found is not None:
             component = connected_components(found)
+            # a link from each member to its component's least id says the same as all links so far
+            stars = component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             placed = (
                 entries.join(component, "id", "left")
                 .withColumn("component", F.coalesce("component", "id"))
@@ -142,14 +183,15 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
             by_list = by_part.groupBy("value").agg((F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))).alias("p"))
             left = (by_list.agg(F.sum("p")).first()[0] or 0.0) / 2
             if left == 0:
-                return found
+                return stars
             if left <= 8 * total or left > 0.8 * before:
                 break
             before = left
         turn += 1
+        first = -F.col("common") if turn == 1 else F.lit(0.0)
         pivots = (
             placed.groupBy("value")
-            .agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("p"))
+            .agg(F.min(F.struct(first.alias("first"), F.xxhash64("id", F.lit(turn)), "id", "n", "component")).alias("p"))
         )
         pairs = (
             placed.join(pivots, "value")
@@ -159,16 +201,9 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
             .distinct()
         )
         new = materialise(verifier.links(pairs), "nd_links")
-        found = new if found is None else materialise(found.union(new), "nd_found")
-    one = placed.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = placed.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = (
-        one.join(two, "value")
-        .filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fit(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b")
-        .distinct()
-    )
-    return found.union(materialise(verifier.links(rest), "nd_rest"))
+        found = new if stars is None else stars.union(new)
+    rest = room_pairs(sets.join(placed.select("id", "component").distinct(), "id"), percent)
+    return stars.union(materialise(verifier.links(rest), "nd_rest"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
