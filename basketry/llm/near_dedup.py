@@ -7,8 +7,8 @@
    fill no list unless they make up a document.
 3. Pairs from the lists are filtered by size and by the resemblance estimated from the union's sketch (4.5 standard
    deviations below the threshold), then verified by exact Jaccard on full sets.
-4. Long lists are not expanded to all pairs: each member meets the list's pivot, first the member whose sketch is the most
-   common, lists whose members got into one component are done, and further pivots follow while each takes off a fifth of
+4. Long lists are not expanded to all pairs: each member meets the list's pivot, first the member with most of what
+   the others have, lists whose members got into one component are done, and further pivots follow while each takes off a fifth of
    the open pairs.  Members of the lists still open are then indexed by their full sets, as far as a link needs it, and
    meet where sizes and places of the shared value leave room for one.  So any linked pair that shares a list is either
    compared or already connected.
@@ -28,6 +28,8 @@ from basketry.llm.common import ascii_lower, broadcast_if_small, materialise, wo
 from basketry.llm.components import connected_components
 
 SKETCH = 64
+#: What a value of one document alone takes off the logarithms of the other values' frequencies, in the choice of pivots.
+OWN = 8.0
 
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
@@ -70,6 +72,7 @@ def rare_entries(reps: DataFrame, cutoff: float) -> DataFrame:
     values = reps.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # values of one document alone come first in its order and only count: m - kept of them
+    logs = lambda acc, e: acc + F.log(e["df"])
     return (
         values.join(shared, "value")
         .groupBy("id", "n", "m")
@@ -77,22 +80,20 @@ def rare_entries(reps: DataFrame, cutoff: float) -> DataFrame:
         .withColumn("prefix", F.col("m") - F.ceil(F.col("m") * cutoff - 1e-9) + 1)
         .withColumn("room", (F.col("prefix") - (F.col("m") - F.size("kept"))).cast("int"))
         .filter("room > 0")
-        .withColumn("common", F.aggregate("kept", F.lit(0.0), lambda acc, e: acc + F.log(e["df"])) / F.col("m"))
+        .withColumn("common", (F.aggregate("kept", F.lit(0.0), logs) - OWN * (F.col("m") - F.size("kept"))) * F.col("n") / F.col("m"))
         .select("id", "n", "common", F.explode(F.slice("kept", F.lit(1), F.col("room"))).alias("entry"))
         .select(F.col("entry.value").alias("value"), "id", "n", "common")
     )
 
 
 def room_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that full sets leave room to link; ``sets`` has id, component, hashes.
+    """Pairs (a, b) of different components that full sets leave room to link; ``sets`` has id, component, n, key, hashes.
 
     With the rarest values first, a linked pair's first common value lies in the first ``n - 2 * percent * n /
     (100 + percent) + 1`` values of the smaller set and the first ``n - percent * n / 100 + 1`` of the larger, and at
     least the overlap that the link needs must follow it in both.
     """
-    values = sets.select(
-        "id", "component", F.size("hashes").cast("long").alias("n"), F.xxhash64("hashes").alias("key"), F.explode("hashes").alias("value")
-    )
+    values = sets.select("id", "component", "n", "key", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     least = lambda top, bottom: F.ceil(F.col("n") * top / F.lit(bottom) - 1e-9)
     entries = (
@@ -158,8 +159,10 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
     entries = materialise(entries.join(lists, "value"), "nd_lists")
     active = materialise(entries.select("id").distinct(), "nd_active")
     wanted = docs.join(broadcast_if_small(active), docs["doc_id"] == active["id"], "left_semi")
+    sets = shingle_sets(wanted, n).dropDuplicates(["doc_id", "hashes"]).withColumnRenamed("doc_id", "id")
+    # size and key are written, or they would be computed for each value that room_pairs makes of a set
     sets = materialise(
-        shingle_sets(wanted, n).dropDuplicates(["doc_id", "hashes"]).withColumnRenamed("doc_id", "id"), "nd_sets"
+        sets.withColumn("n", F.size("hashes").cast("long")).withColumn("key", F.xxhash64("hashes")), "nd_sets"
     )
     verifier = _Verifier(reps, sets, percent, k)
     total = entries.count()
