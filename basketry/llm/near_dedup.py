@@ -86,8 +86,8 @@ def rare_entries(reps: DataFrame, cutoff: float) -> DataFrame:
     )
 
 
-def room_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that full sets leave room to link; ``sets`` has id, component, n, key, hashes.
+def room_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component, n, first, at, value): the values of full sets that can be a linked pair's first common one.
 
     With the rarest values first, a linked pair's first common value lies in the first ``n - 2 * percent * n /
     (100 + percent) + 1`` values of the smaller set and the first ``n - percent * n / 100 + 1`` of the larger, and at
@@ -107,9 +107,18 @@ def room_pairs(sets: DataFrame, percent: int) -> DataFrame:
         .select("id", "component", "n", "own", "first", F.posexplode(F.slice("kept", F.lit(1), F.col("room"))).alias("pos", "entry"))
         .select("id", "component", "n", "first", (F.col("own") + F.col("pos")).alias("at"), F.col("entry.value").alias("value"))
     )
-    entries = materialise(entries, "nd_room")
-    x, y = entries.filter("at < first").alias("x"), entries.alias("y")
-    ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+    return materialise(entries, "nd_room")
+
+
+def room_pairs(entries: DataFrame, percent: int, pivots: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that have room for a link; ``pivots``: with each list's foremost set only."""
+    if pivots:
+        foremost = F.min(F.struct(F.col("at") / F.col("n"), "id", "component", "n", "first", "at")).alias("p")
+        x = entries.filter("at < first").groupBy("value").agg(foremost).select("value", "p.*").alias("x")
+        y, ordered = entries.alias("y"), F.col("x.id") != F.col("y.id")
+    else:
+        x, y = entries.filter("at < first").alias("x"), entries.alias("y")
+        ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
     follow = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     fits = F.lit(100 + percent) * follow >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
     different = F.col("x.component") != F.col("y.component")
@@ -205,7 +214,12 @@ def class_links(reps: DataFrame, docs: DataFrame, n: int, percent: int, k: int)
         )
         new = materialise(verifier.links(pairs), "nd_links")
         found = new if stars is None else stars.union(new)
-    rest = room_pairs(sets.join(placed.select("id", "component").distinct(), "id"), percent)
+    room = room_entries(sets.join(placed.select("id", "component").distinct(), "id"), percent)
+    new = materialise(verifier.links(room_pairs(room, percent, pivots=True)), "nd_links")
+    component = connected_components(stars.union(new))
+    stars = component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    room = room.drop("component").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = room_pairs(materialise(room, "nd_room_open"), percent)
     return stars.union(materialise(verifier.links(rest), "nd_rest"))
 
 
