@@ -1,18 +1,26 @@
 """Quality classifier by co-training: a text-content view and a metadata view teach each other, then score all documents.
 
-A document is acceptable if it is labelled ``quality`` 1 and not ``toxic``.  Both views are logistic regressions on a
-bounded, documented sample (``FIT_ROWS`` labelled rows, a quarter of them held back, and ``POOL_ROWS`` unlabelled ones,
-drawn by the hash of doc_id).  In each round either view adds the pool documents that it is confident of, as
-pseudo-labels, to the other view's training rows.  Each view is then calibrated (Platt) on the rows held back, and the
-calibrated log-odds of the views are added, less the prior's, as of views independent given the class.  Scoring is one
-pass over all documents.
+A document is acceptable if it is labelled ``quality`` 1 and not ``toxic``.  These are two targets, learned apart, so that
+the few toxic rows are not lost among the many of low quality.  Both are learned on a bounded, documented sample
+(``FIT_ROWS`` labelled rows, a quarter of them held back, and ``POOL_ROWS`` unlabelled ones, drawn by the hash of doc_id).
+
+Quality: both views are logistic regressions.  In each round either view adds the pool documents that it is confident of,
+as pseudo-labels, to the other view's training rows.
+Toxicity: few words tell, each in few rows, so the text view sums the log-odds of the ``MARKS`` most telling distinct words
+(hashed, without the signs around them); the metadata view is a logistic regression.  There are no pseudo-labels.
+
+Each view is calibrated (Platt) on the rows held back, and the calibrated log-odds of the views are added, less the
+prior's, as of views independent given the class.  The score is the probability of good quality times that of no toxicity.
+A document is kept if its score reaches the threshold and its toxicity stays under a cut: on the rows held back, the one
+with the greatest recall of toxic rows less the share of others lost (0.5 without toxic rows).  Scoring is one pass over
+all documents.
 
 Text view: the distinct words of the whole text, lower-cased, and binned shapes of it (runs of capitals and of symbols,
 repeated words and lines, word length and count).
 Metadata view: source, lang, and the size classes of ``n_chars``.
 
-Null or empty text: no words, the shape ``empty``; null metadata is a category of its own.  Without labels of both
-classes nothing can be learned: every score is null and every row is kept.  Labels of repeated ids count once (least
+Null or empty text: no words, the shape ``empty``; null metadata is a category of its own.  A target without labels of both
+classes cannot be learned and takes no part; without any target every score is null and every row is kept.  Labels of repeated ids count once (least
 quality, most toxic); an empty table gives an empty result; other columns are carried along untouched.
 """
 
@@ -29,6 +37,9 @@ from pyspark.sql import functions as F
 from basketry.llm.common import materialise, words
 
 FIT_ROWS, POOL_ROWS, ROUNDS, CONFIDENT = 24_000, 12_000, 2, 0.97
+TARGETS = ("good", "toxic")
+#: Buckets of words and number of words that count for toxicity, and steps of a weight of 1.
+MARK_BINS, MARKS, MARK_STEPS = 1 << 17, 3, 10
 DIMS = {"text": 1 << 15, "meta": 1 << 10}
 
 
@@ -38,8 +49,14 @@ def _bin(name: str, share: Column, steps: int = 10) -> Column:
     return F.concat(F.lit(f"\t{name}="), fine)
 
 
+def _mark(word: Column) -> Column:
+    """The bucket of a word without the signs around it."""
+    bare = F.regexp_replace(word, r"^[^\p{L}\p{M}]++|[^\p{L}\p{M}]++$", "")
+    return F.pmod(F.xxhash64(bare), F.lit(MARK_BINS)).cast("int")
+
+
 def text_tokens(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text_view``: the distinct words and the shape tokens (which hold a tab, as no word does)."""
+    """``docs`` with ``text_view``, the distinct words and the shape tokens (which hold a tab, as no word does), and ``marks``."""
     low, seen, lines = F.col("__low"), F.col("__seen"), F.col("__lines")
     text = F.coalesce("text", F.lit(""))
     n = F.greatest(F.size(low), F.lit(1))
@@ -57,6 +74,7 @@ def text_tokens(docs: DataFrame) -> DataFrame:
         .withColumn("__seen", F.array_distinct("__low"))
         .withColumn("__lines", F.split(text, "\n"))
         .withColumn("text_view", F.concat("__seen", shapes))
+        .withColumn("marks", F.array_distinct(F.transform("__seen", _mark)))
         .drop("__low", "__seen", "__lines")
     )
 
@@ -81,27 +99,53 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df
 
 
-def _margin(model, df: DataFrame, view: str) -> DataFrame:
-    """``df`` with ``{view}_z``, the view's log-odds of an acceptable document."""
+def _margin(model, df: DataFrame, target: str, view: str) -> DataFrame:
+    """``df`` with ``{target}_{view}_z``, the view's log-odds of the target."""
     out = model.setFeaturesCol(f"{view}_x").setRawPredictionCol("__raw").setProbabilityCol("").setPredictionCol("")
-    return out.transform(df).withColumn(f"{view}_z", vector_to_array("__raw")[1]).drop("__raw")
+    return out.transform(df).withColumn(f"{target}_{view}_z", vector_to_array("__raw")[1]).drop("__raw")
 
 
-def _fit(rows: DataFrame, view: str):
+def _fit(rows: DataFrame, target: str, view: str):
     reg = {"text": 0.003, "meta": 0.01}[view]
-    lr = LogisticRegression(featuresCol=f"{view}_x", labelCol="y", maxIter=15, regParam=reg, standardization=False)
+    lr = LogisticRegression(featuresCol=f"{view}_x", labelCol=target, maxIter=15, regParam=reg, standardization=False)
     # FIT_ROWS and POOL_ROWS rows at most: few tasks, so that a step is one stage
-    return lr.fit(rows.select(f"{view}_x", "y").coalesce(4))
+    return lr.fit(rows.select(f"{view}_x", target).coalesce(4))
+
+
+def _weigh(train: DataFrame) -> list[int]:
+    """By bucket of words, its log-odds of a toxic row in steps; 0 for what speaks against it or is in less than 3 rows."""
+    toxic, n = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    share = lambda c, of: F.log((c + 0.1) / (of + 0.2))
+    counts = (
+        train.select("toxic", F.explode("marks").alias("mark"))
+        .groupBy("mark")
+        .agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+        .filter("n >= 3")
+        .select("mark", F.round(MARK_STEPS * (share(F.col("t"), toxic) - share(F.col("n") - F.col("t"), n - toxic))).alias("w"))
+    )
+    weights = [0] * MARK_BINS
+    for r in counts.filter("w > 0").collect():  # MARK_BINS rows at most
+        weights[r["mark"]] = int(r["w"])
+    return weights
+
 
+def _evidence(weights: list[int], df: DataFrame) -> DataFrame:
+    """``df`` with ``toxic_text_z``, the sum of its ``MARKS`` greatest weights."""
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded to one literal
+    found = F.filter(F.transform("marks", lambda m: F.get(table, m)), lambda w: w > 0)
+    top = F.slice(F.sort_array(found, asc=False), 1, MARKS)
+    total = F.aggregate(top, F.lit(0), lambda acc, w: acc + w)
+    return df.withColumn("toxic_text_z", total.cast("double") / MARK_STEPS)
 
-def _platt(rows: DataFrame, view: str) -> tuple[float, float]:
+
+def _platt(rows: DataFrame, target: str, view: str, start: tuple[float, float]) -> tuple[float, float]:
     """Slope and offset of the view's calibrated log-odds: Newton steps on sums over the rows held back."""
-    slope, offset = 1.0, 0.0
-    z = F.col(f"{view}_z")
-    for _ in range(6):
+    slope, offset = start
+    z = F.col(f"{target}_{view}_z")
+    for _ in range(10):
         p = 1 / (1 + F.exp(-(z * slope + offset)))
         w = p * (1 - p) + 1e-6
-        e = F.col("y") - p
+        e = F.col(target) - p
         g1, g0, h11, h10, h00 = rows.agg(F.sum(e * z), F.sum(e), F.sum(w * z * z), F.sum(w * z), F.sum(w)).first()
         if g0 is None:
             break
@@ -122,39 +166,103 @@ def _drawn(df: DataFrame, rows: int, salt: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The two views' models, calibrations and the prior's log-odds; None if there are no labels of both classes."""
+    """By target: the two views' models, calibrations, the prior's log-odds, for ``toxic`` the cut; None without any target."""
     known = (
         labels.filter("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(((F.min("quality") >= 1) & (F.coalesce(F.max("toxic"), F.lit(0)) < 1)).cast("double").alias("y"))
+        .agg(
+            (F.min("quality") >= 1).cast("double").alias("good"),
+            (F.coalesce(F.max("toxic"), F.lit(0)) >= 1).cast("double").alias("toxic"),
+        )
     )
     known = materialise(known, "quality_labels")
     fit = _drawn(known, FIT_ROWS, "fit").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
     ids = docs.select("doc_id").filter("doc_id is not null")
     pool = _drawn(ids.join(known, "doc_id", "left_anti"), POOL_ROWS, "pool")
-    pool = pool.select("doc_id", F.lit(None).cast("double").alias("y"), F.lit(False).alias("held")).distinct()
+    none = F.lit(None).cast("double")
+    pool = pool.select("doc_id", *(none.alias(t) for t in TARGETS), F.lit(False).alias("held")).distinct()
     drawn = F.broadcast(fit.union(pool))  # FIT_ROWS and POOL_ROWS rows
     sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(drawn, "doc_id")
     sample = materialise(_vectors(meta_tokens(text_tokens(sample))).drop("text").repartition(8), "quality_sample")
-    train, held, unlabelled = sample.filter("y is not null and not held"), sample.filter("held"), sample.filter("y is null")
-    mean, n = train.agg(F.avg("y"), F.count(F.lit(1))).first()
-    if not n or mean in (0.0, 1.0):
+    learned = {"good": _co_train(sample), "toxic": _learn_toxic(sample)}
+    return {t: found for t, found in learned.items() if found} or None
+
+
+def _prior(train: DataFrame, target: str) -> float | None:
+    """Log-odds of the target; None if the training rows are of one class."""
+    mean, n = train.agg(F.avg(target), F.count(F.lit(1))).first()
+    return math.log(mean / (1 - mean)) if n and mean not in (0.0, 1.0) else None
+
+
+def _margins(models: dict, df: DataFrame, target: str) -> DataFrame:
+    """``df`` with the log-odds of both views."""
+    text = models["text"]
+    df = _evidence(text, df) if target == "toxic" else _margin(text, df, target, "text")
+    return _margin(models["meta"], df, target, "meta")
+
+
+def _calibrated(models: dict, sample: DataFrame, target: str, prior: float) -> dict:
+    held = _margins(models, sample.filter("held"), target).select(target, f"{target}_text_z", f"{target}_meta_z")
+    held = materialise(held.coalesce(1), "quality_held")  # a quarter of FIT_ROWS rows of three numbers
+    # evidence is far from calibrated: from slope 1 Newton's steps would overshoot, from the prior they do not
+    start = (0.0, prior) if target == "toxic" else (1.0, 0.0)
+    return {"models": models, "platt": {v: _platt(held, target, v, start) for v in models}, "prior": prior, "held": held}
+
+
+def _learn_toxic(sample: DataFrame) -> dict | None:
+    """The views' models, calibrations, the prior's log-odds and the cut; None if the training rows are of one class."""
+    train = sample.filter("toxic is not null and not held")
+    prior = _prior(train, "toxic")
+    if prior is None:
+        return None
+    models = {"text": _weigh(train), "meta": _fit(train, "toxic", "meta")}
+    found = _calibrated(models, sample, "toxic", prior)
+    return found | {"cut": _cut(found)}
+
+
+def _co_train(sample: DataFrame) -> dict | None:
+    """The views' models of quality, calibrations and the prior's log-odds; None if the training rows are of one class."""
+    train, unlabelled = sample.filter("good is not null and not held"), sample.filter("good is null")
+    prior = _prior(train, "good")
+    if prior is None:
         return None
     rows = {"text": train, "meta": train}
     models = {}
     for turn in range(ROUNDS + 1):
-        models = {view: _fit(rows[view], view) for view in rows}
+        models = {view: _fit(rows[view], "good", view) for view in rows}
         if turn == ROUNDS:
             break
-        seen = _margin(models["meta"], _margin(models["text"], unlabelled, "text"), "meta")
+        seen = _margins(models, unlabelled, "good")
         for view, teacher in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + F.exp(-F.col(f"{teacher}_z")))
-            sure = seen.filter((p >= CONFIDENT) | (p <= 1 - CONFIDENT)).withColumn("y", (p >= 0.5).cast("double"))
+            p = 1 / (1 + F.exp(-F.col(f"good_{teacher}_z")))
+            sure = seen.filter((p >= CONFIDENT) | (p <= 1 - CONFIDENT)).withColumn("good", (p >= 0.5).cast("double"))
             rows[view] = train.unionByName(sure.select(train.columns))
-    held = _margin(models["meta"], _margin(models["text"], held, "text"), "meta").select("y", "text_z", "meta_z")
-    held = materialise(held.coalesce(1), "quality_held")  # a quarter of FIT_ROWS rows of three numbers
-    prior = math.log(mean / (1 - mean))
-    return {"models": models, "platt": {v: _platt(held, v) for v in models}, "prior": prior}
+    return _calibrated(models, sample, "good", prior)
+
+
+def _probabilities(df: DataFrame, target: str, found: dict) -> DataFrame:
+    """``df`` with the target's probability ``{target}_text``, ``{target}_meta`` and ``{target}_both`` for its log-odds."""
+    logistic = lambda z: 1 / (1 + F.exp(-z))
+    z = {}
+    for view, (slope, offset) in found["platt"].items():
+        z[view] = F.col(f"{target}_{view}_z") * slope + offset
+    z["both"] = z["text"] + z["meta"] - F.lit(found["prior"])
+    return df.withColumns({f"{target}_{k}": logistic(v) for k, v in z.items()}).drop(f"{target}_text_z", f"{target}_meta_z")
+
+
+def _cut(found: dict) -> float:
+    """The toxicity with the greatest recall of toxic rows less the share of others lost, on the rows held back."""
+    rows = _probabilities(found["held"], "toxic", found).select("toxic", "toxic_both")
+    steps = rows.groupBy("toxic_both").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    steps = sorted(steps.collect(), key=lambda r: -r["toxic_both"])  # a quarter of FIT_ROWS rows at most
+    toxic, other = sum(r["t"] for r in steps), sum(r["o"] for r in steps)
+    cut, best, t, o = 0.5, 0.0, 0.0, 0.0
+    for r in steps if toxic else []:
+        t, o = t + r["t"], o + r["o"]
+        gain = t / toxic - o / max(other, 1.0)
+        if gain > best:
+            cut, best = r["toxic_both"], gain
+    return cut
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -164,17 +272,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     if learned is None:
         return docs.withColumns({"text_score": none, "meta_score": none, "score": none, "kept": F.lit(True)})
     out = _vectors(meta_tokens(text_tokens(docs)))
-    for view, model in learned["models"].items():
-        slope, offset = learned["platt"][view]
-        out = _margin(model, out, view).withColumn(f"{view}_z", F.col(f"{view}_z") * slope + offset).drop(f"{view}_x")
-    logistic = lambda z: 1 / (1 + F.exp(-z))
+    for target, found in learned.items():
+        out = _margins(found["models"], out, target)
+    out = out.drop("marks", *(f"{view}_x" for view in DIMS))
     # the count is a fence: a filter on the score is not pushed below it, which would build every feature many times
     out = out.observe("quality_scored", F.count(F.lit(1)).alias("rows"))
-    both = F.col("text_z") + F.col("meta_z") - F.lit(learned["prior"])
+    for target, found in learned.items():
+        out = _probabilities(out, target, found)
+    good = lambda k: F.col(f"good_{k}") if "good" in learned else F.lit(1.0)
+    clean = lambda k: 1 - F.col(f"toxic_{k}") if "toxic" in learned else F.lit(1.0)
+    kept = F.col("score") >= threshold
+    if "toxic" in learned:
+        kept = kept & (F.col("toxic_both") < learned["toxic"]["cut"])
     return (
-        out.withColumns({"text_score": logistic(F.col("text_z")), "meta_score": logistic(F.col("meta_z")), "score": logistic(both)})
-        .withColumn("kept", F.col("score") >= threshold)
-        .drop("text_z", "meta_z")
+        out.withColumns({"text_score": good("text") * clean("text"), "meta_score": good("meta") * clean("meta")})
+        .withColumn("score", good("both") * clean("both"))
+        .withColumn("kept", kept)
+        .drop(*(f"{t}_{k}" for t in learned for k in ("text", "meta", "both")))
     )
 
 
