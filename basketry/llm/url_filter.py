@@ -25,11 +25,14 @@ from basketry.llm.common import LOWER, UPPER, ascii_lower, materialise
 
 #: The contract's rules (host, path, verdict).
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The method's own rules: hosts and paths of advertising, tracking and bulk mail.
+#: The method's own rules: hosts and paths of advertising, tracking, bulk mail, betting and adult sites.
 PATTERN_RULES = [
     ("spam-farm.", "block"), ("cheap-pills.", "block"), ("ads-track.", "block"), ("||doubleclick^", "block"),
     ("||adserver.", "block"), ("||ads.", "block"), ("||tracker.", "block"), ("/banner/", "block"), ("/adclick^", "block"),
     ("/popup/", "block"), ("casino^", "block"), ("/phishing/", "block"), ("*.exe^", "block"),
+    # ``^`` is no ``-`` and no ``.``: hosts need the separator written out
+    ("||doubleclick.", "block"), ("||casino-", "block"), ("||casino.", "block"), ("||free-bet", "block"), ("||bets.", "block"),
+    ("||betting.", "block"), ("||betting-", "block"), ("||adult-x", "block"), ("||xxx.", "block"),
 ]
 
 
