@@ -10,7 +10,7 @@
    source and epoch; slots meet blocks in an equi-join on (source, block).  The last slot of a source may be a partial one.
 
 Null or empty texts have size 0 and are never taken; a null source is a source of its own; an empty table gives an empty
-result; rows repeated with equal doc_id, source and text are packed one by one in ``taken_words`` and are one document in
+result; rows with a null doc_id are documents like others, told apart by source and text; rows repeated with equal doc_id, source and text are packed one by one in ``taken_words`` and are one document in
 ``mixed_documents``.  Other columns, whatever their names, take no part.
 """
 
@@ -141,7 +141,8 @@ def pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = 3)
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     cut = (
         packed.filter("size > 0")
-        .select("source_id", "doc_id", "text_hash", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        .withColumn("source_hash", F.xxhash64("source"))
+        .select("source_id", "source_hash", "doc_id", "text_hash", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         .withColumn("from", F.greatest(F.col("start"), F.col("block") * block_words))
         .withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words))
     )
@@ -175,10 +176,11 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs:
     """The mix as documents: one row per document and epoch, its text the words taken (the whole text, if all are)."""
     _, used = pieces(docs, block_words, max_epochs)
     plan = (
-        used.groupBy("doc_id", "text_hash", "epoch", "size")
+        used.groupBy("doc_id", "source_hash", "text_hash", "epoch", "size")
         .agg(F.sum("words").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "words"))).alias("parts"))
         .select(
             F.col("doc_id").alias("__id"),
+            F.col("source_hash").alias("__source"),
             F.col("text_hash").alias("__hash"),
             (F.col("n") >= F.col("size")).alias("__whole"),
             "parts",
@@ -190,9 +192,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_epochs:
     chosen = F.when(F.size("__words") > 0, F.array_join(F.flatten(cut), " "))
     text = F.when(F.col("__whole"), F.col("text")).otherwise(chosen)
     names = docs.columns
-    once = docs.withColumn("__hash", F.xxhash64("text"))
+    once = docs.withColumns({"__hash": F.xxhash64("text"), "__source": F.xxhash64(F.col("source").cast("string"))})
+    same = (once["__hash"] == plan["__hash"]) & (once["__source"] == plan["__source"])
     return (
-        once.join(plan, (F.col("doc_id") == F.col("__id")) & (once["__hash"] == plan["__hash"]))
+        once.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & same)
         .withColumn("__words", tokens)
         .withColumn("text", text)
         .withColumn("n_chars", F.length("text").cast("long"))
