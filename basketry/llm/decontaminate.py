@@ -3,12 +3,16 @@
 Texts become templates: numbers, units after a number, and names (capitalised words inside a sentence) turn into typed
 placeholders; other words lose case and punctuation.  Hashes of all windows of ``WINDOW`` tokens of every whole
 document meet those of the benchmark in an equi-join.  Windows on one diagonal (same document, item and distance) form a
-passage; its slots are compared: each value of the item must stand for exactly one value of the document and the other
-way round.  So both verbatim and re-parameterised copies are caught, and texts that only share a shape are not.
+passage.  Its slots are compared: each value of the item must stand for one value of the document (two of the item's may
+come to the same), for the share ``CONSISTENT`` of the item's values at least; or more than the share ``VERBATIM`` of
+the item's windows stand there word for word.  So verbatim and re-parameterised copies are caught, also with a changed value among many, and
+texts that only share a shape are not.
 
 A passage counts if it has ``RUN`` windows, or all the item's if those are fewer.  Windows with fewer than ``LITERALS``
 plain words say too little and are not indexed.  An item's first word is indexed both as a name and as a plain word, as
-either can come out behind other text.  Items shorter than a window cannot be told from chance and match nothing.
+either can come out behind other text.  Items without any indexed window (dense in numbers or names, or shorter than a
+window) are matched word for word: their untemplated windows, or the whole item if that is shorter, meet those of the
+documents.  Items of fewer than ``LITERALS`` tokens cannot be told from chance and match nothing.
 
 Null or empty texts match nothing; rows with the same doc_id are one document; repeated items are each reported; an empty
 table on either side gives an empty result; other columns are carried along untouched.
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import broadcast_if_small, materialise
 
 WINDOW, RUN, LITERALS = 8, 6, 4
+CONSISTENT, VERBATIM = 0.8, 2 / 3
 
 #: Units of measure, money and time that may follow a number.
 UNITS = (
@@ -57,13 +62,13 @@ def tokens(templated: Column) -> Column:
     return F.array_remove(F.split(templated, SEPARATORS), "")
 
 
-def windows(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, hash): every window of ``WINDOW`` canonical tokens (column ``__tokens``)."""
+def windows(df: DataFrame, *keys: str, width: int = WINDOW) -> DataFrame:
+    """(keys, pos, hash): every window of ``width`` tokens (column ``__tokens``)."""
     hashes = df.select(*keys, F.transform("__tokens", lambda t: F.xxhash64(t)).alias("__h"))
     window = F.transform(
-        F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + j) for j in range(WINDOW)))
+        F.sequence(F.lit(0), F.size("__h") - width), lambda i: F.xxhash64(*(F.get("__h", i + j) for j in range(width)))
     )
-    every = hashes.select(*keys, F.when(F.size("__h") >= WINDOW, window).alias("__w"))
+    every = hashes.select(*keys, F.when(F.size("__h") >= width, window).alias("__w"))
     # the outer form: for the plain one Spark infers a filter and pushes it down, which would build all hashes again
     return every.select(*keys, F.posexplode_outer("__w").alias("pos", "hash")).filter("pos is not null")
 
@@ -109,18 +114,26 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     here = F.slice(F.col("__tokens"), F.col("from") - F.col("shift") + 1, F.col("length"))
     pairs = F.arrays_zip(here.alias("i"), F.slice("there", F.col("from") + 1, F.col("length")).alias("d"))
     mark = lambda t: F.regexp_extract(t, f"[{NUM}{UNIT}{NAME}]", 0)
+    bare = lambda t: F.translate(t, NUM + UNIT + NAME, "")
     slots = F.array_distinct(
         F.transform(
             F.filter(pairs, lambda p: (mark(p["i"]) != "") & (mark(p["i"]) == mark(p["d"]))),
             lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")),
         )
     )
-    one = lambda side: F.size(F.array_distinct(F.transform("__slots", lambda s: s[side])))
-    return (
+    # a 1 for each token that is the same on both sides: a run of n of them holds n - WINDOW + 1 windows
+    same = F.array_join(F.transform(pairs, lambda p: F.when(bare(p["i"]) == bare(p["d"]), "1").otherwise("0")), "")
+    runs = F.regexp_extract_all(same, F.lit(f"(1{{{WINDOW},}})"), F.lit(1))
+    verbatim = F.aggregate(runs, F.lit(0), lambda acc, r: acc + F.length(r) - (WINDOW - 1))
+    values = F.array_distinct(F.transform("__slots", lambda s: s["i"]))
+    steady = F.filter(values, lambda v: F.size(F.filter("__slots", lambda s: s["i"] == v)) == 1)
+    passages = (
         hits.join(found, "doc_id")
         .join(own, "item")
         .withColumn("__slots", slots)
-        .filter((one("i") == F.size("__slots")) & (one("d") == F.size("__slots")))
+        .filter(
+            (F.size(steady) >= F.lit(CONSISTENT) * F.size(values)) | (verbatim > F.lit(VERBATIM) * (F.size("__tokens") - (WINDOW - 1)))
+        )
         .select(
             "doc_id",
             "item_id",
@@ -130,6 +143,35 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.exists("__slots", lambda s: s["i"] != s["d"]).alias("reparameterised"),
         )
     )
+    exact = find_verbatim(texts, items.join(counts, "item", "left_anti"))
+    return passages if exact is None else passages.unionByName(exact)
+
+
+def find_verbatim(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The passages of ``items`` that stand in ``texts`` word for word, as rows of ``find_passages``; None without items."""
+    plain = items.select("item", "item_id", tokens(F.lower(F.coalesce("text", F.lit("")))).alias("__tokens"))
+    plain = plain.withColumn("width", F.least(F.size("__tokens"), F.lit(WINDOW))).filter(F.col("width") >= LITERALS)
+    plain = materialise(plain, "bench_verbatim")
+    widths = sorted(r["width"] for r in plain.select("width").distinct().collect())  # from LITERALS to WINDOW
+    said = texts.select("doc_id", tokens(F.lower(F.coalesce("text", F.lit("")))).alias("__tokens"))
+    out = None
+    for width in widths:
+        own = windows(plain.filter(F.col("width") == width), "item", "item_id", width=width)
+        own = materialise(own.withColumnRenamed("pos", "ipos"), "bench_verbatim_windows")
+        counts = own.groupBy("item").agg(F.countDistinct("hash").alias("item_windows"))
+        rows = (
+            windows(said, "doc_id", width=width)
+            .join(broadcast_if_small(own.groupBy("item", "item_id", "hash").agg(F.min("ipos").alias("ipos"))), "hash")
+            .groupBy("doc_id", "item", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
+            .agg(F.countDistinct("ipos").alias("windows"))
+            .join(counts, "item")
+            .filter(F.col("windows") >= F.least(F.lit(RUN), F.col("item_windows")))
+            .select(
+                "doc_id", "item_id", "windows", "item_windows", F.lit(0).alias("slots"), F.lit(False).alias("reparameterised")
+            )
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
