@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import chat_perspectives, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, quality, sharding, url_filter
+from basketry.llm import (
+    chat_perspectives, decontaminate, fingerprints, hard_negatives, language_id, mixing, near_dedup, oracle, pii, quality,
+    sharding, signature_join, spelling, url_filter,
+)
 from basketry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +58,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 7 letters; in one of 31 occurrences, by a checksum, a letter is dropped (a null doc_id reads as '')."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.runs(F.col("text"), 7)).alias("run"))
+    check = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
+    at = F.pmod(F.col("check"), F.length("run")).cast("int")
+    dropped = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.withColumn("check", check).select(F.when(F.col("check") % 31 == 0, dropped).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(words, 7, 2))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -71,8 +96,11 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
 #: The other operators hash, sample or learn in ways that SQL on another engine cannot repeat: tests hold them to brute force.
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.oracle_sql(), **oracle.ORACLE_SQL}
