@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from basketry.functions.stats import safe_corr
 from basketry.functions.text import feature_label
 from basketry.operators.visits import visits as visits_of
+from basketry.session import scratch_path
 
 FEATURES = ["frecuencia", "total_cantidad", "productos_distintos", "categorias_distintas"]
 # Fixed value: box-plot fence factor (Tukey).
@@ -25,9 +29,10 @@ def customer_features(enriched: DataFrame, visits: DataFrame | None = None) -> D
 
     ``frecuencia`` = distinct (fecha, sucursal_id) = visits of the customer;
     distinct counts ignore nulls (a customer with no categorised unit has 0
-    categories).  The fact is folded once per (customer, product), with the
-    product's one category; units and products are plain totals of that fold,
-    and one distinct count is left, so no row is expanded.  ``visits`` supply
+    categories).  The fact is folded once per (customer, product, category) and
+    once more per (customer, product); units and products are plain totals, and
+    the categories one distinct set per customer, so no row is expanded, and a
+    product that changed its category counts once.  ``visits`` supply
     ``frecuencia``; they are derived from the fact unless passed in (a fact
     without ``fecha``, as the per-branch partials are, needs them).
     """
@@ -36,12 +41,13 @@ def customer_features(enriched: DataFrame, visits: DataFrame | None = None) -> D
             raise ValueError("visits are required when the input has no fecha column")
         visits = visits_of(enriched)
     fold = enriched.groupBy("cliente_id", "producto_id").agg(
-        F.sum("cantidad").alias("units"), F.min("categoria_id").alias("categoria_id")
+        F.sum("cantidad").alias("units"), F.collect_set("categoria_id").alias("categories")
     )
+    # a product's categories are a handful, and a customer's as many as there are categories
     rest = fold.groupBy("cliente_id").agg(
         F.sum("units").cast("bigint").alias("total_cantidad"),
         F.count("producto_id").alias("productos_distintos"),
-        F.count_distinct("categoria_id").alias("categorias_distintas"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("categories")))).cast("bigint").alias("categorias_distintas"),
     )
     frequency = visits.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("frecuencia"))
     return rest.join(frequency, "cliente_id", "left").select(
@@ -77,53 +83,81 @@ def correlation_matrix(features: DataFrame, columns: list[str] = FEATURES, digit
     )
 
 
-def value_histogram(values: DataFrame, column: str) -> DataFrame:
-    """(value, freq) with box fences attached to every row.
+@dataclass(frozen=True)
+class Box:
+    """Quartiles (R-7) and Tukey fences of a column; all None without values."""
+
+    q1: float | None = None
+    median: float | None = None
+    q3: float | None = None
+    lo: float | None = None
+    hi: float | None = None
 
-    The histogram has one row per distinct value, so its size is bounded by
-    the value range (units per customer), not by the number of customers.
-    Quartiles use Spark's exact ``percentile`` with frequency weights (linear
-    interpolation, R-7) as an un-partitioned window over those rows -- the
-    same bound as the percentile buffer itself, which keeps a value -> count
-    map.  Everything downstream is one job over one scan.
-    """
-    hist = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("freq"))
-    whole = Window.partitionBy()
-    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("freq")).over(whole)
-    with_q = hist.withColumn("q", q)
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return with_q.withColumn("lo", F.col("q")[0] - F.lit(FENCE_FACTOR) * iqr).withColumn(
-        "hi", F.col("q")[2] + F.lit(FENCE_FACTOR) * iqr
-    )
 
+def exact_quantiles(values: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation (R-7) by rank selection, with no task that sorts all values.
 
-def box_stats(values: DataFrame, column: str = "total_cantidad") -> DataFrame:
+    The histogram (one row per distinct value) is range-partitioned and written with its bucket, the partition; the
+    buckets' totals, one row each, give every bucket's first rank.  Only the buckets that hold a wanted rank are sorted,
+    each in a task of its own, and give at most two values a quantile.  Nulls are left out.
+    """
+    spark = values.sparkSession
+    path = scratch_path(spark, "histogram")
+    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("freq"))
+    counts.repartitionByRange("v").withColumn("bucket", F.spark_partition_id()).write.parquet(path)
+    hist = spark.read.schema(f"v {values.schema[column].dataType.simpleString()}, freq long, bucket int").parquet(path)
+    buckets = hist.groupBy("bucket").agg(F.sum("freq").alias("freq")).orderBy("bucket").collect()
+    total = sum(b["freq"] for b in buckets)
+    if not total:
+        return [None] * len(shares)
+    places = [share * (total - 1) for share in shares]
+    ranks = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    first, start = {}, 0
+    for b in buckets:
+        if any(start <= r < start + b["freq"] for r in ranks):
+            first[b["bucket"]] = start
+        start += b["freq"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in first.items() for x in kv]), F.col("bucket").cast("bigint"))
+    until = F.sum("freq").over(Window.partitionBy("bucket").orderBy("v")) + offset
+    ranked = hist.filter(F.col("bucket").isin(list(first))).select("v", "freq", until.alias("until"))
+    wanted = F.exists(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("until")) & (r >= F.col("until") - F.col("freq")))
+    found = sorted((r["until"], r["v"]) for r in ranked.filter(wanted).collect())
+    at = lambda rank: float(next(v for until, v in found if rank < until))
+    return [at(math.floor(p)) + (p - math.floor(p)) * (at(math.ceil(p)) - at(math.floor(p))) for p in places]
+
+
+def box(values: DataFrame, column: str = "total_cantidad") -> Box:
+    """Quartiles and fences as plain numbers."""
+    q1, median, q3 = exact_quantiles(values, column, (0.25, 0.5, 0.75))
+    if q1 is None:
+        return Box()
+    return Box(q1, median, q3, q1 - FENCE_FACTOR * (q3 - q1), q3 + FENCE_FACTOR * (q3 - q1))
+
+
+def box_stats(values: DataFrame, column: str = "total_cantidad", fences: Box | None = None) -> DataFrame:
     """q1, mediana, q3, media, bigote_inf, bigote_sup, n_outliers (one row).
 
-    Whiskers are the extreme values inside the 1.5*IQR fences (Tukey), the
-    mean is weighted by frequency; all from the histogram in one aggregate.
+    Whiskers are the extreme values inside the 1.5*IQR fences (Tukey); with
+    the fences as scalars, one aggregate over the values.
     """
-    h = value_histogram(values, column)
-    v = F.col("v")
-    inside = (v >= F.col("lo")) & (v <= F.col("hi"))
-    return h.agg(
-        F.first(F.col("q")[0]).alias("q1"),
-        F.first(F.col("q")[1]).alias("mediana"),
-        F.first(F.col("q")[2]).alias("q3"),
-        (F.sum(v * F.col("freq")) / F.sum("freq")).cast("double").alias("media"),
+    b = fences or box(values, column)
+    v, number = F.col(column), lambda x: F.lit(x).cast("double")
+    inside = (v >= number(b.lo)) & (v <= number(b.hi))
+    return values.agg(
+        number(b.q1).alias("q1"),
+        number(b.median).alias("mediana"),
+        number(b.q3).alias("q3"),
+        (F.sum(v) / F.count(v)).cast("double").alias("media"),
         F.min(F.when(inside, v)).cast("double").alias("bigote_inf"),
         F.max(F.when(inside, v)).cast("double").alias("bigote_sup"),
-        F.coalesce(F.sum(F.when(~inside, F.col("freq"))), F.lit(0)).cast("bigint").alias("n_outliers"),
+        F.count(F.when(~inside, v)).alias("n_outliers"),
     )
 
 
-def outliers(values: DataFrame, column: str = "total_cantidad", key: str = "cliente_id") -> DataFrame:
-    """Rows outside the 1.5*IQR fences.
-
-    The outlying *values* come from the histogram; rows are selected by an
-    equi-join on the value (no cross join, no scalar subquery), and both
-    sides share one exchange of ``values`` (ReusedExchange in the plan).
-    """
-    h = value_histogram(values, column)
-    bad = h.filter((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).select(F.col("v").alias(column))
-    return values.join(bad, column, "left_semi").select(key, column)
+def outliers(
+    values: DataFrame, column: str = "total_cantidad", key: str = "cliente_id", fences: Box | None = None
+) -> DataFrame:
+    """Rows outside the 1.5*IQR fences: a filter with two scalars."""
+    b = fences or box(values, column)
+    v, number = F.col(column), lambda x: F.lit(x).cast("double")
+    return values.filter((v < number(b.lo)) | (v > number(b.hi))).select(key, column)

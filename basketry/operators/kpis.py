@@ -31,11 +31,12 @@ def total_visits(visits: DataFrame) -> DataFrame:
 
 
 def unique_counts(enriched: DataFrame) -> DataFrame:
-    """Distinct customers and products (computed, not constants)."""
-    return enriched.agg(
-        F.count_distinct("cliente_id").alias("n_clientes"),
-        F.count_distinct("producto_id").alias("n_productos"),
-    )
+    """Distinct customers and products (computed, not constants).
+
+    One distinct count per aggregate, the second as a scalar, so that no row of the fact is expanded.
+    """
+    products = enriched.agg(F.count_distinct("producto_id").alias("n"))
+    return enriched.agg(F.count_distinct("cliente_id").alias("n_clientes")).withColumn("n_productos", products.scalar())
 
 
 def product_units(enriched: DataFrame) -> DataFrame:

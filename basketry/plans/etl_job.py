@@ -1,17 +1,16 @@
-"""ETL job: receipt files -> enriched, branch-partitioned Parquet table.
+"""ETL job: receipt files -> the versioned, branch-partitioned fact table.
 
 The table is a function of the input files: every accepted line is kept under
 its own branch, whichever file holds it, in the slice of its source file.
 
-* the files of added / modified branches (by file name; unnamed files form one
-  group) are read and their slices written, then slices that these files no
-  longer fill are deleted, and only then the state is saved;
-* slices of removed files are deleted after the write as well;
-* any change of the two dimension files, or a missing table -> all files again;
-* without a state every file is read, and slices of no current file go.
+* files that were added or changed since the table's version are read; their rows, and the lines they reject, become a new
+  version that supersedes their old slices, and so do the slices of removed files;
+* the manifest that was ingested is published with the rows, so a killed run leaves no trace and is simply repeated;
+* a change of the dimension files, or ``force``, reads all files of this source again;
+* the files of other sources (other ``origin``: a stream over another folder, another job) are never touched.
 
-One row per branch, the paths of the files to read again when not all are read,
-and the slices written reach the driver: metadata, never data.
+What reaches the driver: one row per branch and kind of change, the paths of the
+files to read again when few files changed, and counts.  Never data.
 """
 
 from __future__ import annotations
@@ -26,17 +25,32 @@ from basketry.schemas import LOTE_COLUMN
 from basketry.sources.csv import (
     accepted_baskets,
     basket_accepted,
-    read_basket_rejects,
     read_categories,
     read_product_category,
+    rejected_baskets,
     scan_baskets,
     with_slice,
 )
-from basketry.sources.manifest import branch_manifest, manifest_diff, source_manifest
-from basketry.sources.parquet import PARTITION_COLUMN, drop_slices, path_exists, table_slices, write_enriched
+from basketry.sources.manifest import manifest_diff, source_manifest, source_root
+from basketry.sources.runlog import claimed
+from basketry.sources.snapshots import (
+    DATA_SCHEMA,
+    PARTITION_COLUMN,
+    REJECT_SCHEMA,
+    Snapshot,
+    compact,
+    is_crowded,
+    publish,
+    slice_units,
+    snapshot,
+    write_rejects,
+    write_rows,
+)
 
-#: Pseudo-branches of the state: the dimension files, and receipt files that name no branch.
-DIMENSIONS, UNNAMED = -1, -2
+#: Branch of receipt files that name none.
+UNNAMED = -2
+#: Up to so many changed files are picked by their paths, which prunes the others before they are opened.
+FILES_BY_PATH = 10_000
 
 
 @dataclass
@@ -47,12 +61,49 @@ class EtlResult:
     # accepted receipt lines and written units, observed during the write
     # itself (no extra scan, unlike a count() on the source)
     metrics: dict = field(default_factory=dict)
+    #: The table's version after the run, and the branches of the rows it wrote.
+    version: int = 0
+    touched: list[int] = field(default_factory=list)
+
+
+@dataclass
+class _Changes:
+    """What differs between a snapshot and the files that are there."""
+
+    base: Snapshot
+    files: DataFrame  # slice, change
+    counts: list  # branch, change, n
+    dimensions: bool
+
+    def count(self, *kinds: str) -> int:
+        return sum(r["n"] for r in self.counts if r["change"] in kinds)
 
+    @property
+    def none(self) -> bool:
+        return not self.dimensions and self.count("added", "modified", "removed") == 0
 
-def _read_state(spark: SparkSession, state_path: str | None) -> DataFrame | None:
-    if not state_path or not path_exists(spark, state_path):
-        return None  # first run: no state yet
-    return spark.read.parquet(state_path)
+
+def _as_state(manifest: DataFrame, kind: str, origin: str) -> DataFrame:
+    return manifest.select(
+        F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), F.col("slice").alias(LOTE_COLUMN), "file",
+        F.coalesce("branch", F.lit(UNNAMED)).alias("branch"), "size", "fingerprint",
+    )
+
+
+def _changes(base: Snapshot, receipts: DataFrame, dimensions: DataFrame, origin: str, force: bool) -> _Changes:
+    own = base.state().filter(F.col("origin") == origin)
+    before = own.filter("kind = 'receipts'").select(F.col(LOTE_COLUMN).alias("slice"), "branch", "fingerprint")
+    # two rows on either side as a rule: the dimension files
+    known = own.filter("kind = 'dimension'").select(LOTE_COLUMN, "fingerprint")
+    both = known.withColumn("side", F.lit(1)).union(dimensions.select(LOTE_COLUMN, "fingerprint", F.lit(2)))
+    sides = both.groupBy(LOTE_COLUMN, "fingerprint").agg(F.sum("side").alias("sides"))
+    moved = force or base.version == 0 or sides.filter("sides != 3").limit(1).count() > 0
+    diff = manifest_diff(before, receipts.withColumnRenamed(LOTE_COLUMN, "slice"), "slice", "branch").select("slice", "branch", "change")
+    if moved:  # every file that is there is read again
+        diff = diff.withColumn("change", F.when(F.col("change") == "unchanged", "modified").otherwise(F.col("change")))
+    diff = diff.persist()  # a row per file
+    counts = diff.groupBy("branch", "change").agg(F.count(F.lit(1)).alias("n")).collect()
+    return _Changes(base, diff, counts, moved)
 
 
 def run_etl(
@@ -61,98 +112,104 @@ def run_etl(
     product_category_path: str,
     categories_path: str,
     table_path: str,
-    state_path: str | None = None,
     force: bool = False,
     rejects_path: str | None = None,
+    origin: str | None = None,
+    takeover: bool = False,
+    wait_seconds: float = 0.0,
+    pattern: str = "*.csv",
 ) -> EtlResult:
+    """Bring the table up to the files; the run's claim keeps other runs out, see :mod:`basketry.sources.runlog`.
+
+    ``origin`` names the source (default: its folder); files keep their slices under that name, wherever they lie.
+    ``pattern`` selects the receipt files by name.
+    ``rejects_path``: also write the rejected lines that are live after the run there, whole.
+    """
+    origin = origin or source_root(baskets_path)
     # Listing happens once, when the manifests are created: the file index is
-    # a fixed snapshot taken before any data is read, so the state saved at
-    # the end describes exactly what was ingested.
-    receipts = source_manifest(spark, baskets_path).withColumn("branch", F.coalesce("branch", F.lit(UNNAMED)))
-    dimensions = source_manifest(spark, product_category_path).unionByName(source_manifest(spark, categories_path))
-    current = receipts.unionByName(dimensions.withColumn("branch", F.lit(DIMENSIONS)))
-    there = path_exists(spark, table_path)
-    old = _read_state(spark, state_path) if there else None
-
-    # only branch-level rows reach the driver (one per branch, never per file)
-    if old is None:
-        changes = {r["branch"]: "added" for r in current.select("branch").distinct().collect()}
-    else:
-        diff = manifest_diff(branch_manifest(old), branch_manifest(current))
-        changes = {r["branch"]: r["change"] for r in diff.collect()}
-
-    # force: re-ingest every current branch (removed ones are still dropped)
-    dims_changed = force or changes.get(DIMENSIONS, "unchanged") != "unchanged"
-    branches = [b for b in changes if b != DIMENSIONS]
-    if dims_changed:
-        to_ingest = [b for b in branches if changes[b] != "removed"]
-    else:
-        to_ingest = [b for b in branches if changes[b] in ("added", "modified")]
-    removed = [b for b in branches if changes[b] == "removed"]
-
-    result = EtlResult(ingested=sorted(to_ingest), removed=sorted(removed))
-    if not to_ingest and not removed and old is not None:
-        result.skipped = True
-        return result
-
-    written: list = []
-    reread = receipts.filter(F.col("branch").isin(to_ingest))
-    if to_ingest:
-        # the folder itself when all its files are read, else the changed files
-        everything = set(to_ingest) == {b for b in branches if changes[b] != "removed"}
-        paths = baskets_path if everything else [r["file"] for r in reread.select("file").collect()]
-        lines_seen = Observation("lines")
-        units_seen = Observation("units")
-        # line counts (accepted and rejected) are observed on the single scan
-        scan = with_slice(scan_baskets(spark, paths)).observe(
-            lines_seen,
-            F.count(F.when(basket_accepted(), F.lit(1))).alias("lines"),
-            F.count(F.when(~basket_accepted(), F.lit(1))).alias("rejected_lines"),
-        )
-        products = product_categories(
-            read_product_category(spark, product_category_path), read_categories(spark, categories_path)
-        )
-        enriched = transform_lines(accepted_baskets(scan), products).observe(
-            units_seen,
-            F.count(F.lit(1)).alias("units"),
-            F.count("nombre_categoria").alias("units_with_category"),
-            F.collect_set(F.struct(PARTITION_COLUMN, LOTE_COLUMN)).alias("slices"),
+    # a fixed snapshot taken before any data is read, so the state published
+    # at the end describes exactly what was ingested.
+    listed = source_manifest(spark, baskets_path, pattern, origin)
+    receipts = _as_state(listed, "receipts", origin)
+    dimensions = _as_state(
+        source_manifest(spark, product_category_path, origin="product_category")
+        .union(source_manifest(spark, categories_path, origin="categories")),
+        "dimension", origin,
+    )
+    found = _changes(snapshot(spark, table_path), receipts, dimensions, origin, force)
+    if found.none and found.base.version:
+        return EtlResult(skipped=True, version=found.base.version)
+    with claimed(spark, table_path, "etl", takeover, wait_seconds) as run:
+        if run.before != found.base.version:  # another run ended in between
+            found = _changes(snapshot(spark, table_path), receipts, dimensions, origin, force)
+        base = found.base
+        branches = lambda *kinds: sorted({r["branch"] for r in found.counts if r["change"] in kinds})
+        result = EtlResult(branches("added", "modified"), version=run.version)
+        result.removed = sorted(set(branches("removed")) - set(branches("added", "modified", "unchanged")))
+        changed = found.files.filter(F.col("change").isin("added", "modified")).select(F.col("slice").alias(LOTE_COLUMN))
+        if found.count("added", "modified"):
+            lines = _changed_lines(scan_baskets(spark, baskets_path, pattern), baskets_path, origin, found, listed, changed)
+            units, result.metrics, result.touched = _write(spark, table_path, run.version, lines, product_category_path, categories_path)
+        else:  # files went, none came: nothing to read
+            write_rows(spark.createDataFrame([], DATA_SCHEMA), table_path, run.version)
+            write_rejects(spark.createDataFrame([], REJECT_SCHEMA), table_path, run.version)
+            units = spark.createDataFrame([], f"{LOTE_COLUMN} long, units long")
+            result.metrics = dict.fromkeys(("lines", "rejected_lines", "units", "units_with_category"), 0)
+        new = receipts.join(changed, LOTE_COLUMN, "left_semi").join(units, LOTE_COLUMN, "left").withColumn("held", F.lit(run.version))
+        state = base.state().filter("kind != 'dead'")
+        mine = (F.col("origin") == origin) & (F.col("kind") == "receipts")
+        gone = found.files.filter(F.col("change") != "unchanged").select(F.col("slice").alias(LOTE_COLUMN))
+        kept = (
+            state.filter(mine).join(gone, LOTE_COLUMN, "left_anti")
+            .unionByName(new, allowMissingColumns=True)
+            .unionByName(state.filter(~mine & ~((F.col("kind") == "dimension") & (F.col("origin") == origin))), allowMissingColumns=True)
+            .unionByName(dimensions, allowMissingColumns=True)
         )
-        write_enriched(enriched, table_path)
-        seen = dict(units_seen.get)
-        written = [tuple(r) for r in seen.pop("slices") or []]
-        result.metrics = {**lines_seen.get, **seen}
-        if rejects_path and result.metrics["rejected_lines"] > 0:
-            # malformed lines of the re-read files, one folder per source file
-            # (dynamic overwrite: re-reading a file replaces its rejects); the
-            # second scan only happens when the first one saw rejects
-            (
-                read_basket_rejects(spark, paths)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("archivo")
-                .parquet(rejects_path)
-            )
-    if there:
-        _drop_superseded(spark, table_path, old, receipts, reread, written)
-    if state_path:
-        # one row per file
-        current.coalesce(1).write.mode("overwrite").parquet(state_path)
+        publish(run, base, kept, state.filter(mine).join(gone, LOTE_COLUMN, "left_semi"), result.metrics)
+        units.unpersist()
+    found.files.unpersist()
+    if is_crowded(run.detail):
+        compact(spark, table_path)
+    if rejects_path:
+        snapshot(spark, table_path).rejects().write.mode("overwrite").parquet(rejects_path)
     return result
 
 
-def _drop_superseded(
-    spark: SparkSession, table_path: str, old: DataFrame | None, receipts: DataFrame, reread: DataFrame, written: list
-) -> None:
-    """Delete slices of files that are gone, and slices that the files read again no longer fill."""
-    slices = table_slices(spark, table_path)
-    here = receipts.select(F.col("slice").alias(LOTE_COLUMN))
-    gone = slices.join(here, LOTE_COLUMN, "left_anti")
-    if old is not None:  # slices of other inputs (a stream over another folder) stay
-        known = old.filter(F.col("branch") != DIMENSIONS).select(F.col("slice").alias(LOTE_COLUMN))
-        gone = gone.join(known, LOTE_COLUMN, "left_semi")
-    filled = spark.createDataFrame(written, f"{PARTITION_COLUMN} int, {LOTE_COLUMN} bigint")
-    again = slices.join(reread.select(F.col("slice").alias(LOTE_COLUMN)), LOTE_COLUMN, "left_semi")
-    empty = again.join(filled, [PARTITION_COLUMN, LOTE_COLUMN], "left_anti")
-    columns = [PARTITION_COLUMN, LOTE_COLUMN]
-    drop_slices(spark, table_path, [tuple(r) for r in gone.select(*columns).union(empty.select(*columns)).collect()])
+def _changed_lines(scan: DataFrame, path: str, origin: str, found: _Changes, listed: DataFrame, changed: DataFrame) -> DataFrame:
+    """The lines of the files to read, with their file's name and slice."""
+    lines = with_slice(scan.withColumn("archivo", F.col("_metadata.file_name")), path, origin)
+    if not found.count("unchanged"):
+        return lines
+    if found.count("added", "modified") > FILES_BY_PATH:
+        return lines.join(changed, LOTE_COLUMN, "left_semi")
+    uris = listed.join(changed, listed["slice"] == changed[LOTE_COLUMN], "left_semi").select("uri").collect()
+    return lines.filter(F.col("_metadata.file_path").isin([r["uri"] for r in uris]))
+
+
+def _write(
+    spark: SparkSession, table_path: str, version: int, lines: DataFrame, product_category_path: str, categories_path: str
+) -> tuple[DataFrame, dict, list[int]]:
+    """Write the rows and the rejects of ``lines`` as a version: units by slice (cached), counts, and the branches written."""
+    lines_seen, units_seen = Observation("lines"), Observation("units")
+    counts = [
+        F.count(F.when(basket_accepted(), F.lit(1))).alias("lines"),
+        F.count(F.when(~basket_accepted(), F.lit(1))).alias("rejected_lines"),
+    ]
+    # line counts (accepted and rejected) are observed on the single scan
+    products = product_categories(read_product_category(spark, product_category_path), read_categories(spark, categories_path))
+    enriched = transform_lines(accepted_baskets(lines.observe(lines_seen, *counts)), products).observe(
+        units_seen,
+        F.count(F.lit(1)).alias("units"),
+        F.count("nombre_categoria").alias("units_with_category"),
+        F.collect_set(PARTITION_COLUMN).alias("branches"),
+    )
+    write_rows(enriched, table_path, version)
+    units = slice_units(spark, table_path, version).persist()  # a row per file
+    if units.count():
+        metrics, seen = lines_seen.get, dict(units_seen.get)
+    else:  # Spark replaces a plan that turns out empty, and its observations with it
+        metrics, seen = lines.agg(*counts).first().asDict(), {"units": 0, "units_with_category": 0, "branches": []}
+    touched = sorted(seen.pop("branches"))
+    # the second scan only happens when the first one saw rejects
+    write_rejects(rejected_baskets(lines if metrics["rejected_lines"] else lines.limit(0)), table_path, version)
+    return units, {**metrics, **seen}, touched

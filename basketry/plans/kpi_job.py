@@ -9,40 +9,55 @@ wide fact itself is never cached: each KPI's scan is column-pruned Parquet.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators import categories, customers, kpis, series
 from basketry.operators.visits import visits as visits_of
 from basketry.sources.parquet import write_mart
+from basketry.sources.runlog import append_event, claimed, read_log
+from basketry.sources.snapshots import snapshot
 
 
 def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFrame:
     """Scalar KPIs in long form (kpi, value) from two folds of the fact.
 
-    The fold per product gives units, products and categories (a product has
-    one category, see ``dedupe_product_category``); the visits give visits and
-    customers.  Each fold reduces map-side, and each total holds one distinct
-    count at most, so no row of the fact is expanded.
+    The fold per product and category gives units and categories, and once
+    more per product the products; the visits give visits and customers.  Each
+    fold reduces map-side, and each total holds one distinct count at most, so
+    no row of the fact is expanded.  A product may change its category between
+    dimension files: it is one product, uncovered if any unit has no category.
     """
     zero = lambda total: F.coalesce(total, F.lit(0)).cast("bigint")
-    per_product = enriched.groupBy("producto_id").agg(
-        F.sum("cantidad").alias("units"),
-        F.sum(F.when(F.col("nombre_categoria").isNull(), F.col("cantidad"))).alias("unnamed_units"),
-        F.min("nombre_categoria").alias("name"),
-        F.max(F.col("categoria_id").isNull()).alias("uncovered"),
+    per_category = enriched.groupBy("producto_id", "categoria_id", "nombre_categoria").agg(F.sum("cantidad").alias("units"))
+    unnamed = F.when(F.col("nombre_categoria").isNull(), F.col("units"))
+    product = F.struct(
+        F.lit(True).alias("product"), F.col("producto_id").cast("string").alias("key"), F.col("units"),
+        unnamed.alias("unnamed"), F.col("categoria_id").isNull().alias("uncovered"),
     )
-    products = per_product.agg(
+    no_units = F.lit(None).cast("bigint")
+    name = F.struct(
+        F.lit(False).alias("product"), F.col("nombre_categoria").alias("key"), no_units.alias("units"),
+        no_units.alias("unnamed"), F.lit(False).alias("uncovered"),
+    )
+    # two rows for each row of the fold, not of the fact
+    per_key = per_category.select(F.inline(F.array(product, name))).groupBy("product", "key").agg(
+        F.sum("units").alias("units"), F.sum("unnamed").alias("unnamed"), F.max("uncovered").alias("uncovered")
+    )
+    count = lambda condition: F.count(F.when(condition & F.col("key").isNotNull(), F.lit(1)))
+    products = per_key.agg(
         zero(F.sum("units")).alias("total_unidades"),
-        F.count("producto_id").alias("productos_unicos"),
-        F.count_distinct("name").alias("categorias_con_nombre"),
-        zero(F.sum("unnamed_units")).alias("unidades_sin_categoria"),
+        count(F.col("product")).alias("productos_unicos"),
+        count(~F.col("product")).alias("categorias_con_nombre"),
+        zero(F.sum("unnamed")).alias("unidades_sin_categoria"),
         # coverage of the bridge by product (the unit-based share is the line above)
-        F.count(F.when(F.col("uncovered"), F.col("producto_id"))).alias("productos_sin_categoria"),
+        count(F.col("product") & F.col("uncovered")).alias("productos_sin_categoria"),
     )
     people = (visits if visits is not None else visits_of(enriched)).agg(
         F.count(F.lit(1)).alias("total_visitas"), F.count_distinct("cliente_id").alias("clientes_unicos")
@@ -56,7 +71,11 @@ def kpi_bundle(enriched: DataFrame, visits: DataFrame | None = None) -> DataFram
 
 
 def chart_mart_builders(
-    enriched: DataFrame, visits: DataFrame, units: DataFrame, share: DataFrame | None = None
+    enriched: DataFrame,
+    visits: DataFrame,
+    units: DataFrame,
+    share: DataFrame | None = None,
+    fences: customers.Box | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """Deferred constructors of the chart datasets (analysis runs in the caller's thread)."""
 
@@ -70,8 +89,8 @@ def chart_mart_builders(
         "category_share": share_df,
         "category_pie": lambda: categories.category_pie(share_df()),
         "daily_series": lambda: series.rolling_7d(kpis.daily_counts(visits)),
-        "customer_box": lambda: customers.box_stats(units),
-        "customer_outliers": lambda: customers.outliers(units),
+        "customer_box": lambda: customers.box_stats(units, fences=fences),
+        "customer_outliers": lambda: customers.outliers(units, fences=fences),
         "customer_corr": lambda: customers.correlation_matrix(customers.customer_features(enriched, visits)),
     }
 
@@ -109,9 +128,11 @@ def run_kpis(
     shared = [visits, units, share]
     try:
         with ThreadPoolExecutor(max_workers=len(shared)) as pool:
-            list(pool.map(lambda df: df.count(), shared))
+            fences = pool.submit(lambda: units.count() and customers.box(units))
+            list(pool.map(lambda df: df.count(), [visits, share]))
+            fences = fences.result() or customers.Box()
         builders: dict[str, Callable[[], DataFrame]] = {"kpis": lambda: kpi_bundle(enriched, visits)}
-        builders.update(chart_mart_builders(enriched, visits, units, share))
+        builders.update(chart_mart_builders(enriched, visits, units, share, fences))
 
         def build_and_write(name: str) -> None:
             # plan analysis of one mart overlaps the execution of the others
@@ -126,6 +147,61 @@ def run_kpis(
             df.unpersist()
 
 
+def refresh_marts(
+    spark: SparkSession,
+    table_path: str,
+    mart_root: str,
+    partials_root: str | None = None,
+    parallelism: int = 4,
+    fmt: str = "parquet",
+    force: bool = False,
+) -> list[str]:
+    """Bring the marts up to the fact's newest version, from the fact or from its partials; none if they are already.
+
+    The run is logged under ``mart_root`` before any mart is overwritten and after all are written, so that marts of a
+    failed or killed run are known to be stale (:func:`mart_status`).
+    """
+    pinned = snapshot(spark, table_path)
+    if not force and not mart_status(spark, mart_root, table_path).stale:
+        return []
+    with claimed(spark, mart_root, "kpis", takeover=True) as run:
+        run.detail["table_version"] = pinned.version
+        append_event(spark, mart_root, run.run, "kpis", "building", run.version, run.detail)
+        if partials_root:
+            from basketry.plans.partials import refresh_partials, run_kpis_from_partials
+
+            refresh_partials(spark, table_path, partials_root)
+            names = run_kpis_from_partials(spark, partials_root, mart_root, parallelism, fmt)
+        else:
+            names = run_kpis(pinned.fact(), mart_root, parallelism, fmt)
+    return names
+
+
+@dataclass(frozen=True)
+class MartStatus:
+    """Which version of the fact the marts show, which is the newest, and how the last KPI run ended."""
+
+    shown: int | None
+    newest: int
+    last_event: str | None
+    error: str | None = None
+
+    @property
+    def stale(self) -> bool:
+        return self.last_event != "published" or self.shown != self.newest
+
+
+def mart_status(spark: SparkSession, mart_root: str, table_path: str) -> MartStatus:
+    """A started run that did not publish may have left a mix of old and new marts: then no version is shown."""
+    newest = snapshot(spark, table_path).version
+    last = read_log(spark, mart_root).orderBy(F.desc("seq")).limit(1).first()
+    if last is None:
+        return MartStatus(None, newest, None)
+    detail = json.loads(last["detail"])
+    shown = detail["table_version"] if last["event"] == "published" else None
+    return MartStatus(shown, newest, last["event"], detail.get("error"))
+
+
 MART_NAMES = [
     "kpis",
     "top_products",

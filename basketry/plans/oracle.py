@@ -8,15 +8,22 @@ HUGEINT) and ratios to DOUBLE.
 
 from __future__ import annotations
 
-from basketry.functions.dates import WEEKDAY_ABBREVIATIONS
-from basketry.functions.text import FEATURE_LABELS
+# Stated here once more, so that a wrong label in the library shows.
+_WEEKDAYS = {1: "Dom", 2: "Lun", 3: "Mar", 4: "Mié", 5: "Jue", 6: "Vie", 7: "Sáb"}
+_FEATURES = {
+    "frecuencia": "Frecuencia",
+    "total_cantidad": "Total cantidad",
+    "productos_distintos": "Prod. distintos",
+    "categorias_distintas": "Cat. distintas",
+}
 
 _VIEWS = """
-with fx_fact as (
+with fx_all as (
   select cast(o.o_orderdate as date) as fecha, c.c_nationkey as sucursal_id,
          cast(o.o_custkey as int) as cliente_id, cast(l.l_partkey as int) as producto_id, o.o_orderkey
   from orders o join customer c on c.c_custkey = o.o_custkey join lineitem l on l.l_orderkey = o.o_orderkey
 ),
+fx_fact as (select * from fx_all where true),
 fx_product_category as (
   select cast(p_partkey as int) as producto_id, cast(substr(p_brand, 7) as int) as categoria_id from part where p_size <= 25
   union all
@@ -66,17 +73,17 @@ def _sql(body: str) -> str:
 
 
 def _weekday_case(expr: str) -> str:
-    whens = " ".join(f"when {k} then '{v}'" for k, v in WEEKDAY_ABBREVIATIONS.items())
+    whens = " ".join(f"when {k} then '{v}'" for k, v in _WEEKDAYS.items())
     return f"coalesce(case {expr} {whens} end, '?')"
 
 
 def _corr_sql() -> str:
-    cols = list(FEATURE_LABELS)
+    cols = list(_FEATURES)
     parts = []
     for a in cols:
         for b in cols:
             parts.append(
-                f"select '{FEATURE_LABELS[a]}' as var_x, '{FEATURE_LABELS[b]}' as var_y, "
+                f"select '{_FEATURES[a]}' as var_x, '{_FEATURES[b]}' as var_y, "
                 f"round(corr(cast({a} as double), cast({b} as double)), 6) as r from fx_features"
             )
     return "\n union all ".join(parts)
@@ -205,6 +212,62 @@ from fx_enriched {where} group by sucursal_id"""
 
 ORACLE_SQL["etl_full"] = ORACLE_SQL["batch_then_stream"] = _units_sql()
 ORACLE_SQL["etl_incremental"] = _units_sql("where year(fecha) < (select max(year(o_orderdate)) from orders)")
+ORACLE_SQL["stream_then_batch"] = _units_sql()
 ORACLE_SQL["kpi_bundle"] = _KPI_SQL
-ORACLE_SQL["kpi_mart_roundtrip"] = _KPI_SQL
-ORACLE_SQL["kpi_partials_roundtrip"] = _KPI_SQL
+ORACLE_SQL["unique_counts_partials"] = ORACLE_SQL["unique_counts"]
+
+# mart -> (key, whole columns in order of their names; those with a dot hold six digits)
+_MARTS = {
+    "kpis": ("kpi_bundle", "kpi value"),
+    "top_products": ("top_products", "label producto_id texto total_cantidad"),
+    "top_customers": ("top_customers", "cliente_id label n_transacciones texto"),
+    "peak_days": ("peak_days", "dia dia_semana fecha hover n_transacciones"),
+    "category_share": ("category_share", "n_productos nombre_categoria .pct total_cantidad"),
+    "category_pie": ("category_pie", "nombre_categoria .pct total_cantidad"),
+    "daily_series": ("rolling_7d", "fecha n_transacciones .rolling_7d"),
+    "customer_box": ("customer_box", ".bigote_inf .bigote_sup .media .mediana n_outliers .q1 .q3"),
+    "customer_outliers": ("customer_outliers", "cliente_id total_cantidad"),
+    "customer_corr": ("customer_corr", ".r var_x var_y"),
+}
+
+
+def _marts_sql(where: str = "true") -> str:
+    """All marts as (mart, entry) over the receipts that satisfy ``where``."""
+
+    def text(column: str) -> str:
+        shown = f"printf('%.6f', {column[1:]})" if column.startswith(".") else f"cast({column} as varchar)"
+        return f"coalesce({shown}, 'null')"
+
+    parts = []
+    for mart, (key, columns) in _MARTS.items():
+        body = ORACLE_SQL[key].removeprefix(_VIEWS)
+        entry = " || '|' || ".join(text(c) for c in columns.split())
+        parts.append(f"select '{mart}' as mart, {entry} as entry from ({body})")
+    views = _VIEWS.replace("where true", f"where {where}")
+    return views + "\nunion all\n".join(parts)
+
+
+ORACLE_SQL["product_rules"] = _sql(
+    """, fx_bought as (select distinct fecha, sucursal_id, cliente_id, producto_id from fx_enriched),
+fx_alone as (select producto_id, count(*) as n from fx_bought group by producto_id),
+fx_total as (select count(*) as n from fx_visits),
+fx_pairs as (
+  select a.producto_id, b.producto_id as recomendado, count(*) as n_visitas
+  from fx_bought a join fx_bought b using (fecha, sucursal_id, cliente_id) where a.producto_id <> b.producto_id
+  group by a.producto_id, b.producto_id having count(*) >= 2
+)
+select p.producto_id, p.recomendado, n_visitas, round(n_visitas / cast(t.n as double), 9) as soporte,
+       round(n_visitas / cast(x.n as double), 9) as confianza,
+       round((n_visitas / cast(x.n as double)) / (y.n / cast(t.n as double)), 9) as lift
+from fx_pairs p join fx_alone x on x.producto_id = p.producto_id join fx_alone y on y.producto_id = p.recomendado, fx_total t"""
+)
+ORACLE_SQL["kpi_mart_roundtrip"] = ORACLE_SQL["kpi_partials_roundtrip"] = _marts_sql()
+_NEWEST = "(select max(year(o_orderdate)) from orders)"
+ORACLE_SQL["etl_partials_incremental"] = _marts_sql(
+    f"(year(fecha) < {_NEWEST} and sucursal_id < 10) or (year(fecha) >= {_NEWEST} and month(fecha) <= 6)"
+)
+ORACLE_SQL["etl_rejects"] = _sql(
+    """select sucursal_id, count(*) filter (not spoilt) as n_units, count(distinct o_orderkey) filter (spoilt) as n_rejects
+from (select *, sucursal_id >= 10 and day(fecha) % 5 = 0 as spoilt from fx_fact where sucursal_id <= 20)
+group by sucursal_id"""
+)

@@ -1,78 +1,124 @@
-"""Per-branch partial aggregates: the KPI job's input, maintained incrementally.
+"""Partial aggregates of the fact: the KPI job's input, maintained by version.
 
-Every KPI is additive over branches once the fact is folded to two partials
-(a branch is part of the visit key, and distinct counts are re-derived from
-the folded rows):
+Every KPI is additive once the fact is folded to partials (a branch is part of
+the visit key, and distinct counts are re-derived from the folded rows):
 
 * ``visits``            distinct (fecha, sucursal_id, cliente_id)
-* ``customer_products`` units per (sucursal_id, cliente_id, producto_id) with
-                        the product's categoria_id / nombre_categoria, in a
-                        column named ``cantidad`` -- the fact's layout minus
-                        ``fecha``, so the fact operators run on it unchanged.
-
-Both are Parquet tables partitioned by sucursal_id.  After an ETL run only the
-ingested branches are re-folded (partition-pruned scan of the fact, dynamic
-overwrite of their partitions) and removed branches are dropped; the KPI job
-then reads the partials, which are smaller than the fact (repeat purchases and
-the date dimension are folded away), instead of re-scanning every branch.
+* ``customer_products`` units per (sucursal_id, cliente_id, producto_id) and
+                        category, in a column named ``cantidad`` -- the fact's
+                        layout minus ``fecha``, so the fact operators run on it
+                        unchanged
+* ``distincts``         bitmaps of the customers and products seen: exact
+                        distinct counts that merge by OR
+
+Each keeps the slice in its key and lies beside the versions of the fact, as
+``version=N/sucursal_id=B``.  A version's rows never change, so a refresh folds
+only versions that are new, superseded slices drop out on reading as they do in
+the fact, and what is left is merged: a run that ingests one file costs a fold of
+that file's rows, whatever branches they belong to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.visits import visits as visits_of
 from basketry.plans.kpi_job import run_kpis
-from basketry.sources.parquet import PARTITION_COLUMN, drop_branches, path_exists, read_enriched
-
-PARTIAL_NAMES = ("visits", "customer_products")
-
-
-def customer_products(enriched: DataFrame) -> DataFrame:
-    """Units per (branch, customer, product); category columns ride along
-    (they depend on the product only, so they do not split groups)."""
-    return enriched.groupBy(
-        PARTITION_COLUMN, "cliente_id", "producto_id", "categoria_id", "nombre_categoria"
-    ).agg(F.sum("cantidad").cast("bigint").alias("cantidad"))
-
-
-def fold(enriched: DataFrame) -> dict[str, DataFrame]:
-    return {"visits": visits_of(enriched), "customer_products": customer_products(enriched)}
-
-
-def refresh_partials(
-    spark: SparkSession,
-    table_path: str,
-    partials_root: str,
-    branches: Iterable[int] | None = None,
-    removed: Iterable[int] = (),
-) -> None:
-    """Re-fold ``branches`` (all when None) from the fact and drop ``removed``."""
-    branches = None if branches is None else list(branches)
-    if not all(path_exists(spark, f"{partials_root}/{name}") for name in PARTIAL_NAMES):
-        branches = None  # nothing to build on
-    removed = set(removed)
-    if branches != []:
-        fact = read_enriched(spark, table_path, branches)
-        for name, df in fold(fact).items():
-            (
-                df.hint("rebalance", PARTITION_COLUMN)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(PARTITION_COLUMN)
-                .parquet(f"{partials_root}/{name}")
-            )
-        if branches is not None:  # a branch that folds to no row overwrites nothing
-            removed |= set(branches) - {r[0] for r in fact.select(PARTITION_COLUMN).distinct().collect()}
-    for name in PARTIAL_NAMES:
-        drop_branches(spark, f"{partials_root}/{name}", removed)
+from basketry.schemas import LOTE_COLUMN, VISIT_KEY
+from basketry.sources.runlog import claimed, last_published
+from basketry.sources.snapshots import DATA_SCHEMA, PARTITION_COLUMN, Snapshot, current, live_rows, snapshot
+
+PARTIAL_SCHEMAS = {
+    "visits": "fecha date, sucursal_id int, cliente_id int, lote long",
+    "customer_products": (
+        "sucursal_id int, cliente_id int, producto_id int, categoria_id int, nombre_categoria string, cantidad long, lote long"
+    ),
+    "distincts": "sucursal_id int, kind string, bucket long, bits binary, lote long",
+}
+PARTIAL_NAMES = tuple(PARTIAL_SCHEMAS)
+PRODUCT_KEY = ["sucursal_id", "cliente_id", "producto_id", "categoria_id", "nombre_categoria"]
+
+
+def customer_products(enriched: DataFrame, *extra: str) -> DataFrame:
+    """Units per (branch, customer, product) and category."""
+    return enriched.groupBy(*PRODUCT_KEY, *extra).agg(F.sum("cantidad").cast("bigint").alias("cantidad"))
+
+
+def distinct_bitmaps(enriched: DataFrame, *extra: str) -> DataFrame:
+    """(branch, kind, bucket, bits): 4 kB bitmaps of the customers and products of a branch, 32,768 ids a bucket."""
+
+    def bitmaps(kind: str, column: str) -> DataFrame:
+        ids = enriched.filter(F.col(column).isNotNull()).select(PARTITION_COLUMN, *extra, column).distinct()
+        bucket = F.bitmap_bucket_number(F.col(column)).alias("bucket")
+        bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.col(column))).alias("bits")
+        return ids.groupBy(PARTITION_COLUMN, *extra, bucket).agg(bits).withColumn("kind", F.lit(kind))
+
+    return bitmaps("customer", "cliente_id").unionByName(bitmaps("product", "producto_id"))
+
+
+def fold(rows: DataFrame) -> dict[str, DataFrame]:
+    """The partials of fact rows that carry their slice."""
+    return {
+        "visits": rows.select(*VISIT_KEY, LOTE_COLUMN).distinct(),
+        "customer_products": customer_products(rows, LOTE_COLUMN),
+        "distincts": distinct_bitmaps(rows, LOTE_COLUMN),
+    }
+
+
+def refresh_partials(spark: SparkSession, table_path: str, partials_root: str) -> list[int]:
+    """Fold the versions of the fact that have not been folded yet; returns them."""
+    pinned = snapshot(spark, table_path)
+    row = last_published(spark, partials_root)
+    before = json.loads(row["detail"]) if row else {"folded": [], "table_version": 0}
+    if row and before["table_version"] == pinned.version and before["table"] == table_path:
+        return []
+    with claimed(spark, partials_root, "partials", takeover=True) as run:
+        done = set(before["folded"]) if row and before["table"] == table_path else set()
+        new = [v for v in pinned.versions if v not in done]
+
+        def write(version: int, name: str, df: DataFrame) -> None:
+            path = f"{partials_root}/{name}/version={version}"
+            df.hint("rebalance", PARTITION_COLUMN).write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(path)
+
+        folds = [(v, n, df) for v in new for n, df in fold(pinned.rows("data", DATA_SCHEMA, [v])).items()]
+        with ThreadPoolExecutor(max_workers=len(PARTIAL_NAMES)) as pool:  # small jobs side by side
+            list(pool.map(lambda f: write(*f), folds))
+        run.detail.update(table=table_path, table_version=pinned.version, folded=sorted(pinned.versions))
+    return new
+
+
+def _pinned(spark: SparkSession, partials_root: str) -> Snapshot:
+    """The version of the fact that the partials show."""
+    row = last_published(spark, partials_root)
+    if row is None:
+        raise ValueError(f"no partials under {partials_root}")
+    detail = json.loads(row["detail"])
+    return current(spark, detail["table"], detail["table_version"]) or Snapshot(spark, detail["table"])
 
 
 def read_partials(spark: SparkSession, partials_root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{partials_root}/{name}") for name in PARTIAL_NAMES}
+    """The merged partials, without superseded slices, as of the fact's version that they were refreshed to."""
+    pinned = _pinned(spark, partials_root)
+    live = {n: live_rows(pinned, f"{partials_root}/{n}", schema) for n, schema in PARTIAL_SCHEMAS.items()}
+    return {
+        "visits": visits_of(live["visits"]),
+        "customer_products": customer_products(live["customer_products"]),
+        "distincts": live["distincts"].groupBy(PARTITION_COLUMN, "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")),
+    }
+
+
+def unique_counts_from_partials(distincts: DataFrame) -> DataFrame:
+    """n_clientes, n_productos over all branches: exact, by OR of the branches' bitmaps."""
+    whole = distincts.groupBy("kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+    def count(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.bitmap_count("bits"))), F.lit(0)).cast("bigint")
+
+    return whole.agg(count("customer").alias("n_clientes"), count("product").alias("n_productos"))
 
 
 def run_kpis_from_partials(

@@ -54,8 +54,8 @@ ENRICHED_SCHEMA = StructType(
 
 VISIT_KEY = ["fecha", "sucursal_id", "cliente_id"]
 
-# Storage-only second partition level: the streaming micro-batch that wrote the
-# rows (0 for batch ETL writes).  Readers of the table never see it.
+# Storage-only: the slice of the table that a row belongs to, a hash of its source
+# file (0 for rows without one).  Readers of the table never see it.
 LOTE_COLUMN = "lote"
 
 

@@ -36,13 +36,17 @@ def local_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``).  A bare session that names
-    none (tests) gets a folder inside its warehouse, which every executor sees
-    as well; a machine-local temporary folder is never used.
+    Read from the session (``spark.checkpoint.dir``).  Where that is unset, a folder inside the warehouse, if its path
+    names a shared file system or the session runs on one machine (tests); else an error, as a machine-local folder is
+    not seen by all executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        shared = ":" in warehouse and not warehouse.startswith("file:")
+        if not shared and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"{warehouse}/_checkpoints"
     return configured.rstrip("/")
 
 

@@ -2,7 +2,7 @@
 
 Bad lines never fail a job: files are read PERMISSIVE with a corrupt-record
 column, and accepted and rejected lines are two views of the same scan.  CSV
-column pruning is switched off for the session because with pruning the set
+column pruning is switched off by a read option because with pruning the set
 of "malformed" lines depends on which columns a query happens to read (a line
 with an extra field is accepted by a two-column query and rejected by a
 four-column one).
@@ -23,6 +23,7 @@ from basketry.schemas import (
     RAW_BASKET_SCHEMA,
     with_corrupt_column,
 )
+from basketry.sources.manifest import slice_of, source_root
 
 SEPARATOR = "|"
 # Fixed value: header line of the product -> category file (ignored on read, mapped by position).
@@ -71,9 +72,11 @@ def basket_accepted() -> Column:
 
 
 def rejected_baskets(raw: DataFrame) -> DataFrame:
-    """Malformed lines of a raw scan, with the source file name."""
+    """Malformed lines of a raw scan, with the source file name (a column ``archivo`` if the scan has it) and slice."""
+    name = F.col("archivo") if "archivo" in raw.columns else F.col("_metadata.file_name")
+    extra = [LOTE_COLUMN] if LOTE_COLUMN in raw.columns else []
     return raw.filter(~basket_accepted()).select(
-        F.col("_metadata.file_name").alias("archivo"), *RAW_BASKET_SCHEMA.fieldNames(), CORRUPT_COLUMN
+        name.alias("archivo"), *RAW_BASKET_SCHEMA.fieldNames(), CORRUPT_COLUMN, *extra
     )
 
 
@@ -93,9 +96,10 @@ def accepted_baskets(raw: DataFrame) -> DataFrame:
     return raw.filter(basket_accepted()).select(*RAW_BASKET_SCHEMA.fieldNames(), *extra)
 
 
-def with_slice(raw: DataFrame) -> DataFrame:
-    """Each line of a scan with the slice of the table that it belongs to: a hash of its source file's path."""
-    return raw.withColumn(LOTE_COLUMN, F.xxhash64("_metadata.file_path"))
+def with_slice(raw: DataFrame, path: str, origin: str | None = None) -> DataFrame:
+    """Each line of a scan of ``path`` with its file's slice of the table, see :mod:`basketry.sources.manifest`."""
+    root = source_root(path)
+    return raw.withColumn(LOTE_COLUMN, slice_of(F.col("_metadata.file_path"), root, origin or root))
 
 
 def basket_stream_reader(spark: SparkSession, pattern: str = "*.csv") -> DataStreamReader:

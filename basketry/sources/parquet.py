@@ -8,18 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.schemas import ENRICHED_COLUMNS, LOTE_COLUMN
-
-PARTITION_COLUMN = "sucursal_id"
+from basketry.sources.snapshots import PARTITION_COLUMN, current
 
 
 def write_enriched(df: DataFrame, path: str) -> None:
-    """Write the fact partitioned by branch and slice, replacing only the slices that ``df`` holds.
+    """Write the fact to a plain folder partitioned by branch and slice, replacing only the slices that ``df`` holds.
 
-    ``partitionOverwriteMode=dynamic`` is set on this write only.  The second
-    level ``lote`` is the slice: a hash of the source file for the ETL and the
-    stream alike (0 for rows without one), so reading a file again replaces
-    exactly its own rows.  AQE's rebalance splits a dominant branch over many
-    tasks and merges small ones before the write, whatever joins ran before.
+    ``partitionOverwriteMode=dynamic`` is set on this write only.  It is meant for a fact written at once (``lote`` is 0);
+    the ETL job and the stream keep a versioned table, see :mod:`basketry.sources.snapshots`.  AQE's rebalance splits a
+    dominant branch over many tasks and merges small ones before the write, whatever joins ran before.
     """
     lote = F.col(LOTE_COLUMN) if LOTE_COLUMN in df.columns else F.lit(0).cast("bigint")
     (
@@ -32,55 +29,17 @@ def write_enriched(df: DataFrame, path: str) -> None:
     )
 
 
-def table_slices(spark: SparkSession, path: str) -> DataFrame:
-    """(sucursal_id, lote) of the slices that the table holds; partition columns only, no data column is read."""
-    return spark.read.parquet(path).select(PARTITION_COLUMN, LOTE_COLUMN).distinct()
-
-
 def read_enriched(spark: SparkSession, path: str, branches: Iterable[int] | None = None) -> DataFrame:
-    """Scan the fact; a branch list becomes a partition filter (directory pruning)."""
+    """Scan the fact, of a versioned table its newest version; a branch list becomes a partition filter."""
+    pinned = current(spark, path)
+    if pinned is not None:
+        return pinned.fact(branches)
     df = spark.read.parquet(path)
     if branches is not None:
         df = df.filter(F.col(PARTITION_COLUMN).isin(list(branches)))
     return df.select(*ENRICHED_COLUMNS)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on its (Hadoop-compatible) file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
-def drop_branches(spark: SparkSession, path: str, branches: Iterable[int]) -> int:
-    """Delete the partition folders of branches."""
-    return _drop(spark, path, [f"{PARTITION_COLUMN}={int(b)}" for b in branches])
-
-
-def drop_slices(spark: SparkSession, path: str, slices: Iterable[tuple[int, int]]) -> int:
-    """Delete the folders of (branch, slice) pairs."""
-    return _drop(spark, path, [f"{PARTITION_COLUMN}={int(b)}/{LOTE_COLUMN}={int(s)}" for b, s in slices])
-
-
-def _drop(spark: SparkSession, path: str, folders: list[str]) -> int:
-    """Delete partition folders of a table.
-
-    Partition folders are metadata, so this goes through the Hadoop
-    FileSystem of the table path (works for HDFS / object stores alike).
-    Returns the number of folders removed.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    removed = 0
-    for folder in folders:
-        part = jvm.org.apache.hadoop.fs.Path(root, folder)
-        if fs.exists(part) and fs.delete(part, True):
-            removed += 1
-    return removed
-
-
 def write_mart(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Overwrite one result mart (``parquet`` or ``json`` lines)."""
     df.write.mode("overwrite").format(fmt).save(path)

@@ -75,7 +75,7 @@ def main() -> None:
     # codegen of the CSV/Parquet paths); its times are reported as *_cold.
     warm_table = scratch_path(spark, "bench_warm_table")
     t0 = time.perf_counter()
-    run_etl(spark, baskets, pc_path, cat_path, warm_table, scratch_path(spark, "bench_warm_state"))
+    run_etl(spark, baskets, pc_path, cat_path, warm_table)
     times["etl_cold"] = round(time.perf_counter() - t0, 3)
     t0 = time.perf_counter()
     run_kpis(read_enriched(spark, warm_table), scratch_path(spark, "bench_warm_marts"), parallelism=8)
@@ -98,9 +98,8 @@ def main() -> None:
         times[f"{name}_runs"] = samples
 
     tables = [scratch_path(spark, "bench_table") for _ in range(3)]
-    states = [scratch_path(spark, "bench_state") for _ in range(3)]
-    median_of("etl", 3, lambda i: run_etl(spark, baskets, pc_path, cat_path, tables[i], states[i]))
-    timed("etl_unchanged", lambda: run_etl(spark, baskets, pc_path, cat_path, tables[0], states[0]))
+    median_of("etl", 3, lambda i: run_etl(spark, baskets, pc_path, cat_path, tables[i]))
+    timed("etl_unchanged", lambda: run_etl(spark, baskets, pc_path, cat_path, tables[0]))
     fact = read_enriched(spark, tables[0])
     median_of("kpi_job", 3, lambda i: run_kpis(fact, scratch_path(spark, "bench_marts"), parallelism=8))
 
@@ -108,15 +107,15 @@ def main() -> None:
     # manifest diff re-ingests only the changed branches, then all marts are
     # recomputed -- the "new branch -> dashboard updated" path.
     inc_src = scratch_path(spark, "bench_inc_src")
-    inc_table, inc_state = scratch_path(spark, "bench_inc_table"), scratch_path(spark, "bench_inc_state")
+    inc_table = scratch_path(spark, "bench_inc_table")
     lines = proxy_baskets(spark, sf_dir).withColumn("year", F.substring("fecha", 1, 4).cast("int"))
     newest = read_table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).scalar()
     csv_io.write_baskets(lines.filter(F.col("year") < newest), f"{inc_src}/arrival=old")
-    run_etl(spark, inc_src, pc_path, cat_path, inc_table, inc_state)
+    run_etl(spark, inc_src, pc_path, cat_path, inc_table)
     csv_io.write_baskets(lines.filter(F.col("year") >= newest), f"{inc_src}/arrival=new")
 
     def refresh():
-        r = run_etl(spark, inc_src, pc_path, cat_path, inc_table, inc_state)
+        r = run_etl(spark, inc_src, pc_path, cat_path, inc_table)
         run_kpis(read_enriched(spark, inc_table), scratch_path(spark, "bench_inc_marts"), parallelism=8)
         return r
 
@@ -126,15 +125,15 @@ def main() -> None:
     # A new branch opens: its file folder lands next to the others; only that
     # branch is read and written, then all marts are recomputed.
     nb_src = scratch_path(spark, "bench_nb_src")
-    nb_table, nb_state = scratch_path(spark, "bench_nb_table"), scratch_path(spark, "bench_nb_state")
+    nb_table = scratch_path(spark, "bench_nb_table")
     newest_branch = read_table(spark, sf_dir, "customer").agg(F.max("c_nationkey")).scalar()
     all_lines = proxy_baskets(spark, sf_dir)
     csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") != newest_branch), f"{nb_src}/opened=before")
-    run_etl(spark, nb_src, pc_path, cat_path, nb_table, nb_state)
+    run_etl(spark, nb_src, pc_path, cat_path, nb_table)
     csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") == newest_branch), f"{nb_src}/opened=new")
 
     def open_branch():
-        r = run_etl(spark, nb_src, pc_path, cat_path, nb_table, nb_state)
+        r = run_etl(spark, nb_src, pc_path, cat_path, nb_table)
         run_kpis(read_enriched(spark, nb_table), scratch_path(spark, "bench_nb_marts"), parallelism=8)
         return r
 
@@ -144,17 +143,17 @@ def main() -> None:
     # The same arrival with the per-branch partials: only the new branch is
     # folded, and the marts are computed from the (smaller) partials.
     pb_src = scratch_path(spark, "bench_pb_src")
-    pb_table, pb_state = scratch_path(spark, "bench_pb_table"), scratch_path(spark, "bench_pb_state")
+    pb_table = scratch_path(spark, "bench_pb_table")
     pb_parts = scratch_path(spark, "bench_pb_partials")
     csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") != newest_branch), f"{pb_src}/opened=before")
-    first = run_etl(spark, pb_src, pc_path, cat_path, pb_table, pb_state)
-    refresh_partials(spark, pb_table, pb_parts, first.ingested, first.removed)
+    run_etl(spark, pb_src, pc_path, cat_path, pb_table)
+    refresh_partials(spark, pb_table, pb_parts)
     run_kpis_from_partials(spark, pb_parts, scratch_path(spark, "bench_pb_warm"), parallelism=8)
     csv_io.write_baskets(all_lines.filter(F.col("sucursal_id") == newest_branch), f"{pb_src}/opened=new")
 
     def open_branch_partials():
-        r = run_etl(spark, pb_src, pc_path, cat_path, pb_table, pb_state)
-        refresh_partials(spark, pb_table, pb_parts, r.ingested, r.removed)
+        run_etl(spark, pb_src, pc_path, cat_path, pb_table)
+        refresh_partials(spark, pb_table, pb_parts)
         run_kpis_from_partials(spark, pb_parts, scratch_path(spark, "bench_pb_marts"), parallelism=8)
 
     timed("new_branch_refresh_partials", open_branch_partials)

@@ -74,6 +74,42 @@ def test_box_and_outliers_against_numpy(spark):
     assert out == sorted(v for v in vals if v < lo or v > hi)
 
 
+@pytest.mark.parametrize("seed,n", [(1, 1), (2, 2), (3, 5), (4, 997), (5, 1_000_000)])
+def test_exact_quantiles_against_numpy(spark, seed, n):
+    """Ties, negative values, nulls, heavy tails, and a million distinct values over many partitions."""
+    rng = np.random.default_rng(seed)
+    if n < 1000:
+        vals = np.concatenate([rng.integers(-5, 5, n), rng.integers(-(10**12), 10**12, n // 2)])
+        df = spark.createDataFrame([(int(v),) for v in vals] + [(None,)] * 3, "x long")
+    else:
+        vals = (np.arange(n, dtype=np.int64) * 7919) % 1_000_003
+        df = spark.range(n).selectExpr("(id * 7919) % 1000003 as x")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    assert customers.exact_quantiles(df, "x", shares) == pytest.approx(list(np.quantile(vals, shares)), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "cliente_id int, total_cantidad long")
+    assert customers.exact_quantiles(df, "total_cantidad", [0.5]) == [None]
+    assert tuple(customers.box_stats(df).first()) == (None, None, None, None, None, None, 0)
+    assert customers.outliers(df).count() == 0
+
+
+def test_product_with_two_categories(spark):
+    """A running stream keeps its dimensions, so a product can have two categories in the fact: it is one product, two categories."""
+    from basketry.plans.kpi_job import kpi_bundle
+
+    D = dt.date(2013, 1, 1)
+    rows = [(D, 1, 1, 7, 1, 1, "Uno"), (D, 1, 1, 7, 1, 2, "Dos"), (D, 1, 1, 7, 1, None, None), (D, 1, 2, 8, 1, 2, "Dos")]
+    f = spark.createDataFrame(rows, ENRICHED_SCHEMA)
+    assert {r.kpi: r.value for r in kpi_bundle(f).collect()} == {
+        "total_unidades": 4, "productos_unicos": 2, "categorias_con_nombre": 2, "unidades_sin_categoria": 1,
+        "productos_sin_categoria": 1, "total_visitas": 2, "clientes_unicos": 2,
+    }
+    got = {r.cliente_id: (r.total_cantidad, r.productos_distintos, r.categorias_distintas) for r in customers.customer_features(f).collect()}
+    assert got == {1: (3, 1, 2), 2: (1, 1, 1)}
+
+
 def test_customer_units(spark):
     D = dt.date(2013, 1, 1)
     f = spark.createDataFrame([(D, 1, 1, 1, 1, None, None)] * 3 + [(D, 1, 2, 1, 1, None, None)], ENRICHED_SCHEMA)

@@ -48,8 +48,8 @@ def test_manifest_and_diff(spark, write_lines, tmp_path):
 
 def test_incremental_etl(spark, write_lines, tmp_path):
     tx, pc, cat = _setup(write_lines)
-    table, state = str(tmp_path / "table"), str(tmp_path / "state")
-    r = run_etl(spark, tx, pc, cat, table, state)
+    table = str(tmp_path / "table")
+    r = run_etl(spark, tx, pc, cat, table)
     assert r.ingested == [102, 103, 104] and not r.skipped
     assert r.metrics == {"lines": 4, "rejected_lines": 0, "units": 8, "units_with_category": 6}
     fact = read_enriched(spark, table)
@@ -59,21 +59,24 @@ def test_incremental_etl(spark, write_lines, tmp_path):
     assert names == {1: "Uno", 2: "Uno", 3: None}
 
     # unchanged inputs -> skipped
-    assert run_etl(spark, tx, pc, cat, table, state).skipped
+    assert run_etl(spark, tx, pc, cat, table).skipped
 
-    # branch 102 modified, branch 103 removed: 104's files are left untouched
-    before_104 = _files(os.path.join(table, "sucursal_id=104"))
+    # branch 102 modified, branch 103 removed: 104's file is not read again, and what was written stays as it is
+    before = _files(os.path.join(table, "data"))
     os.remove(os.path.join(tx, "103_Tran.csv"))
     write_lines("tx", "102_Tran.csv", ["2013-01-05|102|9|3"])
-    r = run_etl(spark, tx, pc, cat, table, state)
+    r = run_etl(spark, tx, pc, cat, table)
     assert r.ingested == [102] and r.removed == [103]
-    assert _files(os.path.join(table, "sucursal_id=104")) == before_104
+    after = _files(os.path.join(table, "data"))
+    assert before.items() <= after.items()
+    assert {p.split("sucursal_id=")[1].split("/")[0] for p in set(after) - set(before) if "version=2/" in p} == {"102"}
+    assert r.metrics["lines"] == 1 and r.touched == [102]
     per = {x.sucursal_id: x.n for x in read_enriched(spark, table).groupBy("sucursal_id").agg(F.count("*").alias("n")).collect()}
     assert per == {102: 1, 104: 2}
 
     # a dimension change re-ingests every branch
     write_lines("cat", "Categories.csv", ["1|UNO", "2|DOS"])
-    r = run_etl(spark, tx, pc, cat, table, state)
+    r = run_etl(spark, tx, pc, cat, table)
     assert r.ingested == [102, 104]
     assert {x.nombre_categoria for x in read_enriched(spark, table).collect()} == {"UNO", None}
 
@@ -86,21 +89,21 @@ def test_table_is_a_function_of_the_files(spark, write_lines, tmp_path):
     write_lines("tx", "99999999999999999999_Tran.csv", ["2013-01-01|111|4|1"])
     pc = write_lines("pc", "ProductCategory.csv", ["v.Code_pr|v.code", "1|1"])
     cat = write_lines("cat", "Categories.csv", ["1|Uno"])
-    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    table = str(tmp_path / "table")
 
     def units(path):
         return {r.sucursal_id: r["count"] for r in read_enriched(spark, path).groupBy("sucursal_id").count().collect()}
 
-    run_etl(spark, tx, pc, cat, table, state)
+    run_etl(spark, tx, pc, cat, table)
     assert units(table) == {102: 2, 103: 5, 110: 1, 111: 1}
     write_lines("tx", "103_Tran.csv", ["2013-01-01|103|3|2 2 2"])
-    run_etl(spark, tx, pc, cat, table, state)
+    run_etl(spark, tx, pc, cat, table)
     write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2"])  # its lines of 103 go
-    run_etl(spark, tx, pc, cat, table, state)
+    run_etl(spark, tx, pc, cat, table)
     run_etl(spark, tx, pc, cat, str(tmp_path / "fresh"))
     assert units(table) == units(str(tmp_path / "fresh")) == {102: 2, 103: 3, 110: 1, 111: 1}
     os.remove(os.path.join(tx, "103_Tran.csv"))
-    run_etl(spark, tx, pc, cat, str(tmp_path / "fresh"))  # without a state
+    run_etl(spark, tx, pc, cat, str(tmp_path / "fresh"))
     assert units(str(tmp_path / "fresh")) == {102: 2, 110: 1, 111: 1}
 
 
@@ -108,25 +111,25 @@ def test_failed_write_keeps_the_old_rows(spark, write_lines, tmp_path, monkeypat
     from basketry.plans import etl_job
 
     tx, pc, cat = _setup(write_lines)
-    table, state = str(tmp_path / "table"), str(tmp_path / "state")
-    run_etl(spark, tx, pc, cat, table, state)
+    table = str(tmp_path / "table")
+    run_etl(spark, tx, pc, cat, table)
     before = read_enriched(spark, table).count()
     write_lines("tx", "102_Tran.csv", ["2013-01-05|102|9|3"])
-    monkeypatch.setattr(etl_job, "write_enriched", lambda *a: 1 / 0)
+    monkeypatch.setattr(etl_job, "write_rows", lambda *a: 1 / 0)
     with pytest.raises(ZeroDivisionError):
-        run_etl(spark, tx, pc, cat, table, state)
+        run_etl(spark, tx, pc, cat, table)
     monkeypatch.undo()
     assert read_enriched(spark, table).count() == before
-    assert run_etl(spark, tx, pc, cat, table, state).ingested == [102]
+    assert run_etl(spark, tx, pc, cat, table).ingested == [102]
 
 
 def test_time_zone_does_not_matter(spark, write_lines, tmp_path):
     tx, pc, cat = _setup(write_lines)
-    table, state = str(tmp_path / "table"), str(tmp_path / "state")
-    run_etl(spark, tx, pc, cat, table, state)
+    table = str(tmp_path / "table")
+    run_etl(spark, tx, pc, cat, table)
     spark.conf.set("spark.sql.session.timeZone", "America/Lima")
     try:
-        assert run_etl(spark, tx, pc, cat, table, state).skipped
+        assert run_etl(spark, tx, pc, cat, table).skipped
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -150,6 +153,17 @@ def test_rejects_table(spark, write_lines, tmp_path):
     assert (r.metrics["lines"], r.metrics["rejected_lines"]) == (1, 2)
     rows = spark.read.parquet(rej).collect()
     assert len(rows) == 2 and {x.archivo for x in rows} == {"102_Tran.csv"}
+    # the same name in another folder of the source; then one is mended, then the other removed
+    more = write_lines("tx/norte", "102_Tran.csv", ["2013-01-01|102|x|1"])
+    run_etl(spark, tx, pc, cat, str(tmp_path / "table"), rejects_path=rej)
+    assert spark.read.parquet(rej).count() == 3
+    write_lines("tx", "102_Tran.csv", ["2013-01-01|102|1|1 2", "2013-01-01|102|7|1", "2013-01-02|102|8|1"])
+    r = run_etl(spark, tx, pc, cat, str(tmp_path / "table"), rejects_path=rej)
+    assert r.metrics["rejected_lines"] == 0
+    assert [x.cliente_id for x in spark.read.parquet(rej).collect()] == [None]
+    os.remove(os.path.join(more, "102_Tran.csv"))
+    run_etl(spark, tx, pc, cat, str(tmp_path / "table"), rejects_path=rej)
+    assert spark.read.parquet(rej).count() == 0
 
 
 def test_json_marts(spark, tmp_path):
@@ -179,9 +193,9 @@ def test_command_line(spark, write_lines, tmp_path, capsys):
 
 def test_force_reingests_all_and_still_drops_removed(spark, write_lines, tmp_path):
     tx, pc, cat = _setup(write_lines)
-    table, state = str(tmp_path / "table"), str(tmp_path / "state")
-    run_etl(spark, tx, pc, cat, table, state)
+    table = str(tmp_path / "table")
+    run_etl(spark, tx, pc, cat, table)
     os.remove(os.path.join(tx, "103_Tran.csv"))
-    r = run_etl(spark, tx, pc, cat, table, state, force=True)
+    r = run_etl(spark, tx, pc, cat, table, force=True)
     assert (r.ingested, r.removed) == ([102, 104], [103])
     assert sorted(x.sucursal_id for x in read_enriched(spark, table).select("sucursal_id").distinct().collect()) == [102, 104]

@@ -57,11 +57,17 @@ def test_distinct_counts_expand_no_row(spark, table, capsys):
         assert scans(p) == 2  # the fold of units, and the visits
 
 
-def test_outliers_reuse_the_customer_exchange(spark, table, capsys):
-    df = customers.outliers(customers.customer_units(read_enriched(spark, table)))
-    df.collect()
-    p = plan(df, capsys)
-    assert "ReusedExchange" in p
+def test_quantiles_sort_no_values_in_one_task(spark, table, capsys):
+    """Fences are scalars: one global aggregate and one filter, no window and no join over the values."""
+    units = customers.customer_units(read_enriched(spark, table))
+    p = plan(customers.outliers(units), capsys)
+    assert "Window" not in p and "Join" not in p and "SinglePartition" not in p
+    p = plan(customers.box_stats(units), capsys)
+    assert "Window" not in p and "Join" not in p and "Sort" not in p
+
+
+def test_unique_counts_expand_no_row(spark, table, capsys):
+    assert "Expand" not in plan(kpis.unique_counts(read_enriched(spark, table)), capsys)
 
 
 def test_partition_pruning_by_branch(spark, table, capsys):
@@ -109,6 +115,14 @@ def test_hot_branch_is_split_over_files(spark, tmp_path):
         write_enriched(df, str(tmp_path / "t"))
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    from basketry.sources.snapshots import load
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        load(spark, str(tmp_path / "v"), df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len([f for f in os.listdir(tmp_path / "v" / "data" / "version=1" / "sucursal_id=1") if f.endswith(".parquet")]) > 1
     hot = [f for f in os.listdir(tmp_path / "t" / "sucursal_id=1" / "lote=0") if f.endswith(".parquet")]
     assert len(hot) > 1
     assert read_enriched(spark, str(tmp_path / "t")).count() == 3000
