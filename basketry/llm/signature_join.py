@@ -9,8 +9,9 @@
    classes that hang together already are not met again; what is left is verified on the full sets.
 3. Trees are built anew over other min-hashes, from the classes that are still open, as long as that helps.  A class is
    open if one of its rarest shingles, of which a linked pair must share one, is held by another component's class.
-4. Trees that share such a shingle in the last forest are traversed against each other, with the open classes that share
-   it.  So every linked pair is either verified or connected before, and no shingle's holders are gathered in one task.
+4. The holders of each shingle that is still open are made a tree and traversed; those of a frequent one are cut to several
+   trees, of which the largest component's meet only the others'.  So every linked pair is either verified or connected
+   before, and no shingle's holders are gathered in one task.
 
 Documents without words have an empty set and are linked with nothing.  Rows that share a doc_id are one document: linked
 if any of their texts is.  Null ids get a null component and are linked with nothing.  Repeated rows are kept.  An empty
@@ -216,20 +217,31 @@ def _plant(percent: int):
 
 
 def _meet(percent: int):
-    """The function that traverses two trees against each other."""
+    """The function that traverses the lists of one bucket: trees in themselves, or one side's tree against the other's."""
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("uid").reset_index(drop=True)
-        forest = _Forest(group["component"].to_numpy(), list(group["hashes"]), percent)
-        left = (group["tree"] == group["lo"]).to_numpy()
-        forest.traverse(np.flatnonzero(left), np.flatnonzero(~left))
+        group = group.sort_values(["component", "uid"])
         uid = group["uid"].to_numpy()
+        forest = _Forest(group["component"].to_numpy(), list(group["hashes"]), percent)
+        sides: dict[int, tuple[list, list]] = {}
+        for i, lists in enumerate(group["lists"]):
+            for entry in lists:
+                sides.setdefault(entry["value"], ([], []))[entry["side"]].append(i)
+        for mine, others in sides.values():
+            # a list with one side alone is met in itself, unless it was cut
+            cut = "/main/" in group["bucket"].iat[0] or _differ(group["bucket"].iat[0])
+            forest.traverse(np.array(mine, np.int64), np.array(others, np.int64) if cut else None)
         found = pd.DataFrame({"a": uid, "b": uid[forest.roots()]})
         return found[found["a"] != found["b"]]
 
     return meet
 
 
+def _differ(bucket: str) -> bool:
+    """Whether a bucket of a cut list holds two different parts of it."""
+    return "/rest/" in bucket and len(set(bucket.split("/")[2:])) == 2
+
+
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """(value, uid): the shared shingles of every class among its rarest, of which it has in common with a linked class at least one."""
     values = sets.select("uid", "n", F.explode("hashes").alias("value"))
@@ -283,23 +295,54 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         found = trees.filter("uid != with").select(F.col("uid").alias("a"), F.col("with").alias("b"))
         component = materialise(_merged(component, found), "sj_component")
         opened = _open(entries, component)
-    # the trees of the last forest meet where they share a shingle across components
-    at = opened.join(trees.select("uid", "tree"), "uid")
-    at = materialise(at, "sj_at")
-    held = at.groupBy("value", "tree").agg(F.min("component").alias("lo_c"), F.max("component").alias("hi_c"))
-    x, y = held.alias("x"), held.alias("y")
-    alike = (F.col("x.lo_c") == F.col("x.hi_c")) & (F.col("y.lo_c") == F.col("y.hi_c")) & (F.col("x.lo_c") == F.col("y.lo_c"))
-    meets = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.tree") < F.col("y.tree")) & ~alike).select(
-        F.col("x.value").alias("value"), F.col("x.tree").alias("lo"), F.col("y.tree").alias("hi")
-    )
-    meets = materialise(meets, "sj_meets")
-    sides = meets.select("value", "lo", "hi", F.explode(F.array("lo", "hi")).alias("tree"))
-    rows = sides.join(at, ["value", "tree"]).select("lo", "hi", "tree", "uid", "component").distinct()
-    rows = rows.join(sets.select("uid", "hashes"), "uid")
-    found = rows.groupBy("lo", "hi").applyInPandas(_meet(percent), "a long, b long")
+    found = _lists_of_trees(opened, sets).groupBy("bucket").applyInPandas(_meet(percent), "a long, b long")
     return materialise(_merged(component, materialise(found, "sj_found")), "sj_component")
 
 
+def _lists_of_trees(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, uid, component, lists, hashes): the holders of open shingles, dealt to tasks; a list is (value, side).
+
+    Shingles with equal holders are one list.  Lists that fit a tree go whole, some to a bucket.  Longer ones are cut: the
+    members of the list's largest component hang together, so their parts meet only the parts of the others, and those
+    meet each other.
+    """
+    held = opened.join(sets.select("uid", "n"), "uid")
+    code = lambda salt: F.xxhash64("uid", F.lit(salt))
+    lists = held.groupBy("value").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("uid").alias("lo"),
+        F.bit_xor(code(1)).alias("x"), F.sum(F.shiftright(code(2), 24)).alias("y"),
+    )
+    lists = lists.groupBy("size", "shingles", "lo", "x", "y").agg(F.min("value").alias("value"))
+    parts = F.ceil(F.greatest(F.col("size") / TREE, F.col("shingles") / TREE_SHINGLES))
+    lists = materialise(lists.select("value", "lo", "shingles", parts.alias("parts")), "sj_list")
+    total = lists.filter("parts = 1").agg(F.sum("shingles")).first()[0] or 0
+    near = F.pmod(F.xxhash64("lo", F.pmod("value", F.lit(16))), F.lit(max(1, -(-total // TREE_SHINGLES))))
+    short = opened.join(lists.filter("parts = 1"), "value").select(
+        near.cast("string").alias("bucket"), "value", F.lit(0).alias("side"), "uid", "component"
+    )
+    long = materialise(held.join(lists.filter("parts > 1").select("value", "parts"), "value"), "sj_long")
+    by_part = long.groupBy("value", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    largest = by_part.groupBy("value").agg(
+        F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.sum("n").alias("shingles"),
+        F.max(F.struct("m", "component", "n"))["n"].alias("top_shingles"),
+    )
+    others = F.ceil(F.greatest((F.col("size") - F.col("top.m")) / TREE, (F.col("shingles") - F.col("top_shingles")) / TREE_SHINGLES))
+    largest = largest.select("value", F.col("top.component").alias("largest"), F.greatest(others, F.lit(1)).alias("others"))
+    placed = long.join(largest, "value").withColumn("main", F.col("component") == F.col("largest"))
+    count = F.when(F.col("main"), F.col("parts")).otherwise(F.col("others"))
+    placed = placed.withColumn("part", F.pmod(code(3), count))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meet = lambda kind, lo, hi, side: F.struct(F.concat_ws("/", "value", F.lit(kind), lo.cast("string"), hi.cast("string")).alias("bucket"), side.cast("int").alias("side"))
+    own = F.transform(to(F.col("others")), lambda o: meet("main", F.col("part"), o, F.lit(0)))
+    rest = F.concat(
+        F.transform(to(F.col("parts")), lambda p: meet("main", p, F.col("part"), F.lit(1))),
+        F.transform(to(F.col("others")), lambda o: meet("rest", F.least(o, "part"), F.greatest(o, "part"), F.col("part") > o)),
+    )
+    cut = placed.select("value", "uid", "component", F.inline(F.when(F.col("main"), own).otherwise(rest)))
+    dealt = short.unionByName(cut).groupBy("bucket", "uid", "component").agg(F.collect_list(F.struct("value", "side")).alias("lists"))
+    return dealt.join(sets.select("uid", "hashes"), "uid")
+
+
 def _merged(component: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, component) of the links found, on top of the components before."""
     stars = component.filter("uid != component").select(F.col("uid").alias("a"), F.col("component").alias("b"))
