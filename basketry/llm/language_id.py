@@ -51,11 +51,24 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of n-grams, given out whenever ``CHUNK`` codes are held: a batch of long texts is never held at once."""
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            codes = np.concatenate([gram_codes(t[i : i + CHUNK]) for t in texts for i in range(0, len(t), CHUNK)] or [np.empty(0, np.int64)])
-            code, n = np.unique(codes, return_counts=True)
-            yield pd.DataFrame({"lang": lang, "code": code, "n": n})
+            held, size = [], 0
+            for text in texts:
+                for i in range(0, len(text), CHUNK):
+                    held.append(gram_codes(text[i : i + CHUNK]))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        yield _counts(lang, held)
+                        held, size = [], 0
+            if size:
+                yield _counts(lang, held)
+
+
+def _counts(lang: str, codes: list[np.ndarray]) -> pd.DataFrame:
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    return pd.DataFrame({"lang": lang, "code": code, "n": n})
 
 
 def learn_profiles(texts: DataFrame) -> DataFrame:
