@@ -12,7 +12,8 @@ Toxicity: few words tell, each in few rows, so the text view sums the log-odds o
 Each view is calibrated (Platt) on the rows held back, and the calibrated log-odds of the views are added, less the
 prior's, as of views independent given the class.  The score is the probability of good quality times that of no toxicity.
 A document is kept if its score reaches the threshold and its toxicity stays under a cut: on the rows held back, the one
-with the greatest recall of toxic rows less the share of others lost (0.5 without toxic rows).  Scoring is one pass over
+with the greatest recall of toxic rows less the share of others lost, which is ``OTHERS_LOST`` at most (0.5 with fewer
+than ``TOXIC_HELD`` toxic rows).  Scoring is one pass over
 all documents.
 
 Text view: the distinct words of the whole text, lower-cased, and binned shapes of it (runs of capitals and of symbols,
@@ -28,16 +29,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import materialise, words
+from basketry.session import scratch_path
 
 FIT_ROWS, POOL_ROWS, ROUNDS, CONFIDENT = 24_000, 12_000, 2, 0.97
 TARGETS = ("good", "toxic")
+#: Share of other rows that the cut on toxicity may give up, and toxic rows held back from which it is chosen.
+OTHERS_LOST, TOXIC_HELD = 0.03, 20
 #: Buckets of words and number of words that count for toxicity, and steps of a weight of 1.
 MARK_BINS, MARKS, MARK_STEPS = 1 << 17, 3, 10
 DIMS = {"text": 1 << 15, "meta": 1 << 10}
@@ -109,7 +114,12 @@ def _fit(rows: DataFrame, target: str, view: str):
     reg = {"text": 0.003, "meta": 0.01}[view]
     lr = LogisticRegression(featuresCol=f"{view}_x", labelCol=target, maxIter=15, regParam=reg, standardization=False)
     # FIT_ROWS and POOL_ROWS rows at most: few tasks, so that a step is one stage
-    return lr.fit(rows.select(f"{view}_x", target).coalesce(4))
+    model = lr.fit(rows.select(f"{view}_x", target).coalesce(4))
+    # a fitted model holds its training summary, and with it the session, which is sent to the tasks that apply the model and
+    # cannot be once an Observation was used; a model that is read back holds its coefficients alone
+    path = scratch_path(rows.sparkSession, "quality_model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def _weigh(train: DataFrame) -> list[int]:
@@ -138,24 +148,25 @@ def _evidence(weights: list[int], df: DataFrame) -> DataFrame:
     return df.withColumn("toxic_text_z", total.cast("double") / MARK_STEPS)
 
 
-def _platt(rows: DataFrame, target: str, view: str, start: tuple[float, float]) -> tuple[float, float]:
-    """Slope and offset of the view's calibrated log-odds: Newton steps on sums over the rows held back."""
+def _logistic(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
+
+
+def _platt(y: np.ndarray, z: np.ndarray, start: tuple[float, float]) -> tuple[float, float]:
+    """Slope and offset of a view's calibrated log-odds ``z``: Newton steps over the rows held back."""
     slope, offset = start
-    z = F.col(f"{target}_{view}_z")
-    for _ in range(10):
-        p = 1 / (1 + F.exp(-(z * slope + offset)))
-        w = p * (1 - p) + 1e-6
-        e = F.col(target) - p
-        g1, g0, h11, h10, h00 = rows.agg(F.sum(e * z), F.sum(e), F.sum(w * z * z), F.sum(w * z), F.sum(w)).first()
-        if g0 is None:
-            break
-        g1, h11, h00 = g1 - 1e-2 * (slope - 1), h11 + 1e-2, h00 + 1e-2
+    for _ in range(10 if len(y) else 0):
+        p = _logistic(z * slope + offset)
+        w, e = p * (1 - p) + 1e-6, y - p
+        g1, g0 = (e * z).sum() - 1e-2 * (slope - 1), e.sum()
+        h11, h10, h00 = (w * z * z).sum() + 1e-2, (w * z).sum(), w.sum() + 1e-2
         det = h11 * h00 - h10 * h10
         if det <= 1e-12:
             break
         slope, offset = slope + (h00 * g1 - h10 * g0) / det, offset + (h11 * g0 - h10 * g1) / det
         slope = min(max(slope, 0.0), 5.0)
-    return slope, offset
+    return float(slope), float(offset)
 
 
 def _drawn(df: DataFrame, rows: int, salt: str) -> DataFrame:
@@ -202,11 +213,13 @@ def _margins(models: dict, df: DataFrame, target: str) -> DataFrame:
 
 
 def _calibrated(models: dict, sample: DataFrame, target: str, prior: float) -> dict:
-    held = _margins(models, sample.filter("held"), target).select(target, f"{target}_text_z", f"{target}_meta_z")
-    held = materialise(held.coalesce(1), "quality_held")  # a quarter of FIT_ROWS rows of three numbers
+    held = _margins(models, sample.filter("held and " + target + " is not null"), target)
+    # a quarter of FIT_ROWS rows of three numbers
+    rows = np.array(held.select(target, f"{target}_text_z", f"{target}_meta_z").collect(), float).reshape(-1, 3)
     # evidence is far from calibrated: from slope 1 Newton's steps would overshoot, from the prior they do not
     start = (0.0, prior) if target == "toxic" else (1.0, 0.0)
-    return {"models": models, "platt": {v: _platt(held, target, v, start) for v in models}, "prior": prior, "held": held}
+    platt = {v: _platt(rows[:, 0], rows[:, 1 + i], start) for i, v in enumerate(("text", "meta"))}
+    return {"models": models, "platt": platt, "prior": prior, "held": rows}
 
 
 def _learn_toxic(sample: DataFrame) -> dict | None:
@@ -251,18 +264,28 @@ def _probabilities(df: DataFrame, target: str, found: dict) -> DataFrame:
 
 
 def _cut(found: dict) -> float:
-    """The toxicity with the greatest recall of toxic rows less the share of others lost, on the rows held back."""
-    rows = _probabilities(found["held"], "toxic", found).select("toxic", "toxic_both")
-    steps = rows.groupBy("toxic_both").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    steps = sorted(steps.collect(), key=lambda r: -r["toxic_both"])  # a quarter of FIT_ROWS rows at most
-    toxic, other = sum(r["t"] for r in steps), sum(r["o"] for r in steps)
-    cut, best, t, o = 0.5, 0.0, 0.0, 0.0
-    for r in steps if toxic else []:
-        t, o = t + r["t"], o + r["o"]
-        gain = t / toxic - o / max(other, 1.0)
-        if gain > best:
-            cut, best = r["toxic_both"], gain
-    return cut
+    """The toxicity with the greatest recall of toxic rows less the share of others lost, on the rows held back.
+
+    At most ``OTHERS_LOST`` of the others are given up, and fewer than ``TOXIC_HELD`` toxic rows decide nothing: 0.5.
+    """
+    rows, z = found["held"], 0.0
+    for i, view in enumerate(("text", "meta")):
+        slope, offset = found["platt"][view]
+        z = z + rows[:, 1 + i] * slope + offset
+    score, y = _logistic(z - found["prior"]), rows[:, 0]
+    toxic, other = y.sum(), (1 - y).sum()
+    if toxic < TOXIC_HELD:
+        return 0.5
+    steps = np.unique(score)[::-1]
+    order = np.argsort(-score)
+    upto = np.searchsorted(-score[order], -steps, "right")  # rows at or above each step
+    caught, lost = np.append(0, np.cumsum(y[order]))[upto], np.append(0, np.cumsum(1 - y[order]))[upto]
+    gain = np.where(lost <= OTHERS_LOST * other, caught / toxic - lost / max(other, 1.0), -1.0)
+    best = int(gain.argmax())
+    if gain[best] <= 0:
+        return 0.5
+    # halfway to the next lower score, so that no rounding decides
+    return float((steps[best] + (steps[best + 1] if best + 1 < len(steps) else steps[best])) / 2)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
