@@ -14,7 +14,8 @@ either can come out behind other text.  Items without any indexed window (dense
 window) are matched word for word: their untemplated windows, or the whole item if that is shorter, meet those of the
 documents.  Items of fewer than ``LITERALS`` tokens cannot be told from chance and match nothing.
 
-Null or empty texts match nothing; rows with the same doc_id are one document; repeated items are each reported; an empty
+Null or empty texts match nothing; rows with the same doc_id are one document; rows without doc_id are one document for
+each text, found and dropped like others, and reported with a null doc_id; repeated items are each reported; an empty
 table on either side gives an empty result; other columns are carried along untouched.
 """
 
@@ -73,8 +74,18 @@ def windows(df: DataFrame, *keys: str, width: int = WINDOW) -> DataFrame:
     return every.select(*keys, F.posexplode_outer("__w").alias("pos", "hash")).filter("pos is not null")
 
 
+def document_key() -> Column:
+    """What tells documents apart: the doc_id, or a digest of the text where that is null."""
+    text = F.coalesce("text", F.lit(""))
+    digest = F.concat(F.lit("t"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(5), text)))
+    return F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), digest)
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, slots, reparameterised): the consistent passages, one row each."""
+    """(doc_id, item_id, windows, item_windows, slots, reparameterised): the consistent passages, one row each.
+
+    ``doc_id`` may be of any type and is never null here, see :func:`document_key`.
+    """
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").distinct()
     # the item's first word may be taken for a name or not, as the words before it in a document have it
     starts = items.withColumn("__start", F.explode(F.array(F.lit(""), F.lit("x "))))
@@ -93,7 +104,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     indexed = materialise(indexed, "bench_windows")
     counts = indexed.groupBy("item").agg(F.countDistinct("ipos").alias("item_windows"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select("doc_id", "text")
     hits = (
         windows(texts.select("doc_id", tokens(template(F.col("text"))).alias("__tokens")), "doc_id")
         .join(broadcast_if_small(indexed), "hash")
@@ -156,16 +167,17 @@ def find_verbatim(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     said = texts.select("doc_id", tokens(F.lower(F.coalesce("text", F.lit("")))).alias("__tokens"))
     out = None
     for width in widths:
-        own = windows(plain.filter(F.col("width") == width), "item", "item_id", width=width)
+        own = windows(plain.filter(F.col("width") == width).select("item", "__tokens").distinct(), "item", width=width)
         own = materialise(own.withColumnRenamed("pos", "ipos"), "bench_verbatim_windows")
         counts = own.groupBy("item").agg(F.countDistinct("hash").alias("item_windows"))
         rows = (
             windows(said, "doc_id", width=width)
-            .join(broadcast_if_small(own.groupBy("item", "item_id", "hash").agg(F.min("ipos").alias("ipos"))), "hash")
-            .groupBy("doc_id", "item", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
+            .join(broadcast_if_small(own.groupBy("item", "hash").agg(F.min("ipos").alias("ipos"))), "hash")
+            .groupBy("doc_id", "item", (F.col("pos") - F.col("ipos")).alias("shift"))
             .agg(F.countDistinct("ipos").alias("windows"))
             .join(counts, "item")
             .filter(F.col("windows") >= F.least(F.lit(RUN), F.col("item_windows")))
+            .join(plain.select("item", "item_id"), "item")
             .select(
                 "doc_id", "item_id", "windows", "item_windows", F.lit(0).alias("slots"), F.lit(False).alias("reparameterised")
             )
@@ -176,20 +188,21 @@ def find_verbatim(texts: DataFrame, items: DataFrame) -> DataFrame | None:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, passages, windows, item_windows, slots, reparameterised): one row per document and item."""
-    return (
-        find_passages(docs, benchmark)
-        .groupBy("doc_id", "item_id")
-        .agg(
-            F.count(F.lit(1)).alias("passages"),
-            F.max("windows").alias("windows"),
-            F.max("item_windows").alias("item_windows"),
-            F.max("slots").alias("slots"),
-            F.min("reparameterised").alias("reparameterised"),
-        )
+    found = find_passages(docs.select(document_key().alias("doc_id"), "text"), benchmark)
+    whole = found.groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("passages"),
+        F.max("windows").alias("windows"),
+        F.max("item_windows").alias("item_windows"),
+        F.max("slots").alias("slots"),
+        F.min("reparameterised").alias("reparameterised"),
     )
+    named = F.when(F.col("doc_id").startswith("d"), F.substring("doc_id", 2, 40).cast("long"))
+    return whole.withColumn("doc_id", named)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
-    gone = materialise(find_passages(docs, benchmark).select("doc_id").distinct(), "bench_gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__document", document_key())
+    found = find_passages(keyed.select(F.col("__document").alias("doc_id"), "text"), benchmark)
+    gone = materialise(found.select(F.col("doc_id").alias("__document")).distinct(), "bench_gone")
+    return keyed.join(broadcast_if_small(gone), "__document", "left_anti").select(*docs.columns)
