@@ -82,11 +82,11 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
         if args.partials:
             from basketry.plans.partials import refresh_partials
 
-            done["folded"] = refresh_partials(spark, args.table, args.partials)
+            done["folded"] = refresh_partials(spark, args.table, args.partials, args.takeover)
         if args.marts:
             from basketry.plans.kpi_job import refresh_marts
 
-            done["marts"] = refresh_marts(spark, args.table, args.marts, args.partials)
+            done["marts"] = refresh_marts(spark, args.table, args.marts, args.partials, takeover=args.takeover)
         print(json.dumps(done))
     elif args.cmd == "kpis":
         from basketry.plans.kpi_job import run_kpis

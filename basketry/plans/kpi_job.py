@@ -155,22 +155,24 @@ def refresh_marts(
     parallelism: int = 4,
     fmt: str = "parquet",
     force: bool = False,
+    takeover: bool = False,
+    wait_seconds: float = 0.0,
 ) -> list[str]:
     """Bring the marts up to the fact's newest version, from the fact or from its partials; none if they are already.
 
     The run is logged under ``mart_root`` before any mart is overwritten and after all are written, so that marts of a
-    failed or killed run are known to be stale (:func:`mart_status`).
+    failed or killed run are known to be stale (:func:`mart_status`).  One run at a time, as for the table itself.
     """
     pinned = snapshot(spark, table_path)
     if not force and not mart_status(spark, mart_root, table_path).stale:
         return []
-    with claimed(spark, mart_root, "kpis", takeover=True) as run:
+    with claimed(spark, mart_root, "kpis", takeover, wait_seconds) as run:
         run.detail["table_version"] = pinned.version
         append_event(spark, mart_root, run.run, "kpis", "building", run.version, run.detail)
         if partials_root:
             from basketry.plans.partials import refresh_partials, run_kpis_from_partials
 
-            refresh_partials(spark, table_path, partials_root)
+            refresh_partials(spark, table_path, partials_root, takeover, wait_seconds)
             names = run_kpis_from_partials(spark, partials_root, mart_root, parallelism, fmt)
         else:
             names = run_kpis(pinned.fact(), mart_root, parallelism, fmt)

@@ -69,15 +69,15 @@ def fold(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def refresh_partials(spark: SparkSession, table_path: str, partials_root: str) -> list[int]:
+def refresh_partials(
+    spark: SparkSession, table_path: str, partials_root: str, takeover: bool = False, wait_seconds: float = 0.0
+) -> list[int]:
     """Fold the versions of the fact that have not been folded yet; returns them."""
-    pinned = snapshot(spark, table_path)
-    row = last_published(spark, partials_root)
-    before = json.loads(row["detail"]) if row else {"folded": [], "table_version": 0}
-    if row and before["table_version"] == pinned.version and before["table"] == table_path:
+    if _folded(spark, table_path, partials_root)[1] == snapshot(spark, table_path).version:
         return []
-    with claimed(spark, partials_root, "partials", takeover=True) as run:
-        done = set(before["folded"]) if row and before["table"] == table_path else set()
+    with claimed(spark, partials_root, "partials", takeover, wait_seconds) as run:
+        pinned = snapshot(spark, table_path)
+        done = set(_folded(spark, table_path, partials_root)[0])
         new = [v for v in pinned.versions if v not in done]
 
         def write(version: int, name: str, df: DataFrame) -> None:
@@ -91,6 +91,13 @@ def refresh_partials(spark: SparkSession, table_path: str, partials_root: str) -
     return new
 
 
+def _folded(spark: SparkSession, table_path: str, partials_root: str) -> tuple[list[int], int | None]:
+    """The folded versions of the table, and the table's version that they show (None: not yet)."""
+    row = last_published(spark, partials_root)
+    detail = json.loads(row["detail"]) if row else {}
+    return (detail["folded"], detail["table_version"]) if detail.get("table") == table_path else ([], None)
+
+
 def _pinned(spark: SparkSession, partials_root: str) -> Snapshot:
     """The version of the fact that the partials show."""
     row = last_published(spark, partials_root)

@@ -108,7 +108,7 @@ def ingest_stream(
             if marts_root:
                 from basketry.plans.kpi_job import refresh_marts
 
-                refresh_marts(spark, table_path, marts_root)
+                refresh_marts(spark, table_path, marts_root, wait_seconds=WAIT_SECONDS)
         finally:
             products.unpersist()
     else:
@@ -162,7 +162,7 @@ def batch_writer(
         if marts_root and time.monotonic() - refreshed[0] >= marts_every_seconds:
             from basketry.plans.kpi_job import refresh_marts
 
-            refresh_marts(spark, table_path, marts_root)
+            refresh_marts(spark, table_path, marts_root, wait_seconds=WAIT_SECONDS)
             refreshed[0] = time.monotonic()
 
     return write_batch
@@ -213,7 +213,7 @@ def watch_sources(
         if marts_root:
             from basketry.plans.kpi_job import refresh_marts
 
-            refresh_marts(spark, table_path, marts_root)
+            refresh_marts(spark, table_path, marts_root, wait_seconds=WAIT_SECONDS)
         if not result.skipped:
             print(json.dumps({"epoch": epoch_id, "version": result.version, "metrics": result.metrics}))
 
