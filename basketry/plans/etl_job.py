@@ -32,7 +32,7 @@ from basketry.sources.csv import (
     with_slice,
 )
 from basketry.sources.manifest import manifest_diff, source_manifest, source_root
-from basketry.sources.runlog import claimed
+from basketry.sources.runlog import Run, claimed, no_rows
 from basketry.sources.snapshots import (
     DATA_SCHEMA,
     PARTITION_COLUMN,
@@ -137,37 +137,17 @@ def run_etl(
         "dimension", origin,
     )
     found = _changes(snapshot(spark, table_path), receipts, dimensions, origin, force)
-    if found.none and found.base.version:
-        return EtlResult(skipped=True, version=found.base.version)
-    with claimed(spark, table_path, "etl", takeover, wait_seconds) as run:
-        if run.before != found.base.version:  # another run ended in between
-            found = _changes(snapshot(spark, table_path), receipts, dimensions, origin, force)
-        base = found.base
-        branches = lambda *kinds: sorted({r["branch"] for r in found.counts if r["change"] in kinds})
-        result = EtlResult(branches("added", "modified"), version=run.version)
-        result.removed = sorted(set(branches("removed")) - set(branches("added", "modified", "unchanged")))
-        changed = found.files.filter(F.col("change").isin("added", "modified")).select(F.col("slice").alias(LOTE_COLUMN))
-        if found.count("added", "modified"):
-            lines = _changed_lines(scan_baskets(spark, baskets_path, pattern), baskets_path, origin, found, listed, changed)
-            units, result.metrics, result.touched = _write(spark, table_path, run.version, lines, product_category_path, categories_path)
-        else:  # files went, none came: nothing to read
-            write_rows(spark.createDataFrame([], DATA_SCHEMA), table_path, run.version)
-            write_rejects(spark.createDataFrame([], REJECT_SCHEMA), table_path, run.version)
-            units = spark.createDataFrame([], f"{LOTE_COLUMN} long, units long")
-            result.metrics = dict.fromkeys(("lines", "rejected_lines", "units", "units_with_category"), 0)
-        new = receipts.join(changed, LOTE_COLUMN, "left_semi").join(units, LOTE_COLUMN, "left").withColumn("held", F.lit(run.version))
-        state = base.state().filter("kind != 'dead'")
-        mine = (F.col("origin") == origin) & (F.col("kind") == "receipts")
-        gone = found.files.filter(F.col("change") != "unchanged").select(F.col("slice").alias(LOTE_COLUMN))
-        kept = (
-            state.filter(mine).join(gone, LOTE_COLUMN, "left_anti")
-            .unionByName(new, allowMissingColumns=True)
-            .unionByName(state.filter(~mine & ~((F.col("kind") == "dimension") & (F.col("origin") == origin))), allowMissingColumns=True)
-            .unionByName(dimensions, allowMissingColumns=True)
-        )
-        publish(run, base, kept, state.filter(mine).join(gone, LOTE_COLUMN, "left_semi"), result.metrics)
-        units.unpersist()
-    found.files.unpersist()
+    try:
+        if found.none and found.base.version:
+            return EtlResult(skipped=True, version=found.base.version)
+        with claimed(spark, table_path, "etl", takeover, wait_seconds) as run:
+            if run.before != found.base.version:  # another run ended in between
+                found.files.unpersist()
+                found = _changes(snapshot(spark, table_path), receipts, dimensions, origin, force)
+            result = _ingest(spark, run, found, listed, receipts, dimensions, origin, (baskets_path, product_category_path, categories_path), pattern)
+    finally:
+        # Spark takes two listings of one folder for the same plan: a cached difference must not outlive its run
+        found.files.unpersist()
     if is_crowded(run.detail):
         compact(spark, table_path)
     if rejects_path:
@@ -175,6 +155,40 @@ def run_etl(
     return result
 
 
+def _ingest(
+    spark: SparkSession, run: Run, found: _Changes, listed: DataFrame, receipts: DataFrame, dimensions: DataFrame, origin: str,
+    paths: tuple[str, str, str], pattern: str,
+) -> EtlResult:
+    """Read the changed files, write their rows and publish the state after the run."""
+    baskets_path, product_category_path, categories_path = paths
+    table_path, base = run.root, found.base
+    branches = lambda *kinds: sorted({r["branch"] for r in found.counts if r["change"] in kinds})
+    result = EtlResult(branches("added", "modified"), version=run.version)
+    result.removed = sorted(set(branches("removed")) - set(branches("added", "modified", "unchanged")))
+    changed = found.files.filter(F.col("change").isin("added", "modified")).select(F.col("slice").alias(LOTE_COLUMN))
+    if found.count("added", "modified"):
+        lines = _changed_lines(scan_baskets(spark, baskets_path, pattern), baskets_path, origin, found, listed, changed)
+        units, result.metrics, result.touched = _write(spark, table_path, run.version, lines, product_category_path, categories_path)
+    else:  # files went, none came: nothing to read
+        write_rows(no_rows(spark, DATA_SCHEMA), table_path, run.version)
+        write_rejects(no_rows(spark, REJECT_SCHEMA), table_path, run.version)
+        units = no_rows(spark, f"{LOTE_COLUMN} long, units long")
+        result.metrics = dict.fromkeys(("lines", "rejected_lines", "units", "units_with_category"), 0)
+    new = receipts.join(changed, LOTE_COLUMN, "left_semi").join(units, LOTE_COLUMN, "left").withColumn("held", F.lit(run.version))
+    state = base.state().filter("kind != 'dead'")
+    mine = (F.col("origin") == origin) & (F.col("kind") == "receipts")
+    gone = found.files.filter(F.col("change") != "unchanged").select(F.col("slice").alias(LOTE_COLUMN))
+    kept = (
+        state.filter(mine).join(gone, LOTE_COLUMN, "left_anti")
+        .unionByName(new, allowMissingColumns=True)
+        .unionByName(state.filter(~mine & ~((F.col("kind") == "dimension") & (F.col("origin") == origin))), allowMissingColumns=True)
+        .unionByName(dimensions, allowMissingColumns=True)
+    )
+    publish(run, base, kept, state.filter(mine).join(gone, LOTE_COLUMN, "left_semi"), result.metrics)
+    units.unpersist()
+    return result
+
+
 def _changed_lines(scan: DataFrame, path: str, origin: str, found: _Changes, listed: DataFrame, changed: DataFrame) -> DataFrame:
     """The lines of the files to read, with their file's name and slice."""
     lines = with_slice(scan.withColumn("archivo", F.col("_metadata.file_name")), path, origin)

@@ -47,6 +47,12 @@ class Run:
     detail: dict = field(default_factory=dict)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty DataFrame (``name type, ...``) that the optimizer knows to be empty, so that joins with it vanish."""
+    columns = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in schema.split(", "))]
+    return spark.range(0, 1, 1, 1).select(*columns).where(F.lit(False))
+
+
 def read_log(spark: SparkSession, root: str) -> DataFrame:
     """Every event of a table; none if there is no table yet."""
     try:
@@ -54,7 +60,7 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LOG_SCHEMA)
+        return no_rows(spark, LOG_SCHEMA)
 
 
 def append_event(spark: SparkSession, root: str, run: str, job: str, event: str, version: int, detail: dict) -> None:

@@ -19,11 +19,11 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.schemas import CORRUPT_COLUMN, ENRICHED_COLUMNS, LOTE_COLUMN
-from basketry.sources.runlog import Run, claimed, last_published, read_log, valid_events
+from basketry.sources.runlog import Run, claimed, last_published, no_rows, read_log, valid_events
 
 PARTITION_COLUMN = "sucursal_id"
 DATA_SCHEMA = (
@@ -49,7 +49,7 @@ class Snapshot:
 
     def state(self) -> DataFrame:
         if self.version == 0:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
+            return no_rows(self.spark, STATE_SCHEMA)
         return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/slices/version={self.version}")
 
     def dead_slices(self) -> DataFrame:
@@ -76,7 +76,7 @@ def live_rows(pinned: Snapshot, path: str, schema: str, versions: Iterable[int]
     wanted = list(pinned.versions if versions is None else versions)
     full = f"{schema}, version long"
     if not wanted:
-        return spark.createDataFrame([], full)
+        return no_rows(spark, full)
     df = spark.read.schema(full).option("basePath", path).parquet(*[f"{path}/version={v}" for v in wanted])
     return df.join(pinned.dead_slices(), ["version", LOTE_COLUMN], "left_anti") if pinned.dead else df
 
@@ -126,21 +126,22 @@ def publish(run: Run, base: Snapshot, kept: DataFrame, superseded: DataFrame, me
     """
     columns = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
     files = kept.select(*columns).persist()  # a row per file
-    # one row per live version
-    held = files.filter("kind = 'receipts'").groupBy("held").agg(F.sum("units").alias("units")).collect()
-    versions = sorted(r["held"] for r in held)
-    gone = base.state().filter("kind = 'dead'").select("held", LOTE_COLUMN, "units").union(superseded.select("held", LOTE_COLUMN, "units"))
-    dead = gone.filter(F.col("held").isin(versions)).withColumn("kind", F.lit("dead"))
-    counted = Observation("state")
-    state = files.unionByName(dead, allowMissingColumns=True).observe(
-        counted,
-        F.count(F.when(F.col("kind") == "dead", 1)).alias("dead"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "dead", F.col("units"))), F.lit(0)).alias("dead_units"),
-    )
-    state.coalesce(1).write.mode("overwrite").parquet(f"{run.root}/slices/version={run.version}")
-    files.unpersist()
+    before = base.state().filter("kind = 'dead'").select("held", LOTE_COLUMN, "units")
+    gone = before.union(superseded.select("held", LOTE_COLUMN, "units")).withColumn("kind", F.lit("dead")).persist()
+    try:
+        counted = [df.select("kind", "held", "units") for df in (files.filter("kind = 'receipts'"), gone)]
+        totals = counted[0].union(counted[1]).groupBy("kind", "held").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))
+        totals = totals.collect()  # two rows a version at most
+        live = {r["held"]: r["units"] or 0 for r in totals if r["kind"] == "receipts"}
+        dead = [r for r in totals if r["kind"] == "dead" and r["held"] in live]
+        state = files.unionByName(gone.filter(F.col("held").isin(list(live))), allowMissingColumns=True)
+        state.coalesce(1).write.mode("overwrite").parquet(f"{run.root}/slices/version={run.version}")
+    finally:
+        files.unpersist()
+        gone.unpersist()
     run.detail.update(
-        base=base.version, versions=versions, units={r["held"]: r["units"] or 0 for r in held}, **counted.get, metrics=metrics
+        base=base.version, versions=sorted(live), units=live, dead=sum(r["n"] for r in dead),
+        dead_units=sum(r["units"] or 0 for r in dead), metrics=metrics,
     )
 
 
@@ -148,12 +149,12 @@ def load(spark: SparkSession, root: str, df: DataFrame, job: str = "load") -> in
     """Replace the whole table by the rows of ``df`` (with their slices, if it has any); returns the version."""
     with claimed(spark, root, job) as run:
         write_rows(df, root, run.version)
-        write_rejects(spark.createDataFrame([], REJECT_SCHEMA), root, run.version)
+        write_rejects(no_rows(spark, REJECT_SCHEMA), root, run.version)
         kept = slice_units(spark, root, run.version).selectExpr(
             "'receipts' as kind", f"'{job}' as origin", LOTE_COLUMN, "'' as file", "cast(null as int) as branch",
             "cast(null as long) as size", "'' as fingerprint", f"{run.version}L as held", "units",
         )
-        publish(run, Snapshot(spark, root), kept, spark.createDataFrame([], "held long, lote long, units long"), {})
+        publish(run, Snapshot(spark, root), kept, no_rows(spark, "held long, lote long, units long"), {})
     return run.version
 
 
@@ -194,7 +195,7 @@ def compact(spark: SparkSession, root: str, max_versions: int = MAX_VERSIONS, de
         write_rejects(base.rows("rejects", REJECT_SCHEMA, picked).drop("version"), root, run.version)
         moved = F.when(F.col("held").isin(picked), F.lit(run.version)).otherwise(F.col("held"))
         kept = base.state().filter("kind != 'dead'").withColumn("held", moved)
-        publish(run, base, kept, spark.createDataFrame([], "held long, lote long, units long"), {"compacted": picked})
+        publish(run, base, kept, no_rows(spark, "held long, lote long, units long"), {"compacted": picked})
     return run.version
 
 
@@ -213,7 +214,7 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
         ended = log.filter(F.col("event").isin("published", "failed") & before).select("version").distinct()
         old = sorted({r["version"] for r in ended.collect()} - read - emptied)
         for version in old:
-            write_rows(spark.createDataFrame([], DATA_SCHEMA), root, version)
-            write_rejects(spark.createDataFrame([], REJECT_SCHEMA), root, version)
+            write_rows(no_rows(spark, DATA_SCHEMA), root, version)
+            write_rejects(no_rows(spark, REJECT_SCHEMA), root, version)
         run.detail["emptied"] = old
     return old
