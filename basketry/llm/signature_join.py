@@ -353,7 +353,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id for every row: the least doc_id reachable by links of Jaccard >= percent / 100."""
     docs = docs.select("doc_id", "text")
     sets = _keys(shingle_sets(docs, n))
-    quarter = F.filter("hashes", lambda h: F.pmod(F.xxhash64(h, F.lit(4)), F.lit(4)) == 0)
+    quarter = F.filter("hashes", lambda h: h < F.lit(-(1 << 62)))  # of all 64-bit values
     members = materialise(sets.select("doc_id", "n", "key_a", "key_b", quarter.alias("quarter")), "sj_members")
     key = ["n", "key_a", "key_b"]
     some = members.filter("n > 0 and doc_id is not null")
