@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import feistel, materialise, words
+from basketry.llm.common import feistel, materialise, word_count, words
 
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 4096
@@ -128,7 +128,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.size(words(F.col("text"))).cast("long").alias("size"),
+        word_count(F.col("text")).alias("size"),
         F.xxhash64("text").alias("text_hash"),
     )
 
