@@ -31,14 +31,16 @@ select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, posit
 from negative where rank <= 3
 """
 
-_JACCARD = f"""
+def _jaccard(n: int, more: str = "") -> str:
+    """Components of documents linked at 85 % over ``n``-word shingles; ``more``: further columns of c."""
+    return f"""
 with recursive tokens as (
   select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
   from documents
 ),
 sets as (
-  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  select doc_id, case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) end as s
   from tokens
 ),
 shingles as (select doc_id, unnest(s) as x from sets),
@@ -53,10 +55,13 @@ links as (
 reach(doc_id, other) as (
   select a, b from links union select r.doc_id, l.b from reach r join links l on r.other = l.a
 )
-select sets.doc_id, cast(len(s) as bigint) as n_shingles, least(sets.doc_id, coalesce(low, sets.doc_id)) as component_id
-from sets left join (select doc_id, min(other) as low from reach group by 1) r on r.doc_id = sets.doc_id
+select c.*{more} from (
+  select sets.doc_id, cast(len(s) as bigint) as n_shingles, least(sets.doc_id, coalesce(low, sets.doc_id)) as component_id
+  from sets left join (select doc_id, min(other) as low from reach group by 1) r on r.doc_id = sets.doc_id
+) c
 """
 
+
 # the checksum is computed by its rule: polynomial 0xEDB88320, bytes of UTF-8 (all letters lie below U+0800)
 _SPELLING = f"""
 with recursive crc as (
@@ -112,7 +117,8 @@ from forms f join chain c on c.word = f.word join forms e on e.word = c.here and
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_near_dedup": _jaccard(3, ", doc_id = component_id as kept"),
     "op11_hard_negatives": _HARD_NEGATIVES,
-    "op12_jaccard_join": _JACCARD,
+    "op12_jaccard_join": _jaccard(4),
     "op13_spelling": _SPELLING,
 }
