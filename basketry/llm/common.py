@@ -50,12 +50,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str, buckets: int = 4096) -> DataFrame:
-    """``df`` with ``name``, the gapless number from 0 of each row in the order (bucket of ``order``'s hash, ``order``).
+#: Rows a hash bucket of ``row_numbers`` holds on average, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 4096
 
-    Two-level: rows are numbered inside ``buckets`` hash buckets in parallel, and the buckets' sizes, ``buckets`` rows
-    at most, are summed up in one small window.  Rows equal in all of ``order`` are interchangeable.
+
+def row_numbers(df: DataFrame, order: Sequence[str], name: str, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows with ``name``, the gapless number from 0 of each in the order (bucket of ``order``'s hash, ``order``).
+
+    Two-level: rows are numbered inside hash buckets in parallel, and the buckets' sizes, a row for each ``BUCKET_ROWS``
+    rows, are summed up in one small window.  Rows equal in all of ``order`` are interchangeable.
     """
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
     bucket = f"{name}_bucket"
     with_bucket = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -65,9 +70,10 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str, buckets: int = 4
         .select(bucket, F.coalesce(F.sum(f"{name}_n").over(before), F.lit(0)).alias(f"{name}_offset"))
     )
     within = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
+    few = buckets <= BROADCAST_ROWS
     return (
         with_bucket.withColumn(name, within)
-        .join(F.broadcast(offsets), bucket)  # at most ``buckets`` rows
+        .join(F.broadcast(offsets) if few else offsets, bucket)
         .withColumn(name, F.col(name) + F.col(f"{name}_offset"))
         .drop(bucket, f"{name}_offset")
     )

@@ -22,9 +22,9 @@ def shard_rows(df: DataFrame, n_shards: int, order: list[str], seed: int = 17) -
     ``order`` names the columns that number the rows.  The count of the rows is one number on the driver.
     """
     df = df.drop("shard", "slot")
-    n = F.lit(max(df.count(), 1))
+    rows = df.count()
     return (
-        feistel(row_numbers(df, order, "__row"), "__position", F.col("__row"), n, F.lit(seed))
+        feistel(row_numbers(df, order, "__row", rows), "__position", F.col("__row"), F.lit(max(rows, 1)), F.lit(seed))
         .withColumn("shard", (F.col("__position") % n_shards).cast("int"))
         .withColumn("slot", F.floor(F.col("__position") / n_shards).cast("long"))
         .drop("__row", "__position")
