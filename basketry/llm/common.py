@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketry.session import scratch_path
+from basketry.session import materialise  # noqa: F401
 
 #: Separators of words in every contract: space and the controls 9 to 13.
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -34,13 +34,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of at most 64 bytes each that a broadcast may hold: 32 MB.
 BROADCAST_ROWS = 500_000
 

@@ -1,12 +1,15 @@
-"""Products bought together: frequent itemsets over baskets and rules with support, confidence and lift."""
+"""Products bought together: frequent pairs over baskets and rules with support, confidence and lift."""
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.schemas import VISIT_KEY
+from basketry.session import materialise
+
+#: Products a row of a basket holds when its pairs are built.
+BLOCK = 128
 
 
 def visit_baskets(enriched: DataFrame) -> DataFrame:
@@ -14,27 +17,43 @@ def visit_baskets(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy(*VISIT_KEY).agg(F.collect_set("producto_id").alias("productos"))
 
 
+def product_pairs(baskets: DataFrame) -> DataFrame:
+    """(producto_id, recomendado): every two different products of every basket once, the smaller first.
+
+    Long baskets are cut to blocks of ``BLOCK`` products, of which every two meet in a row of their own, dealt to all
+    tasks: no task builds a long basket's pairs alone.
+    """
+    spark = baskets.sparkSession
+    items = baskets.select(F.array_sort(F.array_distinct(F.filter("productos", lambda p: p.isNotNull()))).alias("items"))
+    items = items.filter(F.size("items") > 1)
+    block = lambda i: F.slice("items", i * F.lit(BLOCK) + 1, F.lit(BLOCK))
+    last = F.floor((F.size("items") - 1) / F.lit(BLOCK)).cast("int")
+    short = items.filter(F.size("items") <= BLOCK).select(F.col("items").alias("mine"), F.col("items").alias("others"), F.lit(True).alias("same"))
+    long = items.filter(F.size("items") > BLOCK).select("items", F.explode(F.sequence(F.lit(0), last)).alias("i"), last.alias("last"))
+    long = long.select("items", "i", F.explode(F.sequence(F.col("i"), F.col("last"))).alias("j"))
+    long = long.select(block(F.col("i")).alias("mine"), block(F.col("j")).alias("others"), (F.col("i") == F.col("j")).alias("same"))
+    long = long.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mine", "others")
+    # sorted, so the pairs of a block with itself are those of each product with the later ones
+    first = short.unionByName(long).select(F.posexplode("mine").alias("at", "producto_id"), "others", "same")
+    later = F.when(F.col("same"), F.slice("others", F.col("at") + 2, F.lit(BLOCK))).otherwise(F.col("others"))
+    return first.select("producto_id", F.explode(later).alias("recomendado"))
+
+
 def product_rules(baskets: DataFrame, min_count: int = 2, min_confidence: float = 0.0) -> DataFrame:
     """producto_id, recomendado, n_visitas, soporte, confianza, lift: for each product what is bought in the same visits.
 
-    ``min_count``: visits that a pair needs.  Itemsets are grown from prefix trees in parallel groups (FPGrowth), so that
-    pairs below the bound are never built; a rule's confidence is the share of the product's visits that hold the other.
-    Baskets of one product only count as visits.  An empty table gives no rule.
+    ``min_count``: visits that a pair needs.  Pairs are built from the baskets and counted with map-side reduction; longer
+    itemsets, of which no rule has any, are not.  A rule's confidence is the share of the product's visits that hold the
+    other.  Baskets of one product only count as visits.  An empty table gives no rule.
     """
+    # read twice, for products and for pairs
+    baskets = materialise(baskets.select("productos"), "baskets")
     total = baskets.count()
-    if total == 0:
-        return baskets.sparkSession.createDataFrame(
-            [], "producto_id int, recomendado int, n_visitas long, soporte double, confianza double, lift double"
-        )
-    # a little below the bound, against rounding of the share
-    model = FPGrowth(itemsCol="productos", minSupport=(min_count - 0.5) / total, minConfidence=1.0).fit(baskets)
-    sets = model.freqItemsets.persist()
-    single = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("producto_id"), F.col("freq").alias("n"))
-    ends = F.array(
-        F.struct(F.col("items")[0].alias("producto_id"), F.col("items")[1].alias("recomendado")),
-        F.struct(F.col("items")[1].alias("producto_id"), F.col("items")[0].alias("recomendado")),
-    )
-    pairs = sets.filter(F.size("items") == 2).select("freq", F.inline(ends))
+    bought = baskets.select(F.explode(F.array_distinct("productos")).alias("producto_id"))
+    single = bought.groupBy("producto_id").agg(F.count(F.lit(1)).alias("n")).filter("producto_id is not null")
+    both = product_pairs(baskets).groupBy("producto_id", "recomendado").agg(F.count(F.lit(1)).alias("freq"))
+    ends = F.array(F.struct("producto_id", "recomendado"), F.struct(F.col("recomendado").alias("producto_id"), F.col("producto_id").alias("recomendado")))
+    pairs = both.filter(F.col("freq") >= min_count).select("freq", F.inline(ends))
     other = single.select(F.col("producto_id").alias("recomendado"), F.col("n").alias("n_other"))
     confidence = F.col("freq") / F.col("n")
     return (
