@@ -7,7 +7,8 @@ spans, what overlaps one of its kind, undivided or oddly divided runs that pass
 with ``(at)``; wrong is what fails its check or has none.  Loose phone numbers that stand behind a word for a phone are
 neither, and only judged.  The leading plus is no feature, so that phones are found without it.  On candidates held back, each kind's threshold is the least score above which ``PRECISION`` of them
 are right; other candidates at or above it are added where they overlap no base span (of overlapping ones the leftmost).
-The trees are fitted on about ``FIT_ROWS`` distinct candidates at most, drawn by a hash of their text.
+Every distinct candidate with a label takes part: three quarters of them, by a hash of their text, fit the trees, and the
+others set the thresholds.
 
 Positions are code points, ends exclusive.  Null or empty texts have no spans; repeated rows are each returned; without
 candidates of both classes nothing is added; an empty table gives an empty result; other columns take no part.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from basketry.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS, PRECISION, BINS, CONTEXT = 20_000, 0.98, 50, 24
+PRECISION, BINS, CONTEXT = 0.98, 50, 24
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Patterns by generator, and a character class without which a text has no match.  They take the same matches as the
@@ -196,23 +197,18 @@ def features(df: DataFrame) -> DataFrame:
 
 def fit_trees(labelled: DataFrame):
     """The trees and the thresholds by kind, or None without candidates of both classes."""
-    # copies count once: a passage of a third of all rows must not fill the sample
+    # copies count once: a passage of a third of all rows must not outweigh the others
     labelled = labelled.filter("y is not null").select("gen", "kind", "value", "before", "after", "digits", "y").distinct()
-    n = labelled.count()
-    share = min(1.0, FIT_ROWS / n) if n else 1.0
-    h = F.xxhash64("value", "before")
-    drawn = labelled.filter(F.pmod(h, F.lit(100_000)) < int(share * 100_000)).withColumn(
-        "held", F.pmod(F.xxhash64(F.lit("held"), "value"), F.lit(4)) == 0
-    )
-    drawn = materialise(features(drawn).select("kind", "y", "x", "held").repartition(6), "pii_fit")
-    train = drawn.filter("not held")
+    every = labelled.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "value"), F.lit(4)) == 0)
+    every = materialise(features(every).select("kind", "y", "x", "held"), "pii_fit")
+    train = every.filter("not held")
     low, high = train.agg(F.min("y"), F.max("y")).first()
     if low is None or low == high:
         return None
     model = GBTClassifier(
         featuresCol="x", labelCol="y", maxIter=10, maxDepth=4, stepSize=0.3, seed=10, cacheNodeIds=False
     ).fit(train)
-    held = scored(model, drawn.filter("held"))
+    held = scored(model, every.filter("held"))
     bins = (
         held.withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int"))
         .groupBy("kind", "bin")
