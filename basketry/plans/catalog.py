@@ -348,8 +348,10 @@ def q_etl_partials_incremental(spark, sf_dir):
     then the branch files go but for those of the first ten branches, and the newest year's are rewritten without its
     second half.  Only the files that changed are read and folded.
     """
-    src, table, parts, root = (scratch_path(spark, f"partials_{n}") for n in ("src", "table", "parts", "marts"))
-    lines, dims = _arrivals(spark, sf_dir), _dimension_files(spark, sf_dir)
+    src, table, parts, root, receipts = (scratch_path(spark, f"partials_{n}") for n in ("src", "table", "parts", "marts", "receipts"))
+    arrivals, dims = _arrivals(spark, sf_dir), _dimension_files(spark, sf_dir)
+    arrivals.write.parquet(receipts)  # built once: four sets of files are cut from it
+    lines = spark.read.schema(arrivals.schema).parquet(receipts)
     newest = read_table(spark, sf_dir, "orders").agg(F.max(F.year("o_orderdate"))).scalar()
     older, latest = lines.filter(F.col("arrival") < newest), lines.filter(F.col("arrival") >= newest)
     first_ten = F.col("sucursal_id") < 10
