@@ -29,10 +29,10 @@ def customer_features(enriched: DataFrame, visits: DataFrame | None = None) -> D
 
     ``frecuencia`` = distinct (fecha, sucursal_id) = visits of the customer;
     distinct counts ignore nulls (a customer with no categorised unit has 0
-    categories).  The fact is folded once per (customer, product, category) and
-    once more per (customer, product); units and products are plain totals, and
-    the categories one distinct set per customer, so no row is expanded, and a
-    product that changed its category counts once.  ``visits`` supply
+    categories).  The fact is folded per (customer, product) and per (customer,
+    category), both with map-side reduction and without collecting sets; the
+    customer's figures are plain totals of the two folds, so a product that
+    changed its category counts once.  ``visits`` supply
     ``frecuencia``; they are derived from the fact unless passed in (a fact
     without ``fecha``, as the per-branch partials are, needs them).
     """
@@ -40,14 +40,16 @@ def customer_features(enriched: DataFrame, visits: DataFrame | None = None) -> D
         if "fecha" not in enriched.columns:
             raise ValueError("visits are required when the input has no fecha column")
         visits = visits_of(enriched)
-    fold = enriched.groupBy("cliente_id", "producto_id").agg(
-        F.sum("cantidad").alias("units"), F.collect_set("categoria_id").alias("categories")
+    per_product = enriched.groupBy("cliente_id", "producto_id").agg(F.sum("cantidad").cast("bigint").alias("units"))
+    per_category = enriched.filter(F.col("categoria_id").isNotNull()).select("cliente_id", "categoria_id").distinct()
+    no = F.lit(None)
+    folds = per_product.select("cliente_id", "units", F.col("producto_id").alias("product"), no.cast("int").alias("category")).union(
+        per_category.select("cliente_id", no.cast("bigint"), no.cast("int"), "categoria_id")
     )
-    # a product's categories are a handful, and a customer's as many as there are categories
-    rest = fold.groupBy("cliente_id").agg(
-        F.sum("units").cast("bigint").alias("total_cantidad"),
-        F.count("producto_id").alias("productos_distintos"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("categories")))).cast("bigint").alias("categorias_distintas"),
+    rest = folds.groupBy("cliente_id").agg(
+        F.sum("units").alias("total_cantidad"),
+        F.count("product").alias("productos_distintos"),
+        F.count("category").alias("categorias_distintas"),
     )
     frequency = visits.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("frecuencia"))
     return rest.join(frequency, "cliente_id", "left").select(

@@ -39,6 +39,11 @@ def unique_counts(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count_distinct("cliente_id").alias("n_clientes")).withColumn("n_productos", products.scalar())
 
 
+def product_fold(enriched: DataFrame) -> DataFrame:
+    """Units per product and category: the fact's columns that the product and category KPIs read, a row a product."""
+    return enriched.groupBy("producto_id", "categoria_id", "nombre_categoria").agg(F.sum("cantidad").cast("bigint").alias("cantidad"))
+
+
 def product_units(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("producto_id").agg(F.sum("cantidad").cast("bigint").alias("total_cantidad"))
 

@@ -1,8 +1,10 @@
-"""KPI job: every KPI and chart dataset from one scan of the enriched fact.
+"""KPI job: every KPI and chart dataset from a few folds of the enriched fact.
 
-The narrow ``visits`` mart (reused by five KPIs), the per-customer totals
-(reused by box statistics and outliers) and the per-category share (reused
-by the pie) are persisted MEMORY_AND_DISK for the duration of the job; a
+The narrow ``visits`` mart (reused by five KPIs), the units per product and
+category (reused by the scalar KPIs, the top products and the shares), the
+customers' features and units (reused by the correlation, box statistics and
+outliers) and the per-category share (reused by the pie) are folded from the
+fact once and persisted MEMORY_AND_DISK for the duration of the job; a
 lost executor only means those blocks are recomputed from lineage.  The
 wide fact itself is never cached: each KPI's scan is column-pruned Parquet.
 """
@@ -76,14 +78,20 @@ def chart_mart_builders(
     units: DataFrame,
     share: DataFrame | None = None,
     fences: customers.Box | None = None,
+    products: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """Deferred constructors of the chart datasets (analysis runs in the caller's thread)."""
+    products = products if products is not None else enriched
 
     def share_df() -> DataFrame:
-        return share if share is not None else categories.category_share(enriched)
+        return share if share is not None else categories.category_share(products)
+
+    def features_df() -> DataFrame:
+        return features if features is not None else customers.customer_features(enriched, visits)
 
     return {
-        "top_products": lambda: kpis.top_products(enriched),
+        "top_products": lambda: kpis.top_products(products),
         "top_customers": lambda: kpis.top_customers(visits),
         "peak_days": lambda: kpis.peak_days(visits),
         "category_share": share_df,
@@ -91,7 +99,7 @@ def chart_mart_builders(
         "daily_series": lambda: series.rolling_7d(kpis.daily_counts(visits)),
         "customer_box": lambda: customers.box_stats(units, fences=fences),
         "customer_outliers": lambda: customers.outliers(units, fences=fences),
-        "customer_corr": lambda: customers.correlation_matrix(customers.customer_features(enriched, visits)),
+        "customer_corr": lambda: customers.correlation_matrix(features_df()),
     }
 
 
@@ -119,20 +127,27 @@ def run_kpis(
     ``enriched`` may also be the per-branch customer/product partials (same
     columns minus ``fecha``, ``cantidad`` summed) together with the stored
     ``visits`` partial: every mart is then computed from those smaller
-    tables (see :mod:`basketry.plans.partials`).
+    tables (see :mod:`basketry.plans.partials`).  Every fold sums ``cantidad``,
+    so partials of several slices need not be merged before.
     """
     visits = (visits if visits is not None else visits_of(enriched)).persist(StorageLevel.MEMORY_AND_DISK)
-    units = customers.customer_units(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    products = kpis.product_fold(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    # a row a customer, from the cached visits; the units are totals of its rows
+    features = customers.customer_features(enriched, visits).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = features.select("cliente_id", F.col("total_cantidad").alias("cantidad"))
+    units = customers.customer_units(totals).persist(StorageLevel.MEMORY_AND_DISK)
     # one row per named category; reused by the share and the pie marts
-    share = categories.category_share(enriched).persist(StorageLevel.MEMORY_AND_DISK)
-    shared = [visits, units, share]
+    share = categories.category_share(products).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = [visits, products, features, units, share]
     try:
-        with ThreadPoolExecutor(max_workers=len(shared)) as pool:
-            fences = pool.submit(lambda: units.count() and customers.box(units))
-            list(pool.map(lambda df: df.count(), [visits, share]))
-            fences = fences.result() or customers.Box()
-        builders: dict[str, Callable[[], DataFrame]] = {"kpis": lambda: kpi_bundle(enriched, visits)}
-        builders.update(chart_mart_builders(enriched, visits, units, share, fences))
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            folded = pool.submit(lambda: products.count() and share.count())
+            visits.count()
+            features.count()
+            fences = (units.count() and customers.box(units)) or customers.Box()
+            folded.result()
+        builders: dict[str, Callable[[], DataFrame]] = {"kpis": lambda: kpi_bundle(products, visits)}
+        builders.update(chart_mart_builders(enriched, visits, units, share, fences, products, features))
 
         def build_and_write(name: str) -> None:
             # plan analysis of one mart overlaps the execution of the others

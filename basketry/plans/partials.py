@@ -107,10 +107,15 @@ def _pinned(spark: SparkSession, partials_root: str) -> Snapshot:
     return current(spark, detail["table"], detail["table_version"]) or Snapshot(spark, detail["table"])
 
 
-def read_partials(spark: SparkSession, partials_root: str) -> dict[str, DataFrame]:
-    """The merged partials, without superseded slices, as of the fact's version that they were refreshed to."""
+def _live_partials(spark: SparkSession, partials_root: str) -> dict[str, DataFrame]:
+    """The partials of every slice that is not superseded, as of the fact's version that they were refreshed to."""
     pinned = _pinned(spark, partials_root)
-    live = {n: live_rows(pinned, f"{partials_root}/{n}", schema) for n, schema in PARTIAL_SCHEMAS.items()}
+    return {n: live_rows(pinned, f"{partials_root}/{n}", schema) for n, schema in PARTIAL_SCHEMAS.items()}
+
+
+def read_partials(spark: SparkSession, partials_root: str) -> dict[str, DataFrame]:
+    """The partials merged over their slices, without superseded ones."""
+    live = _live_partials(spark, partials_root)
     return {
         "visits": visits_of(live["visits"]),
         "customer_products": customer_products(live["customer_products"]),
@@ -131,5 +136,6 @@ def unique_counts_from_partials(distincts: DataFrame) -> DataFrame:
 def run_kpis_from_partials(
     spark: SparkSession, partials_root: str, mart_root: str, parallelism: int = 4, fmt: str = "parquet"
 ) -> list[str]:
-    p = read_partials(spark, partials_root)
-    return run_kpis(p["customer_products"], mart_root, parallelism, fmt, visits=p["visits"])
+    """Every mart from the partials; its folds merge the slices' rows, so that these are not shuffled whole before each."""
+    live = _live_partials(spark, partials_root)
+    return run_kpis(live["customer_products"], mart_root, parallelism, fmt, visits=visits_of(live["visits"]))
