@@ -2,7 +2,8 @@
 
 1. Documents with equal sets of word shingles form a class; classes are joined.  In a linked pair at least ``percent`` of
    either set is shared, so a class goes on only if so much of its set occurs in other classes (first judged on the
-   quarter of the shingles with the least hashes, where the missing ones weigh four times as much, then on all).
+   quarter of the shingles with the least hashes, where the missing ones weigh four times as much, then on all when
+   its rarest shingles are looked for).  Only (shingle, class) rows are shuffled for that, never the sets.
 2. Signature trees: classes in the order of a min-hash are cut to trees of at most ``TREE`` classes.  A node holds the
    OR of its members' token bitmaps, their range of sizes and the greatest number of tokens beyond set bits.  Dual
    traversal goes down from pairs of nodes whose sizes fit and whose common bits leave room for the overlap a link needs;
@@ -61,27 +62,32 @@ def _missing(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100) - 1e-9)
 
 
-def _supported(tokens: DataFrame, percent: int) -> DataFrame:
-    """uids of the classes that share enough tokens with others; ``tokens``: uid, n, held (tokens looked at), value."""
+def _supported(tokens: DataFrame) -> DataFrame:
+    """(uid, common): how many tokens of each class occur in others as well; ``tokens``: uid, value."""
     shared = tokens.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("value")
-    counts = tokens.join(shared, "value").groupBy("uid", "n", "held").agg(F.count(F.lit(1)).alias("common"))
-    return counts.filter(F.col("common") >= F.col("held") - _missing(F.col("n"), percent)).select("uid")
+    return tokens.join(shared, "value").groupBy("uid").agg(F.count(F.lit(1)).alias("common"))
 
 
 def joinable_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(uid, n, hashes) of the classes that can be linked with another one."""
-    quarter = members.join(classes, ["doc_id", "n", "key_a", "key_b"]).dropDuplicates(["uid"])
+    """(uid, n, hashes) of the classes that can be linked with another one, as far as the quarter of their sets shows it."""
+    quarter = members.withColumnRenamed("row", "uid").join(broadcast_if_small(classes.select("uid")), "uid", "left_semi")
+    # 40 bits of a hash tell whether a token may be shared: two hashes that agree in them only let more classes go on
+    sampled = quarter.select("uid", F.explode("quarter").alias("hash")).select("uid", F.col("hash").bitwiseAND(F.lit((1 << 40) - 1)).alias("value"))
+    looked = quarter.select("uid", F.col("held") - _missing(F.col("n"), percent))
+    looked = looked.toDF("uid", "least")
     # sets without a token in the quarter, or that can lack all they have there, go on
-    sampled = quarter.select("uid", "n", F.size("quarter").alias("held"), F.explode("quarter").alias("value"))
-    light = quarter.filter(F.size("quarter") <= _missing(F.col("n"), percent)).select("uid")
-    first = materialise(_supported(sampled, percent).union(light).distinct(), "sj_first")
+    enough = _supported(sampled).join(looked, "uid").filter("common >= least").select("uid")
+    first = materialise(enough.union(looked.filter("least <= 0").select("uid")).distinct(), "sj_first")
     wanted = materialise(classes.join(broadcast_if_small(first), "uid", "left_semi"), "sj_wanted")
-    texts = docs.join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = _keys(shingle_sets(texts, n)).join(wanted, ["doc_id", "n", "key_a", "key_b"]).dropDuplicates(["uid"])
-    sets = materialise(sets.select("uid", "n", "hashes"), "sj_sets")
-    tokens = sets.select("uid", "n", F.col("n").alias("held"), F.explode("hashes").alias("value"))
-    second = materialise(_supported(tokens, percent), "sj_second")
-    return materialise(sets.join(broadcast_if_small(second), "uid", "left_semi"), "sj_joinable")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = docs.join(broadcast_if_small(some.select("doc_id").distinct()), "doc_id", "left_semi")
+        keyed = _keys(shingle_sets(texts, n)).join(broadcast_if_small(some), ["doc_id", "n", "key_a", "key_b"])
+        return keyed.select("uid", "n", "hashes")
+
+    # only sets that several rows of their class's first document have are shuffled, to keep one of them
+    once, repeated = wanted.filter("copies = 1"), wanted.filter("copies > 1")
+    return materialise(sets_of(once).union(sets_of(repeated).dropDuplicates(["uid"])), "sj_sets")
 
 
 class _Forest:
@@ -244,13 +250,14 @@ def _differ(bucket: str) -> bool:
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """(value, uid): the shared shingles of every class among its rarest, of which it has in common with a linked class at least one."""
-    values = sets.select("uid", "n", F.explode("hashes").alias("value"))
+    values = sets.select("uid", F.explode("hashes").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # shingles of one class alone come first in its order and are of no use
     return (
         values.join(shared, "value")
-        .groupBy("uid", "n")
+        .groupBy("uid")
         .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("kept"))
+        .join(broadcast_if_small(sets.select("uid", "n")), "uid")
         .withColumn("room", (_missing(F.col("n"), percent) + 1 - (F.col("n") - F.size("kept"))).cast("int"))
         .filter("room > 0")
         .select("uid", F.explode(F.slice("kept", F.lit(1), F.col("room"))).alias("entry"))
@@ -287,7 +294,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         # every open class with its least seeded hash, in whose order trees are cut
         active = opened.select("uid", "component").distinct()
         seeded = F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(turn))))
-        ordered = sets.join(active, "uid").select("uid", "component", seeded.alias("least"), "n", "hashes")
+        ordered = sets.join(broadcast_if_small(active), "uid").select("uid", "component", seeded.alias("least"), "n", "hashes")
         ordered = ordered.repartitionByRange("least", "n", "uid").sortWithinPartitions("least", "n", "uid")
         trees = materialise(
             ordered.select("uid", "component", "hashes").mapInPandas(_plant(percent), "uid long, tree string, with long"), "sj_trees"
@@ -295,7 +302,8 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         found = trees.filter("uid != with").select(F.col("uid").alias("a"), F.col("with").alias("b"))
         component = materialise(_merged(component, found), "sj_component")
         opened = _open(entries, component)
-    found = _lists_of_trees(opened, sets).groupBy("bucket").applyInPandas(_meet(percent), "a long, b long")
+    still = sets.join(broadcast_if_small(opened.select("uid").distinct()), "uid", "left_semi")
+    found = _lists_of_trees(opened, still).groupBy("bucket").applyInPandas(_meet(percent), "a long, b long")
     return materialise(_merged(component, materialise(found, "sj_found")), "sj_component")
 
 
@@ -354,11 +362,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     sets = _keys(shingle_sets(docs, n))
     quarter = F.filter("hashes", lambda h: h < F.lit(-(1 << 62)))  # of all 64-bit values
-    members = materialise(sets.select("doc_id", "n", "key_a", "key_b", quarter.alias("quarter")), "sj_members")
+    sets = sets.withColumn("quarter", quarter)
+    row = F.monotonically_increasing_id().alias("row")
+    members = materialise(sets.select(row, "doc_id", "n", "key_a", "key_b", F.size("quarter").alias("held"), "quarter"), "sj_members")
     key = ["n", "key_a", "key_b"]
     some = members.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(classes.withColumn("uid", F.monotonically_increasing_id()), "sj_classes")
+    rows = some.groupBy(*key, "doc_id").agg(F.min("row").alias("uid"), F.count(F.lit(1)).alias("copies"))
+    # a class is known by the first row of its least document
+    classes = rows.groupBy(*key).agg(F.min(F.struct("doc_id", "uid", "copies")).alias("first")).select(*key, "first.*")
+    classes = materialise(classes, "sj_classes")
     component = link_classes(joinable_sets(docs, classes, members, n, percent), percent)
     # rows of one doc_id hang together as well
     several = some.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
